@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fitgrain import schema
 from fitgrain.operators.numeric import constant_fill, fit_column_means, fit_scales, replaced, scaled
-from fitgrain.operators.retrieve import top_k
+from fitgrain.operators.retrieve import neighbour_votes, top_k
 from fitgrain.plans.cleaning import CleaningModel, fit_cleaning
 from fitgrain.plans.features import FeatureModel, fit_features, require_features
 from fitgrain.session import scratch_path
@@ -96,11 +96,9 @@ class Neighbours:
 
     def score(self, df: DataFrame, target: str = schema.TARGET) -> DataFrame:
         """``(id, score)`` with the share of class 1 among the neighbours."""
-        known = self.store.select(F.col(self.id_col).alias("near"), "vec", target)
-        asked = self._vectors(df).withColumnRenamed(self.id_col, "asked")
-        hits = top_k(asked, known, self.k, "l2", "asked", "vec", "near", "vec")
-        votes = hits.join(known.select("near", F.col(target).alias("vote")), "near")
-        return votes.groupBy(F.col("asked").alias(self.id_col)).agg(F.avg("vote").alias("score"))
+        known = self.store.withColumnRenamed(self.id_col, "near")
+        hits = top_k(self._vectors(df), known, self.k, "l2", self.id_col, "vec", "near", "vec")
+        return neighbour_votes(hits, known, target, self.id_col, "near")
 
 
 def fit_classifier(train: DataFrame, features: Sequence[str], classifier, target: str = schema.TARGET, id_col: str = schema.ID):
