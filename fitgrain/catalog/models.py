@@ -1 +1,204 @@
-"""..."""
+"""Split, training, sweep and scoring queries."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import functions as F
+
+from fitgrain.catalog.registry import query, rounded, scramble_sql, table, with_apps
+from fitgrain.operators import evaluate as ev
+from fitgrain.operators import retrieve as rt
+from fitgrain.operators.split import SEED, stratified_folds, stratified_split
+from fitgrain.plans import scoring as sc
+from fitgrain.plans import training as tr
+from fitgrain.plans.features import missing_features
+from fitgrain.session import scratch_path, written
+from fitgrain.sources.applications import STATEMENT, applications, test_rows, train_rows
+from fitgrain.streaming.scoring import stream_decisions
+
+NETWORK_ITERATIONS = 60
+SWEEP_NETWORK_ITERATIONS = 30
+
+
+@query(
+    "m1_stratified_split",
+    with_apps(
+        f"SELECT ID, label, row_number() OVER (PARTITION BY label ORDER BY {scramble_sql('ID', SEED)}) <= "
+        "floor(0.2E0 * count(*) OVER (PARTITION BY label) + 0.5) AS is_validation FROM apps"
+    ),
+)
+def m1(spark, sf_dir):
+    return stratified_split(applications(spark, sf_dir)).select("ID", "label", "is_validation")
+
+
+@query(
+    "m2_stratified_folds",
+    with_apps(
+        f"SELECT ID, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {scramble_sql('ID', SEED)}) - 1) * 5 "
+        "// count(*) OVER (PARTITION BY label) AS INT) AS fold FROM apps"
+    ),
+)
+def m2(spark, sf_dir):
+    return stratified_folds(applications(spark, sf_dir)).select("ID", "label", "fold")
+
+
+@lru_cache(maxsize=2)
+def _trained(app_id: str, sf_dir: str):
+    """The production model of a session, shared by the queries that score with it."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    apps = written(applications(spark, sf_dir), "applications")
+    network = lambda inputs: tr.network(inputs, NETWORK_ITERATIONS)
+    model = tr.train_model(train_rows(apps), network)
+    return apps, model, written(sc.with_decision(model.probabilities(test_rows(apps))), "scored")
+
+
+def trained(spark, sf_dir):
+    return _trained(spark.sparkContext.applicationId, sf_dir)
+
+
+@query("m3_network_training")
+def m3(spark, sf_dir):
+    """Learn on train, evaluate on test."""
+    apps, _, scored = trained(spark, sf_dir)
+    rows = scored.join(test_rows(apps).select("ID", "label"), "ID").withColumn("Prediction", sc.predicted(F.col("probability")))
+    return ev.metrics(rows).join(F.broadcast(ev.auc(rows, score="probability")))  # one row each
+
+
+def vectors(spark, sf_dir):
+    """The embeddings as a labelled feature table."""
+    rows = table(spark, sf_dir, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"x{i}" for i in range(width)]
+    label = (F.col("label") < 5).cast("int").alias("label")
+    columns = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)]
+    return rows.select(F.col("vec_id").alias("ID"), label, *columns), names
+
+
+@lru_cache(maxsize=2)
+def _sweep(app_id: str, sf_dir: str):
+    """Scores of all candidates on the same five folds, shared by the queries below."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows, names = vectors(spark, sf_dir)
+    rows = written(stratified_folds(rows), "folds")
+    return tr.cross_validate(rows, names, tr.candidates(len(names), SWEEP_NETWORK_ITERATIONS))
+
+
+def sweep_scores(spark, sf_dir):
+    return _sweep(spark.sparkContext.applicationId, sf_dir)
+
+
+def _candidate(name: str, model: str) -> None:
+    @query(name)
+    def run(spark, sf_dir):
+        """Five-fold scores of one classifier, as AUC per fold."""
+        return ev.auc(sweep_scores(spark, sf_dir).filter(F.col("model") == model), by=["model", "fold"])
+
+
+_candidate("m4_logistic", "LogisticRegression")
+_candidate("m6_linear_svc", "LinearSVC")
+_candidate("m7_random_forest", "RandomForest")
+_candidate("m8_network", "MLP")
+
+
+@query(
+    "m5_nearest_neighbour_votes",
+    f"""
+    WITH rows AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    folds AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {scramble_sql('vec_id', SEED)}) - 1) * 5 // count(*) OVER (PARTITION BY label) AS fold FROM rows)
+    SELECT vec_id, round(avg(label), 6) AS score FROM (
+      SELECT q.vec_id, s.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, s.v), 9), s.vec_id) AS place
+      FROM folds q JOIN folds s ON q.fold <> s.fold) WHERE place <= 5 GROUP BY vec_id
+    """,
+)
+def m5(spark, sf_dir):
+    """The share of class 1 among the five nearest vectors of the other folds, for every vector."""
+    label = (F.col("label") < 5).cast("int")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    folds = written(stratified_folds(rows, id_col="vec_id"), "folds")
+    out = None
+    for fold in range(5):
+        store = folds.filter(F.col("fold") != fold).withColumnRenamed("vec_id", "near")
+        asked = folds.filter(F.col("fold") == fold)
+        hits = rt.top_k(asked, store, tr.NEIGHBOURS, "l2", "vec_id", store_id="near")
+        votes = rt.neighbour_votes(hits, store, "label", "vec_id", "near")
+        out = votes if out is None else out.unionByName(votes)
+    return rounded(out)
+
+
+@query("m9_cross_validation_sweep")
+def m9(spark, sf_dir):
+    """All five classifiers on the same folds, ranked by mean AUC."""
+    scores = sweep_scores(spark, sf_dir)
+    return ev.model_ranking(ev.auc(scores, by=["model", "fold"]))
+
+
+@query("m10_batch_score")
+def m10(spark, sf_dir):
+    apps, model, _ = trained(spark, sf_dir)
+    return sc.predictions(model, test_rows(apps))
+
+
+@query("m11_missing_features", with_apps("SELECT count(*) AS n_rows, 'loan_type' AS missing FROM apps"))
+def m11(spark, sf_dir):
+    """The learned features that a table lacks, found from its schema."""
+    rows = applications(spark, sf_dir).drop("loan_type")
+    absent = missing_features(["loan_amount", "loan_type", "population"], rows)
+    return rows.agg(F.count("*").alias("n_rows"), F.lit(",".join(absent)).alias("missing"))
+
+
+@query("m12_approval_rate")
+def m12(spark, sf_dir):
+    _, _, scored = trained(spark, sf_dir)
+    return sc.approval_rate(scored.withColumn("Prediction", sc.predicted(F.col("probability"))))
+
+
+@query(
+    "m12_rule_approval_rate",
+    with_apps("SELECT round(avg(CASE WHEN applicant_income > loan_amount * 0.2E0 THEN 1 ELSE 0 END), 6) AS approval_rate FROM apps"),
+)
+def m12_rule(spark, sf_dir):
+    rows = sc.with_rule_score(applications(spark, sf_dir)).withColumn("Prediction", sc.predicted(F.col("probability")))
+    return rounded(sc.approval_rate(rows))
+
+
+RULE = "CASE WHEN applicant_income > loan_amount * 0.2E0 THEN 0.82E0 ELSE 0.45E0 END"
+DECISIONS = with_apps(
+    f"SELECT ID, CASE WHEN {RULE} >= 0.5 THEN 'approved' ELSE 'denied' END AS decision, round({RULE}, 3) AS confidence FROM apps"
+)
+
+
+@query("m13_decision", DECISIONS)
+def m13(spark, sf_dir):
+    scored = sc.with_decision(sc.with_rule_score(applications(spark, sf_dir)))
+    return scored.select("ID", "decision", "confidence")
+
+
+def application_stream(spark, sf_dir):
+    """Orders as a stream, looked up in the static tables."""
+    orders = table(spark, sf_dir, "orders").schema
+    sides = {t: table(spark, sf_dir, t) for t in ("customer", "nation", "region")}
+    stream = spark.readStream.schema(orders).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    return spark.sql(STATEMENT, orders=stream, **sides)
+
+
+@query("m13_stream_decision", DECISIONS)
+def m13_stream(spark, sf_dir):
+    """The same decisions from a stream, written exactly once and read back."""
+    return stream_decisions(spark, application_stream(spark, sf_dir), scratch_path(spark, "stream"))
+
+
+@query("m13_stream_model_decision")
+def m13_model(spark, sf_dir):
+    """Decisions of the trained model over the same stream."""
+    _, model, _ = trained(spark, sf_dir)
+    return stream_decisions(spark, application_stream(spark, sf_dir).drop("split"), scratch_path(spark, "stream"), model)
+
+
+@query("m14_rule_score", with_apps(f"SELECT ID, {RULE} AS probability FROM apps"))
+def m14(spark, sf_dir):
+    return sc.with_rule_score(applications(spark, sf_dir)).select("ID", "probability")
