@@ -128,7 +128,7 @@ def r7(spark, sf_dir):
     store = table(spark, sf_dir, "embeddings").filter("label < 0").select(
         F.col("vec_id").cast("string").alias("chunk_id"), F.lit("").alias("chunk"), "embedding"
     )
-    found = rt.with_hits(queries, rt.top_k(queries, store), store)
+    found = rt.retrieved(queries, store)
     return found.select("query_id", F.size("chunks").alias("n_hits"), F.array_join("chunks", "\n").alias("chunks"))
 
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from fitgrain import schema
 from fitgrain.functions.mixing import as_long_id, scrambled
@@ -29,11 +28,25 @@ def _named_rows(pairs: Sequence[tuple[Column, ...]], fields: Sequence[str]) -> C
     return F.array(*[F.struct(*[v.alias(f) for v, f in zip(p, fields)]) for p in pairs])
 
 
+def _seen(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null, for counting."""
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.nanvl(F.col(name), F.lit(None))
+    return F.col(f"`{name}`")
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    """Present values per column as ``c0, c1, ...`` and all rows as ``n``."""
+    counts = [F.count(_seen(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    return df.agg(F.count("*").alias("n"), *counts)
+
+
 def missing_percent(df: DataFrame) -> DataFrame:
     """``(column_name, missing_pct)`` for every column, from one aggregate."""
-    shares = df.agg(*[F.avg(is_missing(df, c).cast("int")).alias(c) for c in df.columns])
-    pairs = [(F.lit(c), F.col(f"`{c}`") * 100) for c in df.columns]
-    return shares.select(F.inline(_named_rows(pairs, ("column_name", "missing_pct"))))
+    pairs = [
+        (F.lit(c), F.try_divide((F.col("n") - F.col(f"c{i}")) * 100.0, F.col("n"))) for i, c in enumerate(df.columns)
+    ]
+    return _counts(df).select(F.inline(_named_rows(pairs, ("column_name", "missing_pct"))))
 
 
 def missing_report(df: DataFrame, candidate_over: float = 50.0) -> DataFrame:
@@ -48,8 +61,8 @@ def missing_report(df: DataFrame, candidate_over: float = 50.0) -> DataFrame:
 
 def high_missing_columns(df: DataFrame, threshold: float = MISSING_THRESHOLD) -> list[str]:
     """Columns whose missing share is above ``threshold``; one row reaches the driver."""
-    row = df.agg(*[F.avg(is_missing(df, c).cast("int")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    return [c for i, c in enumerate(df.columns) if row[i] is not None and row[i] > threshold]
+    row = _counts(df).first()
+    return [c for i, c in enumerate(df.columns) if row["n"] - row[f"c{i}"] > threshold * row["n"]]
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -66,11 +79,9 @@ def overview(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count and percent of each non-null value."""
     counts = df.filter(~is_missing(df, column)).groupBy(column).agg(F.count("*").alias("n"))
-    # The total comes from a sum of the counts, not from a window over them.
-    total = counts.agg(F.sum("n").alias("__total"))
-    return counts.join(F.broadcast(total)).select(  # total is one row
-        column, "n", F.round(F.col("n") * 100.0 / F.col("__total"), 2).alias("pct")
-    )
+    # The total is a scalar over the combined counts, not a window over them.
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(column, "n", F.round(F.col("n") * 100.0 / total, 2).alias("pct"))
 
 
 def imbalance(df: DataFrame, column: str = schema.TARGET) -> DataFrame:
@@ -138,27 +149,21 @@ def describe(df: DataFrame, columns: Sequence[str] = schema.NUMERIC) -> DataFram
     """Mean, sample deviation, bias-corrected skew, maximum, 99th percentile, log advice."""
     names = present(df, columns)
     q99 = exact_quantiles(df, {c: [0.99] for c in names})
-    aggs = []
-    for i, c in enumerate(names):
-        v = value_of(df, c)
-        n = F.count(v)
-        biased = F.skewness(v)
-        skew = F.when(n > 2, biased * F.sqrt(n * (n - 1.0)) / (n - 2.0))
-        aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"), skew.alias(f"skew{i}"), F.max(v).alias(f"max{i}")]
-    pairs = [
-        (
-            F.lit(c),
-            F.col(f"mean{i}"),
-            F.col(f"std{i}"),
-            F.col(f"skew{i}"),
-            F.col(f"max{i}"),
-            F.lit(q99[c][0]).cast("double"),
-            F.abs(F.col(f"skew{i}")) > 1,
-        )
-        for i, c in enumerate(names)
+    # Stacked values keep the aggregate small enough to be compiled well.
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), value_of(df, c).alias("v"), F.lit(q99[c][0]).cast("double").alias("q99"))
+        for c in names
     ]
-    fields = ("column_name", "mean", "std", "skew", "max", "q99", "log_recommended")
-    return df.agg(*aggs).select(F.inline(_named_rows(pairs, fields)))
+    n = F.count("v")
+    skew = F.when(n > 2, F.skewness("v") * F.sqrt(n * (n - 1.0)) / (n - 2.0))
+    return (
+        df.select(F.explode(F.array(*entries)).alias("e"))
+        .select("e.*")
+        .groupBy("column_name", "q99")
+        .agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), skew.alias("skew"), F.max("v").alias("max"))
+        .withColumn("log_recommended", F.abs("skew") > 1)
+        .select("column_name", "mean", "std", "skew", "max", "q99", "log_recommended")
+    )
 
 
 def rate_by_category(
@@ -177,17 +182,14 @@ def rate_by_category(
     )
     # Missing categories count in the overall mean but are not listed. Each
     # column has the same overall mean, so any one column gives it.
-    overall = stats.filter(F.col("column_name") == names[0]).agg((F.sum("s") / F.sum("ny")).alias("overall_rate"))
-    from pyspark.sql.window import Window
-
+    overall = stats.filter(F.col("column_name") == names[0]).agg(F.sum("s") / F.sum("ny")).scalar()
     order = Window.partitionBy("column_name").orderBy(F.desc("rate"), "category")
     return (
         stats.filter("category is not null and ny > 0")
         .withColumn("rate", F.col("s") / F.col("ny"))
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= top)
-        .join(F.broadcast(overall))  # one row
-        .select("column_name", "place", "category", "rate", "n", "overall_rate")
+        .select("column_name", "place", "category", "rate", "n", overall.alias("overall_rate"))
     )
 
 
@@ -248,10 +250,50 @@ def quartile_rates(df: DataFrame, column: str, target: str = schema.TARGET, q: i
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, over rows where both are present."""
+    """Pearson correlation of every pair, over rows where both are present.
+
+    An aggregate with one ``corr`` per pair is too large for the JVM to
+    compile, so each task sums the products of its own rows as matrices and
+    hands on one row; the sums of the tasks are then added by Spark.
+    """
     names = present(df, columns)
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    aggs = [F.corr(value_of(df, names[i]), value_of(df, names[j])).alias(f"r{i}_{j}") for i, j in pairs]
-    both = sorted({(i, j) for i, j in pairs} | {(j, i) for i, j in pairs})
-    rows = [(F.lit(names[i]), F.lit(names[j]), F.col(f"r{min(i, j)}_{max(i, j)}")) for i, j in both]
-    return df.agg(*aggs).select(F.inline(_named_rows(rows, ("column_a", "column_b", "r"))))
+    k = len(names)
+    numbers = df.select(*[value_of(df, c).alias(c) for c in names])
+    centre = [v or 0.0 for v in numbers.agg(*[F.avg(c) for c in names]).first()]
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            x = np.column_stack(columns) - np.array(centre)
+            seen = ~np.isnan(x)
+            x = np.where(seen, x, 0.0)
+            seen = seen.astype(float)
+            total += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], names=["sums"])
+
+    parts = numbers.mapInArrow(sums, "sums array<double>")
+    cells = parts.select(F.posexplode("sums").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v"))
+    # Four sums per pair: rows, values of a, squares of a, products.
+    pair = (F.col("cell") % (k * k)).alias("pair")
+    which = F.floor(F.col("cell") / (k * k))
+    by_pair = cells.groupBy(pair).agg(
+        *[F.sum(F.when(which == i, F.col("v"))).alias(c) for i, c in enumerate(("n", "sa", "qa", "p"))]
+    )
+    a, b = F.floor(F.col("pair") / k), F.col("pair") % k
+    mirror = by_pair.select(
+        (b * k + a).alias("pair"), F.col("sa").alias("sb"), F.col("qa").alias("qb")
+    )  # one row per pair
+    n = F.col("n")
+    spread = lambda s, q: F.col(q) - F.col(s) * F.col(s) / n
+    shared = F.col("p") - F.col("sa") * F.col("sb") / n
+    scale = F.sqrt(F.greatest(spread("sa", "qa"), F.lit(0.0))) * F.sqrt(F.greatest(spread("sb", "qb"), F.lit(0.0)))
+    name_at = lambda i: F.get(F.array(*[F.lit(c) for c in names]), i.cast("int"))
+    return by_pair.join(mirror, "pair").select(
+        name_at(a).alias("column_a"),
+        name_at(b).alias("column_b"),
+        F.when(n > 0, F.try_divide(shared, scale)).alias("r"),
+    )

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgrain import schema
-from fitgrain.operators.numeric import constant_fill, fit_column_means, fit_scales, replaced, scaled
+from fitgrain.operators.numeric import replaced
 from fitgrain.operators.retrieve import neighbour_votes, top_k
 from fitgrain.plans.cleaning import CleaningModel, fit_cleaning
 from fitgrain.plans.features import FeatureModel, fit_features, require_features
-from fitgrain.session import scratch_path
+from fitgrain.session import scratch_path, written
 from fitgrain.sources.tables import path_exists
 
 # Hyperparameters of the production model and the candidates.
@@ -47,7 +47,7 @@ def candidates(inputs: int, network_iter: int = MAX_ITER, seed: int = SEED) -> d
     return {
         "LogisticRegression": LogisticRegression(featuresCol="features", labelCol="y", maxIter=1000, regParam=0.0),
         "KNeighbors": NEIGHBOURS,
-        "LinearSVC": LinearSVC(featuresCol="features", labelCol="y"),
+        "LinearSVC": LinearSVC(featuresCol="features", labelCol="y", regParam=0.01),
         "RandomForest": RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=TREES, seed=seed),
         "MLP": network(inputs, network_iter, seed),
     }
@@ -58,64 +58,37 @@ def _numeric(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return replaced(df, {c: F.col(c).cast("double") for c in features})
 
 
-def classifier_stages(features: Sequence[str], classifier) -> Pipeline:
-    """Mean fill, assembly, scaling, classifier."""
+def preparation_stages(features: Sequence[str]) -> list:
+    """Mean fill, assembly and scaling of the feature columns."""
     filled = [f"__{c}" for c in features]
-    return Pipeline(
-        stages=[
-            Imputer(strategy="mean", inputCols=list(features), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            classifier,
-        ]
-    )
+    return [
+        Imputer(strategy="mean", inputCols=list(features), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="raw_features"),
+        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+    ]
 
 
-@dataclass
-class Neighbours:
-    """k nearest training rows by distance over filled and scaled features."""
+def fit_classifier(train: DataFrame, features: Sequence[str], classifier, target: str = schema.TARGET) -> PipelineModel:
+    """Preparation and classifier fitted as one pipeline."""
+    ready = _numeric(train, features).withColumn("y", F.col(target).cast("double"))
+    return Pipeline(stages=[*preparation_stages(features), classifier]).fit(ready)
 
-    store: DataFrame
-    features: list[str]
-    means: dict
-    scales: dict
-    k: int = NEIGHBOURS
-    id_col: str = schema.ID
 
-    @staticmethod
-    def fit(train: DataFrame, features, k=NEIGHBOURS, target=schema.TARGET, id_col=schema.ID) -> Neighbours:
-        means = fit_column_means(train, features)
-        full = constant_fill(train, means)
-        model = Neighbours(train, list(features), means, fit_scales(full, features), k, id_col)
-        model.store = model._vectors(train, target)
-        return model
-
-    def _vectors(self, df: DataFrame, *more: str) -> DataFrame:
-        ready = scaled(constant_fill(df, self.means), self.scales)
-        return ready.select(self.id_col, *more, F.array(*[F.col(c).cast("float") for c in self.features]).alias("vec"))
-
-    def score(self, df: DataFrame, target: str = schema.TARGET) -> DataFrame:
-        """``(id, score)`` with the share of class 1 among the neighbours."""
-        known = self.store.withColumnRenamed(self.id_col, "near")
-        hits = top_k(self._vectors(df), known, self.k, "l2", self.id_col, "vec", "near", "vec")
-        return neighbour_votes(hits, known, target, self.id_col, "near")
-
-
-def fit_classifier(train: DataFrame, features: Sequence[str], classifier, target: str = schema.TARGET, id_col: str = schema.ID):
-    """A fitted pipeline, or the neighbour model where ``classifier`` is a number."""
-    if isinstance(classifier, int):
-        return Neighbours.fit(train, features, classifier, target, id_col)
-    ready = _numeric(train, features).withColumn("y", F.col(target).cast("double"))
-    return classifier_stages(features, classifier).fit(ready)
+def neighbour_scores(
+    train: DataFrame, rows: DataFrame, k: int, target: str = "y", id_col: str = schema.ID, vec: str = "features"
+) -> DataFrame:
+    """``(id, score)``: the share of class 1 among the ``k`` nearest training vectors."""
+    store = train.select(F.col(id_col).alias("near"), vector_to_array(vec, "float32").alias("vec"), target)
+    asked = rows.select(id_col, vector_to_array(vec, "float32").alias("vec"))
+    hits = top_k(asked, store, k, "l2", id_col, "vec", "near", "vec")
+    return neighbour_votes(hits, store, target, id_col, "near")
 
 
-def scores_of(model, df: DataFrame, features: Sequence[str], target: str = schema.TARGET, id_col: str = schema.ID) -> DataFrame:
-    """``(id, score)``: the probability of class 1, or the margin of a margin classifier."""
-    if isinstance(model, Neighbours):
-        return model.score(df, target)
-    out = model.transform(_numeric(df, features))
+def scores_of(model, rows: DataFrame, *keep: str) -> DataFrame:
+    """The probability of class 1 as ``score``, or the margin of a margin classifier."""
+    out = model.transform(rows)
     of = "probability" if "probability" in out.columns else "rawPrediction"
-    return out.select(id_col, vector_to_array(of)[1].alias("score"))
+    return out.select(*keep, vector_to_array(of)[1].alias("score"))
 
 
 @dataclass
@@ -190,24 +163,32 @@ def cross_validate(
     spark = df.sparkSession
     path = scratch_path(spark, "sweep")
 
+    def ready(number: int) -> tuple[DataFrame, DataFrame]:
+        """Training and validation vectors of a fold, written once for all models."""
+        train, held = df.filter(F.col(fold) != number), df.filter(F.col(fold) == number)
+        if prepare is not None:
+            apply = prepare(train)
+            train, held = apply(train, True), apply(held, False)
+        stages = Pipeline(stages=preparation_stages(features)).fit(_numeric(train, features))
+        y = F.col(target).cast("double").alias("y")
+        return tuple(
+            written(stages.transform(_numeric(side, features)).select(id_col, y, "features"), f"fold{number}")
+            for side in (train, held)
+        )
+
     def run(job: tuple[int, str]) -> None:
         number, name = job
         train, held = sides[number]
-        model = fit_classifier(train, features, models[name], target, id_col)
-        scored = scores_of(model, held, features, target, id_col)
-        labelled = held.select(id_col, F.col(target).cast("int").alias("label"))
-        rows = labelled.join(scored, id_col).select(F.col(id_col).alias("id"), "label", "score")
+        if isinstance(models[name], int):
+            scored = neighbour_scores(train, held, models[name], id_col=id_col)
+            scored = held.select(id_col, "y").join(scored, id_col)
+        else:
+            scored = scores_of(models[name].fit(train), held, id_col, "y")
+        rows = scored.select(F.col(id_col).alias("id"), F.col("y").cast("int").alias("label"), "score")
         rows.write.parquet(f"{path}/model={name}/fold={number}")
 
-    sides = {}
-    for number in range(folds):
-        train, held = df.filter(F.col(fold) != number), df.filter(F.col(fold) == number)
-        if prepare is not None:
-            apply = prepare(train)
-            train, held = apply(train, True), apply(held, False)
-        sides[number] = (train, held)
-    jobs = [(number, name) for number in range(folds) for name in models]
     with ThreadPool(parallelism) as pool:  # a few Spark jobs at a time, as CrossValidator does
-        pool.map(run, jobs, chunksize=1)
+        sides = dict(enumerate(pool.map(ready, range(folds), chunksize=1)))
+        pool.map(run, [(number, name) for name in models for number in range(folds)], chunksize=1)
     layout = f"id {df.schema[id_col].dataType.simpleString()}, label int, score double, model string, fold int"
     return spark.read.schema(layout).parquet(path)
