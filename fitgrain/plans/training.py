@@ -104,8 +104,9 @@ class TrainedModel:
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """``df`` as it came, with the probability of class 1."""
-        ready = self.prepared(df).select(schema.ID, *self.features.features)
-        out = self.classifier.transform(_numeric(ready, self.features.features))
+        ready = self.prepared(df)
+        require_features(self.features.features, ready)
+        out = self.classifier.transform(_numeric(ready.select(schema.ID, *self.features.features), self.features.features))
         return out.select(schema.ID, vector_to_array("probability")[1].alias("probability"))
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -118,7 +118,6 @@ def read_pages_as_text(pages: DataFrame, doc: str, page_no: str, text: str) -> D
 def scan_text_files(spark: SparkSession, pattern: str) -> DataFrame:
     """``(name, text)`` for each file matching ``pattern``, whole files as rows."""
     return (
-        spark.read.option("wholetext", True)
-        .text(pattern)
+        spark.read.text(pattern, wholetext=True)
         .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
     )

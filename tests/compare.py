@@ -75,7 +75,7 @@ def main(sf_dir: str, wanted: list[str]) -> int:
             if name not in ORACLES:
                 note = "rows only"
             else:
-                note = differences(got, con.execute(ORACLES[name]).to_arrow_table()) or "same"
+                note = differences(got, con.sql(ORACLES[name]).to_arrow_table()) or "same"
         except Exception as error:  # report every query of a run
             note, took, got = f"{type(error).__name__}: {str(error)[:600]}", time.time() - start, None
         bad += note not in ("same", "rows only")
