@@ -16,7 +16,8 @@ from fitgrain.catalog.registry import (
 from fitgrain.functions import text as tx
 from fitgrain.operators import keyed_maps as km
 from fitgrain.operators import numeric, profile
-from fitgrain.operators.hotdeck import DONOR_SEED, PICK_SEED, VISIT_SEED, fit_hotdeck
+from fitgrain.functions.mixing import MULTIPLIERS
+from fitgrain.operators.hotdeck import DONOR_SEED, VISIT_SEED, fit_hotdeck
 from fitgrain.plans import cleaning as plan
 from fitgrain.session import written
 from fitgrain.sources.applications import applications, test_rows, train_rows
@@ -257,7 +258,7 @@ def hotdeck_steps(source: str, seen: str, into: str) -> tuple:
     donors = scramble_sql("ID", DONOR_SEED)
     lists = ", ".join(f"list({c} ORDER BY o) FILTER (WHERE {c} IS NOT NULL) AS d{c}" for c in "ABC")
     picks = ", ".join(
-        f"coalesce({c}, d{c}[({scramble_sql('ID', PICK_SEED + i)} % len(d{c})) + 1], "
+        f"coalesce({c}, d{c}[(mix // n_buckets % 2147483647 * {MULTIPLIERS[i] + i} % 2147483647 % len(d{c})) + 1], "
         f"(SELECT median({c}) FROM {seen})) AS {c}"
         for i, c in enumerate("ABC")
     )
@@ -265,10 +266,11 @@ def hotdeck_steps(source: str, seen: str, into: str) -> tuple:
         ("deck_size", f"SELECT greatest(1, count(*) // 1000) AS n_buckets FROM {seen}"),
         ("deck_rows", f"SELECT A, B, C, {donors} AS o FROM {seen}"),
         ("deck", f"SELECT o % n_buckets AS bucket, {lists} FROM deck_rows, deck_size GROUP BY 1"),
+        ("visits", f"SELECT *, {scramble_sql('ID', VISIT_SEED)} AS mix FROM {source}"),
         (
             into,
-            f"SELECT s.* EXCLUDE (A, B, C), {picks} FROM {source} s CROSS JOIN deck_size "
-            f"LEFT JOIN deck ON {scramble_sql('s.ID', VISIT_SEED)} % n_buckets = bucket",
+            f"SELECT v.* EXCLUDE (A, B, C, mix), {picks} FROM visits v CROSS JOIN deck_size "
+            "LEFT JOIN deck ON mix % n_buckets = bucket",
         ),
     )
 

@@ -7,7 +7,7 @@ place is a fixed scramble of its id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,20 +24,23 @@ def as_long_id(col: Column, dtype: T.DataType) -> Column:
     return F.pmod(whole, F.lit(HALF * HALF))
 
 
-def scrambled(id_col: Column, seed: int) -> Column:
-    """A one-to-one scramble of ids below 2**62, different for every seed.
+def with_scramble(df: DataFrame, id_col: str, seed: int, into: str) -> DataFrame:
+    """``df`` with a one-to-one scramble of the id, different for every seed.
 
-    Three rounds over the two 31-bit halves of the id. Since no two ids share
-    a value, an order by it has no ties.
+    Three rounds over the two 31-bit halves of the id. No two ids below 2**62
+    share a value, so an order by it has no ties. Each round is a column of
+    its own, so that Spark computes it once.
     """
     half = F.lit(HALF)
-    high = F.shiftright(id_col, 31)
-    low = id_col % half
 
-    def stir(part: Column, other: Column, multiplier: int) -> Column:
-        return (part + (other * F.lit(multiplier) + F.lit(seed)) % F.lit(PRIME)) % half
-
-    low = stir(low, high, MULTIPLIERS[0])
-    high = stir(high, low, MULTIPLIERS[1])
-    low = stir(low, high, MULTIPLIERS[2])
-    return low * half + high
+    def stir(part: str, other: str, multiplier: int) -> Column:
+        return (F.col(part) + (F.col(other) * F.lit(multiplier) + F.lit(seed)) % F.lit(PRIME)) % half
+
+    own, high, low = f"{into}_id", f"{into}_high", f"{into}_low"
+    whole = as_long_id(F.col(id_col), df.schema[id_col].dataType)
+    layout = [c for c in df.columns if c != into]
+    df = df.withColumn(own, whole).withColumn(high, F.shiftright(own, 31)).withColumn(low, F.col(own) % half)
+    df = df.withColumn(low, stir(low, high, MULTIPLIERS[0]))
+    df = df.withColumn(high, stir(high, low, MULTIPLIERS[1]))
+    df = df.withColumn(low, stir(low, high, MULTIPLIERS[2]))
+    return df.select(*layout, (F.col(low) * half + F.col(high)).alias(into))

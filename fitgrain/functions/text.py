@@ -54,9 +54,10 @@ def normalised(col: Column) -> Column:
     return F.lower(stripped(col))
 
 
-def blank_to_null(col: Column) -> Column:
-    """Missing markers written as text become real nulls."""
-    return F.when(~normalised(col).isin("nan", ""), col)
+def normalised_or_null(col: Column) -> Column:
+    """The normalised label; missing markers written as text become real nulls."""
+    text = normalised(col)
+    return F.nullif(F.nullif(text, F.lit("nan")), F.lit(""))
 
 
 def request_flag(col: Column, compat: bool = False) -> Column:
@@ -65,17 +66,17 @@ def request_flag(col: Column, compat: bool = False) -> Column:
     ``compat`` also counts labels that say it was *not* requested, as a plain
     substring test does.
     """
-    text = F.coalesce(normalised(col), F.lit("unknown"))
+    text = F.lower(F.coalesce(col, F.lit("unknown")))  # a search needs no trimming
     asked = text.contains("requested")
     if not compat:
         asked = asked & ~text.rlike(r"\bnot\s+requested\b")
     return F.when(asked, 1).otherwise(0)
 
 
-def coded(col: Column, codes: Mapping[str, int], default: int) -> Column:
-    """Integer code of a normalised label, ``default`` for the rest."""
+def coded(col: Column, codes: Mapping[str, int], default: int, clean: bool = False) -> Column:
+    """Integer code of a label, ``default`` for the rest; ``clean`` labels are normalised already."""
     known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, normalised(col)), F.lit(default))
+    return F.coalesce(F.try_element_at(known, col if clean else normalised(col)), F.lit(default))
 
 
 def consolidated(
@@ -85,19 +86,17 @@ def consolidated(
 
     ``compat`` looks for plain substrings, so "asian" is found in "caucasian".
     """
-    text = stripped(col)
-    if missing is not None:
-        text = F.coalesce(text, F.lit(missing))
+    text = col if missing is None else F.coalesce(col, F.lit(missing))
     any_phrase = "|".join(re.escape(p) for p in phrases)
     pattern = any_phrase if compat else rf"\b(?:{any_phrase})\b"
-    return F.when(F.lower(text).rlike(pattern), text).otherwise("Other")
+    return F.when(F.lower(text).rlike(pattern), stripped(text)).otherwise("Other")
 
 
 def classified(
     col: Column, keywords: Sequence[tuple[str, str]] = SEX_KEYWORDS, default: str = SEX_DEFAULT
 ) -> Column:
     """The class of the first keyword found in the label, in the given order."""
-    text = normalised(col)
+    text = F.lower(col)
     chain = None
     for word, label in keywords:
         chain = (F if chain is None else chain).when(text.contains(word), F.lit(label))

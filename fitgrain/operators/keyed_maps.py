@@ -68,21 +68,22 @@ class KeyedMap:
         )
         return spark.createDataFrame(arrow)
 
-    def as_column(self, key: str) -> Column:
-        """The mapped text as an expression, for a map of a few keys."""
+    def as_column(self, key: str, dtype: T.DataType) -> Column:
+        """The mapped value as an expression, for a map of a few keys."""
         if not self.rows:
-            return F.lit(None).cast("string")
-        entries = ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v, _ in self.rows)
+            return F.lit(None).cast(dtype)
+        kind = dtype.simpleString()
+        entries = ", ".join(f"{_quoted(k)}, CAST({_quoted(v)} AS {kind})" for k, v, _ in self.rows)
         return F.try_element_at(F.expr(f"map({entries})"), F.col(key).cast("string"))
 
-    def look_up(self, df: DataFrame, key: str | None) -> tuple[DataFrame, Column]:
-        """``df``, joined to the map where it is not a literal, and the mapped text."""
+    def look_up(self, df: DataFrame, key: str | None, dtype: T.DataType) -> tuple[DataFrame, Column]:
+        """``df``, joined to the map where it is not a literal, and the mapped value."""
         if key not in df.columns:
-            return df, F.lit(None).cast("string")
+            return df, F.lit(None).cast(dtype)
         if self.table is None and len(self.rows) <= LITERAL_KEYS:
-            return df, self.as_column(key)
+            return df, self.as_column(key, dtype)
         into = f"__mapped{next(_names)}"
-        table = self.as_table(df.sparkSession)
+        table = self.as_table(df.sparkSession).withColumn("value", F.col("value").cast(dtype))
         if self.table is None:
             return _left(df, F.col(key), F.broadcast(table), into), F.col(into)
         return _left_split(df, key, table, into), F.col(into)
@@ -270,8 +271,8 @@ def filled(df: DataFrame, *maps: KeyedMap, sentinel: str | None = None, key: str
     layout = df.columns
     offers = []
     for m in maps:
-        df, found = m.look_up(df, key or m.key)
-        offers.append(found.cast(dtype))
+        df, found = m.look_up(df, key or m.key, dtype)
+        offers.append(found)
     last = sentinel if sentinel is not None else maps[-1].fallback
     value = F.coalesce(current, *offers, F.lit(last).cast(dtype))
     return df.select(*[value.alias(c) if c == target else F.col(c) for c in layout])
@@ -284,6 +285,6 @@ def encoded(df: DataFrame, maps: Sequence[KeyedMap]) -> DataFrame:
     for m in maps:
         if m.value not in layout:
             continue
-        df, found = m.look_up(df, m.value)
-        means[m.value] = F.coalesce(found.cast("double"), F.lit(m.fallback).cast("double"))
+        df, found = m.look_up(df, m.value, T.DoubleType())
+        means[m.value] = F.coalesce(found, F.lit(m.fallback).cast("double"))
     return df.select(*[means[c].alias(c) if c in means else F.col(c) for c in layout])

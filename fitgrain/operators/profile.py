@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fitgrain import schema
-from fitgrain.functions.mixing import as_long_id, scrambled
+from fitgrain.functions.mixing import with_scramble
 from fitgrain.functions.quantiles import exact_quantiles, number
 from fitgrain.operators.numeric import present, value_of
 
@@ -93,8 +93,7 @@ def imbalance(df: DataFrame, column: str = schema.TARGET) -> DataFrame:
 
 def row_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = schema.ID) -> DataFrame:
     """``n`` rows in scrambled id order: the same sample on every run and cluster."""
-    place = scrambled(as_long_id(F.col(id_col), df.schema[id_col].dataType), seed)
-    return df.orderBy(place, F.col(id_col)).limit(n)
+    return with_scramble(df, id_col, seed, "__place").orderBy("__place", id_col).limit(n).drop("__place")
 
 
 def null_mask(df: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitgrain import schema
-from fitgrain.functions.mixing import as_long_id, scrambled
+from fitgrain.functions.mixing import with_scramble
 from fitgrain.functions.quantiles import INSIDE_LIMIT, order_statistics
 
 TEST_SHARE = 0.2
@@ -21,9 +21,10 @@ SEED = 42
 MAX_CLASSES = 1000
 
 
-def _cuts(df, strata, id_col, seed, cuts_of, inside_limit) -> tuple[Column, dict]:
-    """The row scramble, and per class the scrambles at the wanted ranks."""
-    place = scrambled(as_long_id(F.col(id_col), df.schema[id_col].dataType), seed)
+def _cuts(df, strata, id_col, seed, cuts_of, inside_limit) -> tuple[DataFrame, dict]:
+    """Rows with their scramble, and per class the scrambles at the wanted ranks."""
+    mixed = with_scramble(df, id_col, seed, "__place")
+    place = F.col("__place")
     classes = df.groupBy(strata).count().take(MAX_CLASSES + 1)
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"'{strata}' has more than {MAX_CLASSES} classes; it cannot be a stratum")
@@ -33,8 +34,8 @@ def _cuts(df, strata, id_col, seed, cuts_of, inside_limit) -> tuple[Column, dict
         values[i] = F.when(same, place)
         ranks[i] = sorted({r for r in cuts_of(n) if 0 <= r < n})
         counts[i] = n
-    at = order_statistics(df, values, ranks, counts, inside_limit)
-    return place, {label: [at[i][r] for r in ranks[i]] for i, (label, _) in enumerate(classes)}
+    at = order_statistics(mixed.select(strata, "__place"), values, ranks, counts, inside_limit)
+    return mixed, {label: [at[i][r] for r in ranks[i]] for i, (label, _) in enumerate(classes)}
 
 
 def stratified_split(
@@ -47,13 +48,13 @@ def stratified_split(
     inside_limit: int = INSIDE_LIMIT,
 ) -> DataFrame:
     """``df`` with a flag that marks exactly round(share * n) rows of every class."""
-    place, cuts = _cuts(df, strata, id_col, seed, lambda n: [math.floor(share * n + 0.5) - 1], inside_limit)
+    mixed, cuts = _cuts(df, strata, id_col, seed, lambda n: [math.floor(share * n + 0.5) - 1], inside_limit)
     flag = F.lit(False)
     for label, at in cuts.items():
         same = F.col(strata).isNull() if label is None else F.col(strata) == F.lit(label)
         if at:
-            flag = F.when(same, place <= F.lit(at[0])).otherwise(flag)
-    return df.withColumn(into, flag)
+            flag = F.when(same, F.col("__place") <= F.lit(at[0])).otherwise(flag)
+    return mixed.withColumn(into, flag).drop("__place")
 
 
 def stratified_folds(
@@ -68,12 +69,12 @@ def stratified_folds(
     """``df`` with a fold number; each class's fold sizes differ by at most one."""
     # Rank r of n belongs to fold floor(r * folds / n); these are the first ranks of folds 1, 2, ...
     starts = lambda n: [-(-i * n // folds) for i in range(1, folds)]
-    place, cuts = _cuts(df, strata, id_col, seed, starts, inside_limit)
+    mixed, cuts = _cuts(df, strata, id_col, seed, starts, inside_limit)
     fold = F.lit(0)
     for label, at in cuts.items():
         same = F.col(strata).isNull() if label is None else F.col(strata) == F.lit(label)
         own = F.lit(0)
         for first in at:
-            own = own + F.when(place >= F.lit(first), 1).otherwise(0)
+            own = own + F.when(F.col("__place") >= F.lit(first), 1).otherwise(0)
         fold = F.when(same, own).otherwise(fold)
-    return df.withColumn(into, fold.cast("int"))
+    return mixed.withColumn(into, fold.cast("int")).drop("__place")

@@ -49,7 +49,7 @@ def normalised_ethnicity(df: DataFrame) -> DataFrame:
     """Lower-case ethnicity with missing markers as nulls."""
     if "applicant_ethnicity" not in df.columns:
         return df
-    text = tx.normalised(tx.blank_to_null(F.col("applicant_ethnicity").cast("string")))
+    text = tx.normalised_or_null(F.col("applicant_ethnicity").cast("string"))
     return replaced(df, {"applicant_ethnicity": text})
 
 
@@ -79,7 +79,7 @@ class CleaningModel:
         """The label expressions, after ethnicity has been filled by raw race."""
         out = {
             "preapproval": lambda c: tx.request_flag(c, self.compat),
-            "applicant_ethnicity": lambda c: tx.coded(c, tx.ETHNICITY_CODES, tx.APPLICANT_DEFAULT_CODE),
+            "applicant_ethnicity": lambda c: tx.coded(c, tx.ETHNICITY_CODES, tx.APPLICANT_DEFAULT_CODE, clean=True),
             "applicant_race_name_1": lambda c: tx.consolidated(c, compat=self.compat),
             "co_applicant_ethnicity": lambda c: tx.coded(c, tx.ETHNICITY_CODES, tx.CO_APPLICANT_DEFAULT_CODE),
             "co_applicant_race_name_1": lambda c: tx.consolidated(c, missing="No co-applicant", compat=self.compat),
