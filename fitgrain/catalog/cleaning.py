@@ -19,8 +19,7 @@ from fitgrain.operators import numeric, profile
 from fitgrain.functions.mixing import MULTIPLIERS
 from fitgrain.operators.hotdeck import DONOR_SEED, VISIT_SEED, fit_hotdeck
 from fitgrain.plans import cleaning as plan
-from fitgrain.session import written
-from fitgrain.sources.applications import applications, test_rows, train_rows
+from fitgrain.sources.applications import applications, test_rows, train_rows, written_applications
 from fitgrain import schema
 
 APP_COLUMNS = (
@@ -371,7 +370,7 @@ CLEAN_COLUMNS = [c for c in APP_COLUMNS if c not in ("split", "sparse_col")]
 )
 def i12(spark, sf_dir):
     # The derived table is read once per level, so it is written once.
-    apps = written(applications(spark, sf_dir), "applications")
+    apps = written_applications(spark, sf_dir)
     train, test = train_rows(apps), test_rows(apps)
     model = plan.fit_cleaning(train)
     clean = model.transform(train, training=True).withColumn("split", F.lit("train"))

@@ -11,8 +11,7 @@ from fitgrain.operators import keyed_maps as km
 from fitgrain.operators import numeric
 from fitgrain.plans import cleaning as cleaning_plan
 from fitgrain.plans import features as plan
-from fitgrain.session import written
-from fitgrain.sources.applications import applications, test_rows, train_rows
+from fitgrain.sources.applications import applications, test_rows, train_rows, written_applications
 
 
 def capped_sql(column: str, source: str = "train") -> str:
@@ -175,7 +174,7 @@ WHOLE = ("ID", "label", "loan_type", "lien_status", "preapproval", "applicant_et
     ),
 )
 def f16(spark, sf_dir):
-    apps = written(applications(spark, sf_dir), "applications")
+    apps = written_applications(spark, sf_dir)
     train, test = train_rows(apps), test_rows(apps)
     cleaner = cleaning_plan.fit_cleaning(train)
     clean = cleaner.transform(train, training=True)

@@ -14,7 +14,7 @@ from fitgrain.plans import scoring as sc
 from fitgrain.plans import training as tr
 from fitgrain.plans.features import missing_features
 from fitgrain.session import scratch_path, written
-from fitgrain.sources.applications import STATEMENT, applications, test_rows, train_rows
+from fitgrain.sources.applications import applications, STATEMENT, test_rows, train_rows, written_applications
 from fitgrain.streaming.scoring import stream_decisions
 
 NETWORK_ITERATIONS = 60
@@ -49,7 +49,7 @@ def _trained(app_id: str, sf_dir: str):
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    apps = written(applications(spark, sf_dir), "applications")
+    apps = written_applications(spark, sf_dir)
     network = lambda inputs: tr.network(inputs, NETWORK_ITERATIONS)
     model = tr.train_model(train_rows(apps), network)
     return apps, model, written(sc.with_decision(model.probabilities(test_rows(apps))), "scored")

@@ -16,7 +16,7 @@ from fitgrain.operators.split import stratified_split
 from fitgrain.plans.scoring import predicted, with_rule_score
 from fitgrain.session import scratch_path
 from fitgrain.sources import tables as io
-from fitgrain.sources.applications import applications, train_rows
+from fitgrain.sources.applications import applications, train_rows, written_applications
 from pyspark.sql import types as T
 
 
@@ -112,7 +112,7 @@ def s7(spark, sf_dir):
     from fitgrain.plans.training import TrainedModel, train_model
     from fitgrain.session import written
 
-    apps = written(applications(spark, sf_dir), "applications")
+    apps = written_applications(spark, sf_dir)
     logistic = lambda inputs: LogisticRegression(featuresCol="features", labelCol="y", maxIter=20)
     model = train_model(train_rows(apps), logistic)
     path = scratch_path(spark, "model")

@@ -275,7 +275,12 @@ def filled(df: DataFrame, *maps: KeyedMap, sentinel: str | None = None, key: str
         offers.append(found)
     last = sentinel if sentinel is not None else maps[-1].fallback
     value = F.coalesce(current, *offers, F.lit(last).cast(dtype))
-    return df.select(*[value.alias(c) if c == target else F.col(c) for c in layout])
+    return _without_joined(df.withColumn(target, value), layout)
+
+
+def _without_joined(df: DataFrame, layout: Sequence[str]) -> DataFrame:
+    joined = [c for c in df.columns if c not in layout]
+    return df.drop(*joined) if joined else df
 
 
 def encoded(df: DataFrame, maps: Sequence[KeyedMap]) -> DataFrame:
@@ -287,4 +292,4 @@ def encoded(df: DataFrame, maps: Sequence[KeyedMap]) -> DataFrame:
             continue
         df, found = m.look_up(df, m.value, T.DoubleType())
         means[m.value] = F.coalesce(found, F.lit(m.fallback).cast("double"))
-    return df.select(*[means[c].alias(c) if c in means else F.col(c) for c in layout])
+    return _without_joined(df.withColumns(means), layout) if means else df

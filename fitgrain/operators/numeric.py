@@ -12,7 +12,7 @@ from fitgrain.functions.quantiles import exact_quantiles, number
 
 def replaced(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """``df`` with some columns replaced in place."""
-    return df.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.withColumns(dict(columns)) if columns else df
 
 
 def value_of(df: DataFrame, name: str) -> Column:

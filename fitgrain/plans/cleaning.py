@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,15 +131,17 @@ def fit_cleaning(train: DataFrame, threshold: float = MISSING_THRESHOLD, compat:
     model.dropped = [c for c in high_missing_columns(train, threshold) if c not in (schema.ID, schema.TARGET)]
     model.maps.update(fit_modes(train.drop(*model.dropped), [OCCUPANCY]))
 
-    kept = model.occupancy(train, training=True)
-    model.maps.update(fit_modes(kept, [ETHNICITY, TRACT, LIEN]))
-    if schema.ID in kept.columns:
-        model.hotdeck = fit_hotdeck(kept)
+    legal = model.occupancy(train, training=True)
+    with ThreadPool(2) as pool:  # the donors depend on no map, so they are gathered alongside
+        deck = pool.apply_async(fit_hotdeck, (legal,)) if schema.ID in legal.columns else None
+        model.maps.update(fit_modes(legal, [ETHNICITY, TRACT, LIEN]))
 
-    kept = model._fill(kept, TRACT.name, sentinel=TRACT_SENTINEL)
-    model.maps.update(fit_modes(kept, [COUNTY]))
+        kept = model._fill(legal, TRACT.name, sentinel=TRACT_SENTINEL)
+        model.maps.update(fit_modes(kept, [COUNTY]))
 
-    kept = model._fill(kept, COUNTY.name)
-    model.maps.update(fit_modes(kept, [MSAMD]))
-    model.maps.update(fit_means(kept, [INCOME_BY_TRACT, INCOME_BY_COUNTY]))
+        kept = model._fill(kept, COUNTY.name)
+        means = pool.apply_async(fit_means, (kept, [INCOME_BY_TRACT, INCOME_BY_COUNTY]))
+        model.maps.update(fit_modes(kept, [MSAMD]))
+        model.maps.update(means.get())
+        model.hotdeck = deck.get() if deck else None
     return model

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,10 +113,13 @@ def fit_features(train: DataFrame, exclude_protected: bool = True, target: str =
     model = FeatureModel()
     caps = present(train, schema.CAPPED)
     medians = present(train, schema.MEDIAN_FILLED)
-    learned = exact_quantiles(train, {**{c: [CAP_SHARE] for c in caps}, **{c: [0.5] for c in medians}})
+    wanted = {**{c: [CAP_SHARE] for c in caps}, **{c: [0.5] for c in medians}}
+    with ThreadPool(1) as pool:  # quantiles and encodings do not depend on each other
+        quantiles = pool.apply_async(exact_quantiles, (train, wanted))
+        model.modes = fit_modes(train, [MODAL_AGENCY])
+        model.encodings = fit_means(model.fill_agency(train), encoding_specs(train), of=target)
+        learned = quantiles.get()
     model.caps = {c: learned[c][0] for c in caps}
     model.medians = {c: learned[c][0] for c in medians}
-    model.modes = fit_modes(train, [MODAL_AGENCY])
-    model.encodings = fit_means(model.fill_agency(train), encoding_specs(train), of=target)
     model.features = feature_columns(model.transform(train), exclude_protected, target=target)
     return model

@@ -47,6 +47,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/fitgrain/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, dealt out to all cores.
+
+    Only small inputs are moved: a large scan has more partitions than cores.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fitgrain.session import spread, written
+
 # One statement for Spark and for the check in DuckDB; the table names are
 # filled in by either side. Its CASE patterns are made up and mean nothing.
 STATEMENT = """
@@ -58,6 +60,13 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(STATEMENT, **sides)
 
 
+def written_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The application table written once, for plans that read it in several passes."""
+    sides = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    sides["orders"] = spread(sides["orders"])
+    return written(spark.sql(STATEMENT, **sides), "applications")
+
+
 def applications_sql() -> str:
     """The same statement over the table names themselves."""
     return STATEMENT.format(**{t: t for t in TABLES})
