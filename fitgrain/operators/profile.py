@@ -179,9 +179,8 @@ def rate_by_category(
         .groupBy("e.column_name", "e.category")
         .agg(F.sum("y").alias("s"), F.count("y").alias("ny"), F.count("*").alias("n"))
     )
-    # Missing categories count in the overall mean but are not listed. Each
-    # column has the same overall mean, so any one column gives it.
-    overall = stats.filter(F.col("column_name") == names[0]).agg(F.sum("s") / F.sum("ny")).scalar()
+    # Rows with a missing category count in the overall mean but are not listed.
+    overall = df.agg(F.avg(F.col(target).cast("double"))).scalar()
     order = Window.partitionBy("column_name").orderBy(F.desc("rate"), "category")
     return (
         stats.filter("category is not null and ny > 0")
