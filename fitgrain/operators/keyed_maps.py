@@ -179,20 +179,26 @@ def fit_modes(df: DataFrame, specs: Sequence[MapSpec], limit: int = SMALL_MAP_RO
         _stacked(df, specs).filter("text is not null").groupBy("map", "key", "text", "num").agg(F.count("*").alias("n"))
     )
     first = F.min(F.struct((-F.col("n")).alias("rank"), "num", "text"))["text"].alias("value")
-    per_key = (
-        counts.filter("key is not null")
-        .groupBy("map", "key")
-        .agg(first, F.sum("n").alias("n"))
-        .select("map", F.lit(False).alias("is_global"), "key", "value", "n")
-    )
-    overall = (
-        counts.groupBy("map", "text", "num")
+    modes = (
+        _with_totals(counts)
+        .groupBy("map", "is_global", "key", "text", "num")
         .agg(F.sum("n").alias("n"))
-        .groupBy("map")
+        .groupBy("map", "is_global", "key")
         .agg(first, F.sum("n").alias("n"))
-        .select("map", F.lit(True).alias("is_global"), F.lit(None).cast("string").alias("key"), "value", "n")
     )
-    return _gathered(overall.unionByName(per_key), specs, limit)
+    return _gathered(modes.select("map", "is_global", "key", "value", "n"), specs, limit)
+
+
+def _with_totals(combined: DataFrame) -> DataFrame:
+    """Combined rows once for their key and once for the whole map.
+
+    One pass serves both: a union of two aggregates would scan the table twice.
+    """
+    own = F.struct(F.lit(False).alias("is_global"), F.col("key").alias("key"))
+    whole = F.struct(F.lit(True).alias("is_global"), F.lit(None).cast("string").alias("key"))
+    rest = [c for c in combined.columns if c != "key"]
+    twice = combined.select(*rest, F.explode(F.array(own, whole)).alias("of"))
+    return twice.select(*rest, "of.*").filter("is_global or key is not null")
 
 
 def fit_means(
@@ -214,13 +220,14 @@ def fit_means(
         )
     sums = long.groupBy("map", "key").agg(F.sum("num").alias("total"), F.count("num").alias("n"))
     mean = F.try_divide(F.col("total"), F.col("n")).cast("string").alias("value")
-    per_key = sums.filter("key is not null and n > 0").select("map", F.lit(False).alias("is_global"), "key", mean, "n")
-    overall = (
-        sums.groupBy("map")
+    means = (
+        _with_totals(sums)
+        .groupBy("map", "is_global", "key")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        .select("map", F.lit(True).alias("is_global"), F.lit(None).cast("string").alias("key"), mean, "n")
+        .filter("n > 0")
+        .select("map", "is_global", "key", mean, "n")
     )
-    return _gathered(overall.unionByName(per_key), specs, limit)
+    return _gathered(means, specs, limit)
 
 
 def stored(maps: dict[str, KeyedMap], spark: SparkSession) -> DataFrame:
