@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fitgrain.catalog.registry import query, rounded, table, with_apps
 from fitgrain.operators import retrieve as rt
 from fitgrain.plans.scoring import with_decision, with_rule_score
-from fitgrain.session import written
+from fitgrain.session import spread, written
 from fitgrain.sources.applications import applications
 
 # The characters Python's str.split() separates on, for DuckDB's expressions.
@@ -38,7 +38,8 @@ def r2(spark, sf_dir):
 
 def chunk_store(spark, sf_dir):
     """Chunks with ids and vectors, and the encoder that made them."""
-    chunks = written(rt.with_chunk_id(document_chunks(spark, sf_dir), F.col("doc_id")), "chunks")
+    docs = spread(table(spark, sf_dir, "documents"))
+    chunks = written(rt.with_chunk_id(rt.chunked(docs, "doc_id", "text"), F.col("doc_id")), "chunks")
     encoder = rt.fit_encoder(chunks, "chunk")
     return written(encoder.encode(chunks, "chunk").select("chunk_id", "chunk", "embedding"), "store"), encoder
 
@@ -56,9 +57,9 @@ DECIDED = (
 )
 
 
-def decided(spark, sf_dir):
+def decided(spark, sf_dir, dealt=False):
     """Applications with the baseline rule's decision and whole amounts."""
-    scored = with_decision(with_rule_score(applications(spark, sf_dir)))
+    scored = with_decision(with_rule_score(applications(spark, sf_dir, dealt)))
     return scored.select(
         "ID",
         "decision",
@@ -190,5 +191,5 @@ _prompt("r8_prompt_compat", True)
 def r9(spark, sf_dir):
     """Search text, three nearest chunks and prompt for every application."""
     store, encoder = chunk_store(spark, sf_dir)
-    out = rt.explained(decided(spark, sf_dir), store, encoder)
+    out = rt.explained(decided(spark, sf_dir, dealt=True), store, encoder)
     return out.select("ID", "decision", "query", F.size("chunks").alias("n_chunks"), "prompt")

@@ -38,9 +38,7 @@ SEX_KEYWORDS = (
 )
 SEX_DEFAULT = "Not provided"
 
-WHITESPACE = (
-    "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-)
+BLANK = "\\s\\x1c-\\x1f"  # inside a class, with the (?U) flag
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
@@ -105,12 +103,12 @@ def classified(
 
 def words(col: Column) -> Column:
     """White-space separated words, as Python's ``str.split()`` gives them."""
-    return F.filter(F.split(col, f"[{WHITESPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(col, f"(?U)[{BLANK}]+"), "")
 
 
 def first_words(col: Column, n: int) -> Column:
     """The first ``n`` words, without splitting the rest of the text."""
-    head = f"^[{WHITESPACE}]*+(?:[^{WHITESPACE}]++(?:[{WHITESPACE}]++|$)){{0,{n}}}+"
+    head = f"(?U)^[{BLANK}]*+(?:[^{BLANK}]++(?:[{BLANK}]++|$)){{0,{n}}}+"
     return words(F.regexp_extract(col, head, 0))
 
 

@@ -54,17 +54,20 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nation
 TABLES = ("orders", "customer", "nation", "region")
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole application table. Catalyst prunes what a query does not use."""
+def applications(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The whole application table. Catalyst prunes what a query does not use.
+
+    ``dealt`` gives small tables to all cores, for work that is heavy per row.
+    """
     sides = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    if dealt:
+        sides["orders"] = spread(sides["orders"])
     return spark.sql(STATEMENT, **sides)
 
 
 def written_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The application table written once, for plans that read it in several passes."""
-    sides = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    sides["orders"] = spread(sides["orders"])
-    return written(spark.sql(STATEMENT, **sides), "applications")
+    return written(applications(spark, sf_dir, dealt=True), "applications")
 
 
 def applications_sql() -> str:
