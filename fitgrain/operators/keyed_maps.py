@@ -56,6 +56,7 @@ class KeyedMap:
     fallback: str | None = None
     rows: list[tuple[str, str, int]] | None = field(default_factory=list)
     table: DataFrame | None = None
+    total: int | None = None
 
     def as_table(self, spark: SparkSession) -> DataFrame:
         """The map as ``(key, value, n)``."""
@@ -86,7 +87,9 @@ class KeyedMap:
         table = self.as_table(df.sparkSession).withColumn("value", F.col("value").cast(dtype))
         if self.table is None:
             return _left(df, F.col(key), F.broadcast(table), into), F.col(into)
-        return _left_split(df, key, table, into), F.col(into)
+        if self.total is None:
+            self.total = self.table.agg(F.sum("n")).first()[0] or 0
+        return _left_split(df, key, table, self.total, into), F.col(into)
 
 
 def _quoted(text: str) -> str:
@@ -99,8 +102,7 @@ def _left(df: DataFrame, key: Column, table: DataFrame, into: str) -> DataFrame:
     return df.join(side, key.cast("string") == F.col(on), "left").drop(on)
 
 
-def _left_split(df: DataFrame, key: str, table: DataFrame, into: str) -> DataFrame:
-    total = table.agg(F.sum("n")).first()[0] or 0
+def _left_split(df: DataFrame, key: str, table: DataFrame, total: int, into: str) -> DataFrame:
     # Fewer than HOT_SHARE keys can each hold more than 1/HOT_SHARE of the rows.
     heavy = F.col("n") * HOT_SHARE > F.lit(total)
     tag = next(_names)
