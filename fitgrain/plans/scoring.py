@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fitgrain import schema
 from fitgrain.operators.evaluate import auc, metrics
 from fitgrain.operators.split import TEST_SHARE, stratified_split
-from fitgrain.plans.training import THRESHOLD, TrainedModel, train_model
+from fitgrain.plans.cleaning import fit_cleaning
+from fitgrain.plans.features import fit_features
+from fitgrain.plans.training import THRESHOLD, TrainedModel, fit_classifier, train_model
 from fitgrain.sources.tables import append_log
 
 # The baseline rule and its two scores.
@@ -57,10 +59,6 @@ def training_run(train: DataFrame, classifier, model_path: str, log_path: str, c
     marked = stratified_split(train, share=TEST_SHARE)
     kept, held = marked.filter("not is_validation").drop("is_validation"), marked.filter("is_validation").drop("is_validation")
     if compat:
-        from fitgrain.plans.cleaning import fit_cleaning
-        from fitgrain.plans.features import fit_features
-        from fitgrain.plans.training import fit_classifier
-
         cleaning = fit_cleaning(train, compat=True)
         features = fit_features(cleaning.transform(train, True), **options)
         ready = features.transform(cleaning.transform(kept, True))

@@ -8,7 +8,6 @@ batches, hence no watermark.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fitgrain import schema

@@ -1,6 +1,5 @@
 import pytest
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import functions as F
 
 from fitgrain.catalog.models import application_stream, vectors
 from fitgrain.operators import evaluate as ev
