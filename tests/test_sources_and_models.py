@@ -127,3 +127,12 @@ def test_decision_of_a_missing_probability_is_denied(spark):
 def test_rule_needs_more_than_a_fifth(spark):
     df = spark.createDataFrame([(21.0, 100.0), (20.0, 100.0), (None, 1.0)], "applicant_income double, loan_amount double")
     assert [r["probability"] for r in sc.with_rule_score(df).collect()] == [0.82, 0.45, 0.45]
+
+
+def test_compat_run_learns_its_maps_from_all_rows(spark, apps):
+    path = scratch_path(spark, "compat")
+    train = train_rows(apps)
+    model, figures = sc.training_run(train, logistic, f"{path}/model", f"{path}/log", compat=True)
+    everything = fit_cleaning(train, compat=True)
+    assert sorted(model.cleaning.maps["county"].rows) == sorted(everything.maps["county"].rows)
+    assert model.cleaning.compat and 0 <= figures["accuracy"] <= 1
