@@ -17,40 +17,45 @@ OVERLAP = 13
 DIFFERENT = 2
 #: Document positions are probed at this step, test items at each position.
 STEP = 2
+#: Positions of a document that one row probes.
+RUN = 64
 #: Shorter items are never looked for; items between this and OVERLAP tokens match as a whole and exactly.
 MIN_ITEM = 8
 #: The seeds of the items are broadcast up to this count, else both sides are shuffled.
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS = 200_000
 
 
 def tokens(text: Column) -> Column:
     return words(ascii_lower(F.coalesce(text, F.lit(""))))
 
 
-def seed_hashes(window: str, width: int) -> Column:
-    """The hashes of a window that starts at one token: one for each seed, none where the text ends too early."""
-    short = width < OVERLAP
-    masks = [tuple(range(width))] if short else SEEDS
-    hashes = [f"struct(cast({width * 10 + k} as int) AS seed, xxhash64({width * 10 + k}, {', '.join(f'{window}[{i}]' for i in mask)}) AS hash)" for k, mask in enumerate(masks)]
+def seed_hashes(width: int) -> Column:
+    """The hashes of the window ``w``: one for each seed."""
+    masks = [tuple(range(width))] if width < OVERLAP else SEEDS
+    hashes = [f"struct(cast({width * 10 + k} as int) AS seed, xxhash64({width * 10 + k}, {', '.join(f'w[{i}]' for i in mask)}) AS hash)" for k, mask in enumerate(masks)]
     return F.expr(f"array({', '.join(hashes)})")
 
 
-def positions(df: DataFrame, step: int, width: int) -> DataFrame:
-    """A row for each ``step``-th token that an overlap or a seed can start at, with its window of tokens."""
-    span = width if width < OVERLAP else 1 + max(max(s) for s in SEEDS)
-    at = df.where(F.size("t") >= span).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("t") - span, F.lit(step))))
-    return at.withColumn("w", F.slice("t", F.col("at") + 1, span))
-
+def seeds(df: DataFrame, key: str, step: int, width: int) -> DataFrame:
+    """``(key, at, lead, near, seed, hash)`` of every ``step``-th token that a seed can start at.
 
-def seeds(df: DataFrame, step: int, width: int, keep: list[str]) -> DataFrame:
-    found = positions(df, step, width).select(*keep, "at", F.explode(seed_hashes("w", width)).alias("s"))
-    return found.select(*keep, "at", "s.seed", "s.hash")
+    Tokens are first cut into short runs that overlap, so that no row holds a
+    long text. ``near`` is the run, ``lead`` the place of the seed in it; the
+    run reaches far enough on both sides for any overlap that holds the seed.
+    """
+    span = span_of(width)
+    reach = max(width - span, 0)
+    size = RUN + span - 1 + 2 * reach
+    run = F.expr(f"CASE WHEN size(t) >= {span} THEN sequence(0, size(t) - {span}, {RUN}) END")
+    runs = df.select(key, "t", F.explode_outer(run).alias("start"))
+    runs = runs.select(key, "start", F.expr(f"slice(t, greatest(start - {reach}, 0) + 1, {size} - greatest({reach} - start, 0))").alias("near"), F.expr(f"least(start, {reach})").alias("back"))
+    at = runs.select(key, "start", "near", "back", F.explode(F.sequence(F.lit(0), F.lit(RUN - 1), F.lit(step))).alias("k"))
+    at = at.select(key, "near", (F.col("start") + F.col("k")).alias("at"), (F.col("back") + F.col("k")).alias("lead"), F.expr(f"slice(near, back + k + 1, {span})").alias("w"))
+    return at.where(F.size("w") == span).select(key, "at", "lead", "near", F.explode(seed_hashes(width)).alias("s")).select(key, "at", "lead", "near", "s.seed", "s.hash")
 
 
-def around(t: str, at: str, reach: int, span: int) -> Column:
-    """The tokens that an overlap holding a seed at ``at`` can cover, blanks outside the text, so that seeds align."""
-    first = f"({at} - {reach})"
-    return F.expr(f"transform(sequence(0, {2 * reach + span - 1}), k -> CASE WHEN {first} + k < 0 THEN '' ELSE coalesce(get({t}, {first} + k), '') END)")
+def span_of(width: int) -> int:
+    return width if width < OVERLAP else 1 + max(max(s) for s in SEEDS)
 
 
 def contaminated(
@@ -80,24 +85,22 @@ def contaminated(
 
 
 def _of_width(docs: DataFrame, tests: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, item_id, at, shift)`` of verified hits of items that are compared over ``width`` tokens."""
     short = width < OVERLAP
-    span = width if short else 1 + max(max(s) for s in SEEDS)
-    reach = 0 if short else OVERLAP - span
-    own = tests.withColumnRenamed("u", "t")
-    test_seeds = seeds(own, 1, width, ["item_id", "t"]).select("seed", "hash", "item_id", F.col("at").alias("item_at"), around("t", "at", reach, span).alias("v"))
-    test_seeds = written(test_seeds.dropDuplicates(["seed", "hash", "item_id", "item_at"]), "test-seeds")
-    step = 1 if short else STEP
-    if test_seeds.count() <= BROADCAST_SEEDS:
-        probed = seeds(docs, step, width, ["doc_id", "t"])
-        hits = probed.join(F.broadcast(test_seeds), ["seed", "hash"]).withColumn("w", around("t", "at", reach, span))
-    else:
-        probed = positions(docs, step, width).select("doc_id", "at", around("t", "at", reach, span).alias("w"), F.explode(seed_hashes("w", width)).alias("s"))
-        hits = probed.select("doc_id", "at", "w", "s.seed", "s.hash").join(test_seeds, ["seed", "hash"])
-    same = "transform(w, (x, i) -> int(x <> '' AND x = v[i]))"
-    if short:
-        good = F.expr(f"aggregate({same}, 0, (a, x) -> a + x)") == width
-    else:
-        runs = f"transform(sequence(0, {2 * reach + span - OVERLAP}), o -> aggregate(slice(same, o + 1, {OVERLAP}), 0, (a, x) -> a + x))"
-        good = F.expr(f"exists({runs}, n -> n >= {OVERLAP - DIFFERENT})")
-    checked = hits.withColumn("same", F.expr(same)).where(good)
+    probed = seeds(docs, "doc_id", 1 if short else STEP, width)
+    own = seeds(tests.select("item_id", F.col("u").alias("t")), "item_id", 1, width)
+    own = own.select("item_id", F.col("at").alias("item_at"), F.col("lead").alias("item_lead"), F.col("near").alias("item_near"), "seed", "hash")
+    own = written(own.dropDuplicates(["item_id", "item_at", "seed", "hash"]), "test-seeds")
+    bounded = own.count() <= BROADCAST_SEEDS
+    sent = F.broadcast if bounded else (lambda df: df)
+    hits = probed.join(sent(own.select("seed", "hash", "item_id", "item_at")), ["seed", "hash"])
+    # Grouping keeps the checks below out of the join, which all tokens of the corpus pass through.
+    hits = hits.groupBy("doc_id", "item_id", "at", "item_at").agg(F.first("lead").alias("lead"), F.first("near").alias("near"))
+    places = own.dropDuplicates(["item_id", "item_at"]).select("item_id", "item_at", "item_lead", "item_near")
+    aligned = hits.join(sent(places), ["item_id", "item_at"])
+    reach, span = max(width - span_of(width), 0), span_of(width)
+    same = F.expr(f"transform(sequence({-reach}, {span + reach - 1}), d -> int(coalesce(get(near, lead + d) = get(item_near, item_lead + d), false)))")
+    runs = f"transform(sequence(1, {span + 2 * reach - width + 1}), o -> aggregate(slice(same, o, {width}), 0, (a, x) -> a + x))"
+    allowed = 0 if short else DIFFERENT
+    checked = aligned.withColumn("same", same).where(F.expr(f"exists({runs}, n -> n >= {width - allowed})"))
     return checked.select("doc_id", "item_id", "at", (F.col("at") - F.col("item_at")).alias("shift"))
