@@ -71,7 +71,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.cut_digests(suffix.repeated_spans(table(spark, sf_dir, "documents")))
+    return suffix.cut_digests(table(spark, sf_dir, "documents"))
 
 
 @query("op6_simhash")

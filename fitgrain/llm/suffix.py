@@ -27,8 +27,11 @@ GRAM = 32
 HOT_SAMPLE = 16
 HOT_GRAMS = 10_000
 SALTS = 64
-#: Different contexts of one gram that are sorted in one group; beyond it their windows are counted by hash.
+#: Different contexts of one gram that are sorted in one group. Beyond it the
+#: contexts are dealt out by runs of STRIDE windows and the bytes these share, and
+#: what is still that large (windows that differ in a few bytes only) is counted by hash.
 GROUP = 1000
+STRIDE = 8
 #: Sorted suffixes that are induced together: whole groups.
 BLOCK = 20_000
 _PIECE = (1 << 20) - 4096
@@ -189,8 +192,51 @@ def induced_windows(pieces: DataFrame) -> DataFrame:
     return queue.select("gram", "right", "left", "doc_id", "first", "n").mapInArrow(run, _WINDOWS)
 
 
+_PIECES = [("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int64())]
+
+
+def finer(pieces: DataFrame) -> DataFrame:
+    """Each piece as runs of at most ``STRIDE`` windows, sampled anew where the first of them starts.
+
+    Runs are cut at fixed distances from the old sample, so equal windows fall
+    into equal runs. ``gram`` is a hash of the bytes that all windows of a run
+    share, ``context`` one of all its bytes.
+    """
+    schema = pa.schema([*_PIECES, ("context", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for gram, right, left, doc_id, first, n in zip(*(batch.column(c).to_pylist() for c, _ in _PIECES)):
+                rows = []
+                least, most = WIDTH - len(right), len(left)
+                at = first + most
+                for low in range(least - least % STRIDE, most + 1, STRIDE):
+                    lo, hi = max(low, least), min(low + STRIDE - 1, most)
+                    shared = left[:low][::-1] + b"|" + right[: WIDTH - low - STRIDE + 1]
+                    new_right, new_left = left[:lo][::-1] + right[: WIDTH - lo], left[lo:hi]
+                    shape = (lo - low) << 8 | (hi - low)
+                    rows.append((digest(shared, gram + low & (1 << 64) - 1), new_right, new_left, doc_id, at - hi, n, digest(new_left + b"|" + new_right, shape)))
+                signed = [tuple(v - (1 << 64) if k in (0, 6) and v >> 63 else v for k, v in enumerate(row)) for row in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*signed), schema)], schema=schema)
+
+    return pieces.select(*[c for c, _ in _PIECES]).mapInArrow(run, "gram long, right binary, left binary, doc_id long, first int, n long, context long")
+
+
+def large_windows(large: DataFrame) -> DataFrame:
+    """Windows of single contexts that another context holds too, for grams of very many contexts."""
+    dealt = written(finer(large), "finer")
+    own = dealt.groupBy("gram", "context").agg((F.sum("n") + F.count("*") - 1).alias("n"), F.min(F.struct("doc_id", "first", "right", "left")).alias("at"))
+    own = written(own.select("gram", "context", "n", "at.*"), "finer-contexts")
+    sized = own.join(own.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "gram")
+    copied = dealt.where(F.col("n") == 1).join(own.where(F.col("n") > 1).select("gram", "context"), ["gram", "context"], "left_semi")
+    copied = copied.select("doc_id", "first", (F.col("first") + F.octet_length("left")).cast("int").alias("last"))
+    sorted_ = induced_windows(sized.where(F.col("kinds") <= GROUP))
+    return copied.unionByName(sorted_).unionByName(counted_windows(sized.where(F.col("kinds") > GROUP)))
+
+
 def counted_windows(pieces: DataFrame) -> DataFrame:
-    """The same for grams with very many contexts: their windows are combined by 128-bit hash, so no task holds a gram."""
+    """The same by 128-bit hashes of single windows, combined before they are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +255,7 @@ def counted_windows(pieces: DataFrame) -> DataFrame:
 
 def pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes around each wanted place: ``right`` from the sample on, ``left`` before it from right to left."""
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "shape", "n", (F.col("kinds") > GROUP).alias("large"))).alias("places"))
+    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "shape", "n")).alias("places"))
     joined = docs.join(places.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,23 +267,15 @@ def pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     text = (batch.column(1)[k].as_py() or "").encode()
                     for p in places:
                         first, at = p["first"], p["first"] + (p["shape"] >> 8)
-                        rows.append((p["gram"], text[at : first + (p["shape"] & 255) + WIDTH], text[first:at][::-1], doc_id, first, p["n"], p["large"]))
+                        rows.append((p["gram"], text[at : first + (p["shape"] & 255) + WIDTH], text[first:at][::-1], doc_id, first, p["n"]))
             if rows:
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["gram", "right", "left", "doc_id", "first", "n", "large"])
-
-    return joined.mapInArrow(run, "gram long, right binary, left binary, doc_id long, first int, n long, large boolean")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _PIECES)], [n for n, _ in _PIECES])
 
+    return joined.mapInArrow(run, "gram long, right binary, left binary, doc_id long, first int, n long")
 
-def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, spans)`` of each row: the byte ranges that a string of ``WIDTH`` bytes covers which also starts elsewhere.
 
-    Strings are judged on the whole input; overlapping ones count, matches do
-    not cross documents, ``spans`` are the longest runs in order, ends
-    excluded. Null and short texts have none. Repeated rows repeat each
-    other's strings. A row without an id is left as it is and not compared. An
-    empty table gives no rows.
-    """
+def marked(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, marks)`` of each row: ranges of starts of strings of ``WIDTH`` bytes that also start elsewhere."""
     docs = texts(documents, id_col, text_col)
     found = written(candidates(docs), "candidates")
     kinds = written(contexts(found), "kinds")
@@ -247,16 +285,31 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     windows = copied.unionByName(induced_windows(pieces(docs, wanted.where(F.col("kinds") <= GROUP))))
     large = wanted.where(F.col("kinds") > GROUP)
     if not large.isEmpty():
-        windows = windows.unionByName(counted_windows(pieces(docs, large)))
+        windows = windows.unionByName(large_windows(pieces(docs, large)))
     marks = windows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    joined = docs.join(marks.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks")
+    return docs.join(marks.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "marks")
+
+
+def spans_of(marks: pa.Array) -> list[list[dict[str, int]]]:
+    return [merged([(m["first"], m["last"] + WIDTH) for m in own.as_py() or ()]) for own in marks]
+
+
+def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, spans)`` of each row: the byte ranges that a string of ``WIDTH`` bytes covers which also starts elsewhere.
+
+    Strings are judged on the whole input; overlapping ones count, matches do
+    not cross documents, ``spans`` are the longest runs in order, ends
+    excluded. Null and short texts have none. Repeated rows repeat each
+    other's strings. A row without an id is left as it is and not compared. An
+    empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [merged([(m["first"], m["last"] + WIDTH) for m in own.as_py() or ()]) for own in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["doc_id", "text", "spans"])
+            spans = pa.array(spans_of(batch.column(2)), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), spans], ["doc_id", "text", "spans"])
 
-    return joined.mapInArrow(run, "doc_id long, text string, spans array<struct<start:long,stop:long>>")
+    return marked(documents, id_col, text_col).mapInArrow(run, "doc_id long, text string, spans array<struct<start:long,stop:long>>")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -278,14 +331,16 @@ def cut(text: bytes, spans: list[dict[str, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def cut_digests(spanned: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of rows with spans."""
+def cut_digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of each row, its spans cut out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, spans = raw(batch.column(1)), batch.column(2).to_pylist()
-            kept = [cut(t, s) for t, s in zip(whole, spans)]
-            columns = ([len(t) for t in whole], [len(t) - len(k) for t, k in zip(whole, kept)], [len(s) for s in spans], [sha256(k).hexdigest() for k in kept])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows = []
+            for k, spans in enumerate(spans_of(batch.column(2))):
+                whole = (batch.column(1)[k].as_py() or "").encode()
+                kept = cut(whole, spans)
+                rows.append((len(whole), len(whole) - len(kept), len(spans), sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c) for c in zip(*rows))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spanned.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(documents, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
