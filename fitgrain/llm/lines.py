@@ -11,6 +11,8 @@ from fitgrain.session import written
 MIN_KEY_CHARS = 10
 #: A key with more than this share of all lines is hot; fewer than 1 / share keys can be.
 HOT_SHARE = 1 / 1000
+#: and with more lines than this.
+HOT_LINES = 1000
 
 
 def split_lines(text: Column) -> Column:
@@ -33,7 +35,7 @@ def dropped_lines(lines: DataFrame) -> DataFrame:
     """
     per_key = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     total = lines.count()
-    hot = written(per_key.where(F.col("n") > F.lit(max(1000.0, total * HOT_SHARE))).select("h1", "h2", "first"), "hot-lines")
+    hot = written(per_key.where(F.col("n") > F.lit(max(float(HOT_LINES), total * HOT_SHARE))).select("h1", "h2", "first"), "hot-lines")
     hot_lines = lines.join(F.broadcast(hot), ["h1", "h2"])
     by_document = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos")
     cold = (

@@ -67,6 +67,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def bit_groups(sample: np.ndarray, parts: int = 4) -> list[list[int]]:
     """Bits in groups of equal size, correlated bits together: each group grows by the bit that goes best with it."""
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(float)
     spread = bits.std(axis=0)
     centred = (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1)
