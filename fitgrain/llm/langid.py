@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,7 +83,6 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     """Learn from ``(language, buckets, counts)`` rows by stochastic gradient descent, one row a step."""
     languages = tuple(sorted({r[0] for r in rows}))
     classes = [languages.index(r[0]) for r in rows]
-    shares = [r[2] / max(r[2].sum(), 1) for r in rows]
     held = [k for k in range(len(rows)) if k % CALIBRATION == 0]
     learned = [k for k in range(len(rows)) if k % CALIBRATION]
     random = np.random.default_rng(7)
@@ -94,8 +94,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         if step % max(len(learned), 1) == 0:
             order = random.permutation(learned)
         k = order[step % len(learned)]
-        _, buckets, _ = rows[k]
-        share = shares[k].astype(np.float32)
+        _, buckets, counts = rows[k]
+        share = counts / counts.sum()
         mean = share @ embeddings[buckets]
         error = softmax(mean @ weights + bias)
         error[classes[k]] -= 1
@@ -108,7 +108,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     model = Model(languages, table, bias, 1.0, 0.0)
     if not held:
         return model
-    logits = np.stack([shares[k] @ table[rows[k][1]] + bias for k in held])
+    logits = np.stack([rows[k][2] / rows[k][2].sum() @ table[rows[k][1]] + bias for k in held])
     right = np.array([classes[k] for k in held])
     temperature = min((2.0**e for e in np.arange(-4, 4.25, 0.25)), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), right] + 1e-12).sum())
     p = softmax(logits / temperature)
@@ -130,26 +130,32 @@ def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[st
     each = max(rows // len(counts), 1)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, each / r[1]))])
     place = F.xxhash64(F.lit("langid"), "doc_id")
-    drawn = labelled.where((F.pmod(place, F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")]).select("lang", "text", place.alias("place")).orderBy("place", "text").limit(rows).drop("place")
+    drawn = labelled.where((F.pmod(place, F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")]).select(place.alias("place"), "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text in zip(batch.column(0), raw(batch.column(1))):
-                counted = np.zeros(BUCKETS * len(LENGTHS), np.int64)
+            for row, text in enumerate(raw(batch.column(2))):
+                counted = np.zeros(BUCKETS * len(LENGTHS), np.int32)
                 for buckets in subwords(text):
-                    counted += np.bincount(buckets, minlength=len(counted))
+                    counted += np.bincount(buckets, minlength=len(counted)).astype(np.int32)
                 found = np.flatnonzero(counted)
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([found.astype(np.int32).tobytes()]), pa.array([counted[found].astype(np.int32).tobytes()])], ["lang", "buckets", "counts"])
+                packed = zlib.compress(np.diff(found, prepend=0).astype(np.int32).tobytes() + counted[found].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + 1], batch.column(1)[row : row + 1].cast(pa.string()), pa.array([packed])], ["place", "lang", "packed"])
 
-    found = drawn.mapInArrow(run, "lang string, buckets binary, counts binary").collect()
-    return [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)) for r in found if r[1]]
+    packed = drawn.mapInArrow(run, "place long, lang string, packed binary").orderBy("place", "packed").limit(rows)
+    found = []
+    for row in packed.select("lang", "packed").toLocalIterator():
+        both = np.frombuffer(zlib.decompress(row[1]), np.int32).reshape(2, -1)
+        if both.size:
+            found.append((row[0], np.cumsum(both[0], dtype=np.int32), both[1].astype(np.float32)))
+    return found
 
 
 def fit_languages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
     """A model of the labelled rows whose id's CRC-32 is not 2 modulo 4; None if there are none."""
     shipped(documents.sparkSession)
     named = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    learned = sorted(training_rows(named, rows), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    learned = training_rows(named, rows)
     random = np.random.default_rng(1)
     return fit([learned[k] for k in random.permutation(len(learned))]) if learned else None
 
