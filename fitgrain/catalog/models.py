@@ -181,8 +181,9 @@ def m13(spark, sf_dir):
 def application_stream(spark, sf_dir):
     """Orders as a stream, looked up in the static tables."""
     orders = table(spark, sf_dir, "orders").schema
+    # As a pattern the path may be a file or a folder of files; a stream takes a plain path for a folder only.
     sides = {t: table(spark, sf_dir, t) for t in ("customer", "nation", "region")}
-    stream = spark.readStream.schema(orders).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(orders).parquet(f"{sf_dir}/orders.parque[t]")
     return spark.sql(STATEMENT, orders=stream, **sides)
 
 

@@ -143,7 +143,7 @@ def prompt_sql(compat: bool) -> str:
     if compat:
         body = f"{head} || 'Context: ' || c || chr(10) || {fields} || chr(10) || 'Explanation:'"
     else:
-        words = f"list_filter(string_split_regex(c, '{BLANK_CLASS}'), lambda w: w <> '')[1:300]"
+        words = f"list_filter(string_split_regex(c, '{BLANK_CLASS}'), lambda w: w <> '')"
         body = f"{head} || {fields} || chr(10) || 'Context: ' || array_to_string({words}, ' ') || chr(10) || 'Explanation:'"
     return with_apps(
         f"SELECT ID, {body} AS prompt FROM decided JOIN contexts ON ID % n_docs = rank",

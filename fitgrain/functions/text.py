@@ -106,12 +106,6 @@ def words(col: Column) -> Column:
     return F.array_remove(F.split(col, f"(?U)[{BLANK}]+"), "")
 
 
-def first_words(col: Column, n: int) -> Column:
-    """The first ``n`` words, without splitting the rest of the text."""
-    head = f"(?U)^[{BLANK}]*+(?:[^{BLANK}]++(?:[{BLANK}]++|$)){{0,{n}}}+"
-    return words(F.regexp_extract(col, head, 0))
-
-
 def shown(col: Column, default: str = "unknown") -> Column:
     """A field as text, ``default`` where it is missing."""
     return F.coalesce(col.cast("string"), F.lit(default))

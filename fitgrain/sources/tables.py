@@ -52,8 +52,17 @@ def write_predictions(scored: DataFrame, path: str, fmt: str = "csv", id_col: st
 
 
 def upsert_chunks(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Append the chunks whose id is not in the table yet; a second run adds nothing."""
+    """Append the chunks whose id is not in the table yet; a second run adds nothing.
+
+    One id for two different chunks is an error: either of them would be lost.
+    """
     spark = chunks.sparkSession
+    others = [c for c in ("chunk_index", "chunk") if c in chunks.columns]
+    if others:
+        content = F.xxhash64(*others)
+        twice = chunks.groupBy(key).agg(F.min(content).alias("low"), F.max(content).alias("high")).where("low <> high").first()
+        if twice:
+            raise ValueError(f"'{twice[0]}' names two different chunks")
     chunks = chunks.dropDuplicates([key])
     if path_exists(spark, path):
         known = spark.read.parquet(path).select(key)

@@ -136,3 +136,25 @@ def test_compat_run_learns_its_maps_from_all_rows(spark, apps):
     everything = fit_cleaning(train, compat=True)
     assert sorted(model.cleaning.maps["county"].rows) == sorted(everything.maps["county"].rows)
     assert model.cleaning.compat and 0 <= figures["accuracy"] <= 1
+
+
+def test_stream_of_a_table_in_many_files(spark, sf_dir, tmp_path):
+    from fitgrain.catalog.models import application_stream
+    from fitgrain.streaming.scoring import stream_decisions
+
+    for name in ("customer", "nation", "region", "orders"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = stream_decisions(spark, application_stream(spark, str(tmp_path)), f"{tmp_path}/out")
+    assert found.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_one_chunk_id_for_two_chunks(spark, tmp_path):
+    import pytest
+
+    from fitgrain.sources.tables import upsert_chunks
+
+    same = spark.createDataFrame([("x_0", 0, "a"), ("x_0", 0, "a")], "chunk_id string, chunk_index int, chunk string")
+    upsert_chunks(same, f"{tmp_path}/ok")
+    assert spark.read.parquet(f"{tmp_path}/ok").count() == 1
+    with pytest.raises(ValueError):
+        upsert_chunks(same.union(same.selectExpr("chunk_id", "chunk_index", "'b'")), f"{tmp_path}/bad")

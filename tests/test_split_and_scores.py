@@ -78,3 +78,20 @@ def test_metrics_are_zero_where_undefined(spark):
     assert matrix == {0: (1, 0), 1: (1, 0)}
     empty = {r["actual"]: (r["predicted_0"], r["predicted_1"]) for r in ev.confusion_matrix(df.limit(0)).collect()}
     assert empty == {0: (0, 0), 1: (0, 0)}
+
+
+def test_split_of_many_classes(spark, monkeypatch):
+    from fitgrain.operators import split
+
+    df = spark.range(12_000).selectExpr("id AS ID", "IF(id % 3 = 0, NULL, id % 4000) AS label")
+    ranked = split.stratified_split(df), split.stratified_folds(df)
+    monkeypatch.setattr(split, "FEW_CLASSES", 10_000)
+    few = df.where("label < 30 OR label IS NULL AND ID < 300")
+    plain = split.stratified_split(few), split.stratified_folds(few)
+    monkeypatch.setattr(split, "FEW_CLASSES", 0)
+    again = split.stratified_split(few), split.stratified_folds(few)
+    for a, b in zip(plain, again):
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    for label, n, marked in ranked[0].selectExpr("label", "int(is_validation) AS v").groupBy("label").agg({"*": "count", "v": "sum"}).collect():
+        assert {n, marked} == {n, int(0.2 * n + 0.5)} or {n, marked} == {marked, int(0.2 * marked + 0.5)}
+    assert ranked[1].groupBy("label", "fold").count().where("label IS NULL AND count <> 800").isEmpty()
