@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +27,16 @@ class _Bracket:
     below: int = 0
     inside: int = 0
     settled: bool = False
+    #: Whether the ends themselves are outside.
+    above_low: bool = False
+    under_high: bool = False
 
     def holds(self, value: Column) -> Column:
         test = value.isNotNull()
         if self.low is not None:
-            test = test & (value >= F.lit(self.low))
+            test = test & (value > F.lit(self.low) if self.above_low else value >= F.lit(self.low))
         if self.high is not None:
-            test = test & (value <= F.lit(self.high))
+            test = test & (value < F.lit(self.high) if self.under_high else value <= F.lit(self.high))
         return test
 
 
@@ -79,19 +82,26 @@ def _narrow(df, values, brackets, targets) -> None:
     tests = []
     for i, (name, rank) in enumerate(targets):
         low, high = sketch[i]
-        tests.append(F.count_if(values[name] < F.lit(low)).alias(f"b{i}"))
-        tests.append(F.count_if(values[name] <= F.lit(high)).alias(f"u{i}"))
+        ends = (values[name] < F.lit(low), values[name] <= F.lit(low), values[name] < F.lit(high), values[name] <= F.lit(high))
+        tests += [F.count_if(test).alias(f"t{i}_{k}") for k, test in enumerate(ends)]
     seen = df.agg(*tests).first()
 
     for i, target in enumerate(targets):
         low, high = sketch[i]
-        below, upto = seen[2 * i], seen[2 * i + 1]
-        b = brackets[target]
-        if below <= target[1] < upto and upto - below < b.inside:
-            b.low, b.high, b.below, b.inside = low, high, below, upto - below
-            b.settled = low == high
+        b, rank = brackets[target], target[1]
+        under_low, to_low, under_high, to_high = seen[4 * i : 4 * i + 4]
+        if rank < under_low:
+            new = replace(b, high=low, under_high=True, inside=under_low - b.below)
+        elif rank < to_low:
+            new = _Bracket(low, low, under_low, to_low - under_low, settled=True)
+        elif rank < under_high:  # between the ends, without what they hold
+            new = _Bracket(low, high, to_low, under_high - to_low, above_low=True, under_high=True)
+        elif rank < to_high:
+            new = _Bracket(high, high, under_high, to_high - under_high, settled=True)
         else:
-            b.settled = True  # the sketch did not help: rank what the bracket holds
+            new = replace(b, low=high, above_low=True, below=to_high, inside=b.below + b.inside - to_high)
+        # A sketch of large integers is rounded and may not help: then what the bracket holds is ranked.
+        brackets[target] = new if new.settled or new.inside < b.inside else replace(b, settled=True)
 
 
 def _pick(df, values, brackets) -> dict[str, dict[int, float | int]]:
@@ -101,16 +111,16 @@ def _pick(df, values, brackets) -> dict[str, dict[int, float | int]]:
         if b.low is not None and b.low == b.high:
             found[name][rank] = b.low
         else:
-            slots.setdefault((name, b.low, b.high, b.below), []).append(rank)
+            slots.setdefault((name, b.low, b.high, b.below, b.above_low, b.under_high), []).append(rank)
     if not slots:
         return found
     keys = list(slots)
     offered = [
         F.when(
-            _Bracket(low, high).holds(values[name]),
+            _Bracket(low, high, above_low=above_low, under_high=under_high).holds(values[name]),
             F.struct(F.lit(i).alias("slot"), values[name].alias("value")),
         )
-        for i, (name, low, high, _) in enumerate(keys)
+        for i, (name, low, high, _, above_low, under_high) in enumerate(keys)
     ]
     counted = (
         df.select(F.explode(F.array(*offered)).alias("e"))
@@ -127,7 +137,7 @@ def _pick(df, values, brackets) -> dict[str, dict[int, float | int]]:
         .collect()
     )
     for row in picked:
-        name, _, _, below = keys[row["slot"]]
+        name, _, _, below, *_ = keys[row["slot"]]
         for rank in slots[keys[row["slot"]]]:
             found[name][rank] = row[f"r{rank - below}"]
     return found

@@ -1,6 +1,7 @@
 """Maps learned per key (group mode, group mean, target mean) and their use.
 
-Every learned map is a table ``(key, value, n)`` plus a fallback. All maps of
+Every learned map is a table ``(key, value, n)`` plus a fallback; ``n`` counts
+all rows of the key, with or without a value. All maps of
 one dependency level are learned together: one scan, one shuffle of rows that
 are already combined per (map, key, value).
 
@@ -102,13 +103,15 @@ def _left(df: DataFrame, key: Column, table: DataFrame, into: str) -> DataFrame:
 
 
 def _left_split(df: DataFrame, key: str, table: DataFrame, total: int, into: str) -> DataFrame:
-    # Fewer than HOT_SHARE keys can each hold more than 1/HOT_SHARE of the rows.
+    # Fewer than HOT_SHARE keys can each hold more than 1/HOT_SHARE of the rows, with or without a value.
     heavy = F.col("n") * HOT_SHARE > F.lit(total)
     tag = next(_names)
-    hot, on, salt, row_salt = f"__hot{tag}", f"__on{tag}", f"__salt{tag}", f"__rowsalt{tag}"
+    hot, on_hot, is_hot = f"__hot{tag}", f"__onhot{tag}", f"__ishot{tag}"
+    on, salt, row_salt = f"__on{tag}", f"__salt{tag}", f"__rowsalt{tag}"
     spread = F.col(schema.ID) if schema.ID in df.columns else F.struct(*df.columns)
-    df = _left(df, F.col(key), F.broadcast(table.filter(heavy)), hot)
-    done = F.col(key).isNull() | F.col(hot).isNotNull()
+    few = table.filter(heavy).select(F.col("key").alias(on_hot), F.col("value").alias(hot), F.lit(True).alias(is_hot))
+    df = df.join(F.broadcast(few), F.col(key).cast("string") == F.col(on_hot), "left")
+    done = F.col(key).isNull() | F.col(is_hot).isNotNull()
     df = df.withColumn(
         row_salt, F.when(done, 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     )
@@ -119,7 +122,7 @@ def _left_split(df: DataFrame, key: str, table: DataFrame, total: int, into: str
     return (
         df.join(cold, met, "left")
         .withColumn(into, F.coalesce(F.col(hot), F.col(into)))
-        .drop(hot, on, salt, row_salt)
+        .drop(hot, on_hot, is_hot, on, salt, row_salt)
     )
 
 
@@ -151,23 +154,29 @@ def _stacked(df: DataFrame, specs: Sequence[MapSpec], *extra: str) -> DataFrame:
 
 
 def _gathered(rows: DataFrame, specs: Sequence[MapSpec], limit: int) -> dict[str, KeyedMap]:
-    """Collect the maps when they are small, else write them once."""
+    """The maps, computed once into a written table."""
+    return _held(written(rows, "maps"), specs, limit)
+
+
+def _held(table: DataFrame, specs: Sequence[MapSpec], limit: int) -> dict[str, KeyedMap]:
+    """Each map of a written table by its own size: as rows while the smaller ones fit the driver together, else a table."""
     maps = {s.name: KeyedMap(s.name, s.key, s.value) for s in specs}
-    got = rows.take(limit + 1)
-    size = sum(len(r["key"] or "") + len(r["value"] or "") for r in got)
-    if len(got) <= limit and size <= SMALL_MAP_CHARS:
-        for r in got:
-            if r["is_global"]:
-                maps[r["map"]].fallback = r["value"]
-            else:
-                maps[r["map"]].rows.append((r["key"], r["value"], r["n"]))
-        return maps
-    table = written(rows, "maps")
-    for r in table.filter("is_global").collect():  # one row per map
-        maps[r["map"]].fallback = r["value"]
-    for m in maps.values():
-        m.rows = None
-        m.table = table.filter((F.col("map") == m.name) & ~F.col("is_global")).select("key", "value", "n")
+    chars = F.coalesce(F.char_length("key"), F.lit(0)) + F.coalesce(F.char_length("value"), F.lit(0))
+    sizes = table.filter("not is_global").groupBy("map").agg(F.count("*").alias("n"), F.sum(chars).alias("chars")).collect()
+    left, chars_left, large = limit, SMALL_MAP_CHARS, []
+    for r in sorted(sizes, key=lambda r: (r["n"], r["map"])):
+        if r["n"] <= left and r["chars"] <= chars_left:
+            left, chars_left = left - r["n"], chars_left - r["chars"]
+        else:
+            large.append(r["map"])
+    for r in table.filter(F.col("is_global") | ~F.col("map").isin(large)).collect():
+        if r["is_global"]:
+            maps[r["map"]].fallback = r["value"]
+        elif r["value"] is not None:
+            maps[r["map"]].rows.append((r["key"], r["value"], r["n"]))
+    for name in large:
+        maps[name].rows = None
+        maps[name].table = table.filter((F.col("map") == name) & ~F.col("is_global")).select("key", "value", "n")
     return maps
 
 
@@ -176,10 +185,9 @@ def fit_modes(df: DataFrame, specs: Sequence[MapSpec], limit: int = SMALL_MAP_RO
     specs = _usable(df, specs)
     if not specs:
         return {}
-    counts = (
-        _stacked(df, specs).filter("text is not null").groupBy("map", "key", "text", "num").agg(F.count("*").alias("n"))
-    )
-    first = F.min(F.struct((-F.col("n")).alias("rank"), "num", "text"))["text"].alias("value")
+    counts = _stacked(df, specs).groupBy("map", "key", "text", "num").agg(F.count("*").alias("n"))
+    ranked = F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("rank"), "num", "text"))
+    first = F.min(ranked)["text"].alias("value")
     modes = (
         _with_totals(counts)
         .groupBy("map", "is_global", "key", "text", "num")
@@ -219,13 +227,12 @@ def fit_means(
         long = _stacked(df, specs, of).select(
             "map", F.col("text").alias("key"), number(of, df.schema[of].dataType).alias("num")
         )
-    sums = long.groupBy("map", "key").agg(F.sum("num").alias("total"), F.count("num").alias("n"))
-    mean = F.try_divide(F.col("total"), F.col("n")).cast("string").alias("value")
+    sums = long.groupBy("map", "key").agg(F.sum("num").alias("total"), F.count("num").alias("filled"), F.count("*").alias("n"))
+    mean = F.try_divide(F.col("total"), F.col("filled")).cast("string").alias("value")
     means = (
         _with_totals(sums)
         .groupBy("map", "is_global", "key")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        .filter("n > 0")
+        .agg(F.sum("total").alias("total"), F.sum("filled").alias("filled"), F.sum("n").alias("n"))
         .select("map", "is_global", "key", mean, "n")
     )
     return _gathered(means, specs, limit)
@@ -248,22 +255,8 @@ def stored(maps: dict[str, KeyedMap], spark: SparkSession) -> DataFrame:
 
 
 def restored(table: DataFrame, specs: Sequence[MapSpec], limit: int = SMALL_MAP_ROWS) -> dict[str, KeyedMap]:
-    """Maps read back from ``stored``; a large table stays a table."""
-    maps = {s.name: KeyedMap(s.name, s.key, s.value) for s in specs}
-    got = table.take(limit + 1)
-    if len(got) <= limit:
-        for r in got:
-            if r["is_global"]:
-                maps[r["map"]].fallback = r["value"]
-            else:
-                maps[r["map"]].rows.append((r["key"], r["value"], r["n"]))
-        return maps
-    for r in table.filter("is_global").collect():
-        maps[r["map"]].fallback = r["value"]
-    for m in maps.values():
-        m.rows = None
-        m.table = table.filter((F.col("map") == m.name) & ~F.col("is_global")).select("key", "value", "n")
-    return maps
+    """Maps read back from ``stored``, by the same sizes as when they were learned."""
+    return _held(table, specs, limit)
 
 
 def filled(df: DataFrame, *maps: KeyedMap, sentinel: str | None = None, key: str | None = None) -> DataFrame:

@@ -50,6 +50,27 @@ def test_missing_companion_column_leaves_the_global_mode(spark):
     assert [r["v"] for r in km.filled(df, learned).collect()] == [1, 1, 1]
 
 
+def test_a_large_map_leaves_the_small_one_beside_it_small(spark):
+    rows = spark.range(400).select(F.col("id").alias("ID"), F.col("id").cast("string").alias("wide"), (F.col("id") % 3).cast("string").alias("few"), (F.col("id") % 2).alias("label"))
+    learned = km.fit_means(rows, [km.MapSpec(c, None, c) for c in ("wide", "few")], limit=100, of="label")
+    assert learned["wide"].table is not None and len(learned["few"].rows) == 3
+    again = km.restored(km.stored(learned, spark), [km.MapSpec(c, None, c) for c in ("wide", "few")], limit=100)
+    assert again["wide"].table is not None and sorted(again["few"].rows) == sorted(learned["few"].rows)
+    assert sorted(km.encoded(rows, list(learned.values())).collect()) == sorted(km.encoded(rows, list(again.values())).collect())
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_a_hot_key_without_values_takes_the_fallback(spark, limit):
+    """Half of the rows share a key whose value is always missing; such rows are dealt out, too."""
+    key = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string"))
+    rows = spark.range(4000).select(F.col("id").alias("ID"), key.alias("k"), F.when(F.col("id") % 2 == 1, F.col("id") % 5).alias("v"))
+    learned = km.fit_modes(rows, [km.MapSpec("m", "k", "v")], limit=limit)["m"]
+    if limit == 0:
+        assert learned.table.filter("n > 1").first()["n"] == 2000
+    got = {r["ID"]: r["v"] for r in km.filled(rows, learned).collect()}
+    assert len(got) == 4000 and got[1] == 1 and got[4] == int(learned.fallback)
+
+
 @pytest.mark.parametrize("limit", [0, 1000])
 def test_small_and_large_maps_agree_under_a_hot_key(spark, limit):
     """One key holds a third of the rows, many keys are missing or unseen."""

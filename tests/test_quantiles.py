@@ -23,6 +23,23 @@ def test_quantiles_equal_numpy_with_and_without_narrowing(spark, limit):
     assert got["b"] == pytest.approx(np.nanquantile(b, QS).tolist(), rel=1e-12)
 
 
+def test_rank_between_two_heavy_ties_is_narrowed(spark):
+    """Few values lie between two that hold nearly all rows; the ties must not be ranked with them."""
+    from fitgrain.functions import quantiles
+
+    values = [0] * 3000 + list(range(1, 41)) + [100] * 3000
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    counts = {}
+    picked = quantiles._pick
+    quantiles._pick = lambda d, v, b: counts.update({t: x.inside for t, x in b.items() if x.low != x.high}) or picked(d, v, b)
+    try:
+        got = order_statistics(df, {"x": F.col("x")}, {"x": [10, 3020, 6000]}, {"x": len(values)}, inside_limit=50)
+    finally:
+        quantiles._pick = picked
+    assert got["x"] == {10: 0, 3020: values[3020], 6000: 100}
+    assert counts and max(counts.values()) <= 50
+
+
 def test_empty_and_all_null_columns_give_none(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert exact_quantiles(df, {"x": [0.5]}) == {"x": [None]}
