@@ -195,14 +195,14 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     n = distinct.count()
     parts = next(p for most, p in PARTS if n <= most)
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     groups = bit_groups(sample, parts)
-    histogram = parted(distinct, [counted(bits) for bits in groups]).groupBy("part", "value").count().toPandas()
+    histogram = parted(distinct, [counted(bits) for bits in groups]).groupBy("part", "value").count().toArrow()
+    part, value, count = (histogram[c].to_numpy().astype(np.int64) for c in ("part", "value", "count"))
     costs = []
     for k, bits in enumerate(groups):
-        own = histogram[histogram["part"] == k]
         counts = np.zeros(1 << len(counted(bits)), np.int64)
-        counts[own["value"].to_numpy(np.int64)] = own["count"].to_numpy()
+        counts[value[part == k]] = count[part == k]
         costs.append(estimates(counts, len(bits), distance))
     index = parted(distinct, groups)
     asked = written(probes(distinct, groups, costs, distance), "probes")
