@@ -79,8 +79,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Learn from ``(language, buckets, counts)`` rows by stochastic gradient descent, one row a step."""
+def pack(counted: np.ndarray) -> bytes:
+    """The buckets that a text has, and how often."""
+    found = np.flatnonzero(counted)
+    return zlib.compress(np.diff(found, prepend=0).astype(np.int32).tobytes() + counted[found].astype(np.int32).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``(buckets, counts)`` of ``pack``."""
+    both = np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, -1)
+    return np.cumsum(both[0], dtype=np.int32), both[1].astype(np.float32)
+
+
+def fit(rows: list[tuple[str, bytes]]) -> Model:
+    """Learn from ``(language, packed counts)`` rows by stochastic gradient descent, one row a step; rows stay packed."""
     languages = tuple(sorted({r[0] for r in rows}))
     classes = [languages.index(r[0]) for r in rows]
     held = [k for k in range(len(rows)) if k % CALIBRATION == 0]
@@ -94,7 +106,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         if step % max(len(learned), 1) == 0:
             order = random.permutation(learned)
         k = order[step % len(learned)]
-        _, buckets, counts = rows[k]
+        buckets, counts = unpack(rows[k][1])
         share = counts / counts.sum()
         mean = share @ embeddings[buckets]
         error = softmax(mean @ weights + bias)
@@ -108,7 +120,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     model = Model(languages, table, bias, 1.0, 0.0)
     if not held:
         return model
-    logits = np.stack([rows[k][2] / rows[k][2].sum() @ table[rows[k][1]] + bias for k in held])
+    logits = np.stack([counts / counts.sum() @ table[buckets] + bias for buckets, counts in (unpack(rows[k][1]) for k in held)])
     right = np.array([classes[k] for k in held])
     temperature = min((2.0**e for e in np.arange(-4, 4.25, 0.25)), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), right] + 1e-12).sum())
     p = softmax(logits / temperature)
@@ -121,8 +133,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """At most ``rows`` labelled rows that are not held out, as bucket counts, evenly over the languages by a hash of their ids."""
+def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, bytes]]:
+    """At most ``rows`` labelled rows that are not held out, as packed bucket counts, evenly over the languages by a hash of their ids."""
     labelled = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = labelled.groupBy("lang").count().collect()
     if not counts:
@@ -138,17 +150,11 @@ def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[st
                 counted = np.zeros(BUCKETS * len(LENGTHS), np.int32)
                 for buckets in subwords(text):
                     counted += np.bincount(buckets, minlength=len(counted)).astype(np.int32)
-                found = np.flatnonzero(counted)
-                packed = zlib.compress(np.diff(found, prepend=0).astype(np.int32).tobytes() + counted[found].tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + 1], batch.column(1)[row : row + 1].cast(pa.string()), pa.array([packed])], ["place", "lang", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + 1], batch.column(1)[row : row + 1].cast(pa.string()), pa.array([pack(counted)])], ["place", "lang", "packed"])
 
     packed = drawn.mapInArrow(run, "place long, lang string, packed binary").orderBy("place", "packed").limit(rows)
-    found = []
-    for row in packed.select("lang", "packed").toLocalIterator():
-        both = np.frombuffer(zlib.decompress(row[1]), np.int32).reshape(2, -1)
-        if both.size:
-            found.append((row[0], np.cumsum(both[0], dtype=np.int32), both[1].astype(np.float32)))
-    return found
+    nothing = pack(np.zeros(0, np.int32))
+    return [(row[0], bytes(row[1])) for row in packed.select("lang", "packed").toLocalIterator() if bytes(row[1]) != nothing]
 
 
 def fit_languages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
