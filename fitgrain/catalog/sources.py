@@ -111,12 +111,11 @@ def s6(spark, sf_dir):
 def s7(spark, sf_dir):
     """A model scores every row alike before it is saved and after it is loaded."""
     apps = written_applications(spark, sf_dir)
-    logistic = lambda inputs: LogisticRegression(featuresCol="features", labelCol="y", maxIter=20)
+    logistic = lambda inputs: LogisticRegression(featuresCol="features", labelCol="y", maxIter=1000)
     model = train_model(train_rows(apps), logistic)
     path = scratch_path(spark, "model")
     model.save(spark, path)
     loaded = TrainedModel.load(spark, path)
     rows = apps.drop("split")
-    before = model.probabilities(rows)
-    after = loaded.probabilities(rows).withColumnRenamed("probability", "again")
-    return before.join(after, "ID").select("ID", (F.abs(F.col("probability") - F.col("again")) < 1e-12).alias("same_score"))
+    both = loaded.probabilities(model.probabilities(rows).withColumnRenamed("probability", "first"))
+    return both.select("ID", (F.abs(F.col("probability") - F.col("first")) < 1e-12).alias("same_score"))

@@ -65,7 +65,7 @@ def training_run(train: DataFrame, classifier, model_path: str, log_path: str, c
         model = TrainedModel(cleaning, features, fit_classifier(ready, features.features, classifier(len(features.features))))
     else:
         model = train_model(kept, classifier, **options)
-    scored = held.select(schema.ID, schema.TARGET).join(model.probabilities(held), schema.ID)
+    scored = model.probabilities(held).select(schema.ID, schema.TARGET, "probability")
     scored = scored.withColumn("Prediction", predicted(F.col("probability")))
     figures = metrics(scored).first().asDict()
     figures["roc_auc"] = auc(scored, score="probability").first()["auc"]

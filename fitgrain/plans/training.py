@@ -103,11 +103,18 @@ class TrainedModel:
         return self.features.transform(self.cleaning.transform(df, training))
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        """``df`` as it came, with the probability of class 1."""
-        ready = self.prepared(df)
+        """``df`` as it came, with the probability of class 1; a column of that name is replaced.
+
+        Copies of the columns travel along, so no join by id is needed and
+        repeated ids stay apart. What the caller does not read is pruned.
+        """
+        kept = {c: f"__in_{c}" for c in df.columns if c != "probability"}
+        ready = self.prepared(df.withColumns({into: F.col(f"`{c}`") for c, into in kept.items()}))
         require_features(self.features.features, ready)
-        out = self.classifier.transform(_numeric(ready.select(schema.ID, *self.features.features), self.features.features))
-        return out.select(schema.ID, vector_to_array("probability")[1].alias("probability"))
+        carried = [F.col(f"`{into}`") for into in kept.values()]
+        out = self.classifier.transform(_numeric(ready.select(*carried, *self.features.features), self.features.features))
+        as_came = [F.col(f"`{into}`").alias(c) for c, into in kept.items()]
+        return out.select(*as_came, vector_to_array("probability")[1].alias("probability"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.cleaning.save(spark, f"{path}/cleaning")

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
 
 from fitgrain.catalog.models import application_stream, vectors
 from fitgrain.operators import evaluate as ev
@@ -158,3 +159,12 @@ def test_one_chunk_id_for_two_chunks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/ok").count() == 1
     with pytest.raises(ValueError):
         upsert_chunks(same.union(same.selectExpr("chunk_id", "chunk_index", "'b'")), f"{tmp_path}/bad")
+
+
+def test_scored_rows_keep_their_columns_and_repeated_ids(apps, run):
+    test = rows_of_test(apps).drop("label").limit(20)
+    rows = written(test.unionByName(test).withColumn("probability", F.lit("old")), "repeated")
+    scored = run[1].probabilities(rows)
+    assert scored.columns == rows.columns and scored.schema["probability"].dataType.simpleString() == "double"
+    came = rows.drop("probability")
+    assert scored.drop("probability").exceptAll(came).count() == came.exceptAll(scored.drop("probability")).count() == 0
