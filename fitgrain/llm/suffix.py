@@ -196,11 +196,12 @@ _PIECES = [("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()),
 
 
 def finer(pieces: DataFrame) -> DataFrame:
-    """Each piece as runs of at most ``STRIDE`` windows, sampled anew where the first of them starts.
+    """Each piece as runs of at most ``STRIDE`` windows, sampled anew where the bytes that these share start.
 
-    Runs are cut at fixed distances from the old sample, so equal windows fall
-    into equal runs. ``gram`` is a hash of the bytes that all windows of a run
-    share, ``context`` one of all its bytes.
+    Runs are cut and sampled at fixed distances from the old sample, so equal
+    windows fall into equal runs at equal places, even where one document
+    leaves the first windows of a run out. ``gram`` is a hash of the shared
+    bytes, ``context`` one of all bytes of the run.
     """
     schema = pa.schema([*_PIECES, ("context", pa.int64())])
 
@@ -214,7 +215,7 @@ def finer(pieces: DataFrame) -> DataFrame:
                 for low in range(least - least % STRIDE, most + 1, STRIDE):
                     lo, hi = max(low, least), min(low + STRIDE - 1, most)
                     shared = left[:low][::-1] + b"|" + right[: WIDTH - low - STRIDE + 1]
-                    new_right, new_left = left[:lo][::-1] + right[: WIDTH - lo], left[lo:hi]
+                    new_right, new_left = left[:low][::-1] + right[: WIDTH - lo], left[low:hi]
                     shape = (lo - low) << 8 | (hi - low)
                     rows.append((digest(shared, gram + low & (1 << 64) - 1), new_right, new_left, doc_id, at - hi, n, digest(new_left + b"|" + new_right, shape)))
                 signed = [tuple(v - (1 << 64) if k in (0, 6) and v >> 63 else v for k, v in enumerate(row)) for row in rows]
@@ -230,7 +231,7 @@ def large_windows(large: DataFrame) -> DataFrame:
     own = written(own.select("gram", "context", "n", "at.*"), "finer-contexts")
     sized = own.join(own.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "gram")
     copied = dealt.where(F.col("n") == 1).join(own.where(F.col("n") > 1).select("gram", "context"), ["gram", "context"], "left_semi")
-    copied = copied.select("doc_id", "first", (F.col("first") + F.octet_length("left")).cast("int").alias("last"))
+    copied = copied.select("doc_id", "first", (F.col("first") + F.octet_length("left") + F.octet_length("right") - WIDTH).cast("int").alias("last"))
     sorted_ = induced_windows(sized.where(F.col("kinds") <= GROUP))
     return copied.unionByName(sorted_).unionByName(counted_windows(sized.where(F.col("kinds") > GROUP)))
 

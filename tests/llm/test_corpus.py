@@ -108,6 +108,23 @@ def test_suffixes(documents, empty, monkeypatch, group):
         assert spans[None] == [] == spans[2] and [tuple(s) for s in spans[1]] == [(0, 250)]
 
 
+@pytest.mark.parametrize("group", (2, 5, 20))
+def test_suffixes_of_many_contexts(documents, monkeypatch, group):
+    """Pairs share a string around a gram that more than GROUP documents hold, and one of each pair is sampled elsewhere soon after it."""
+    monkeypatch.setattr(suffix, "GROUP", group)
+    draw = random.Random(group)
+    pool = "".join(draw.choices("abcdefgh ", k=20_000))
+    gram, at, _, _ = suffix.samples(np.frombuffer(pool.encode(), np.uint8))
+    least, often = (pool[a : a + suffix.GRAM] for a in at[np.argsort(gram.view(np.uint64))][:2])
+    docs = []
+    for k in range(24):
+        shared = "".join(draw.choices("ijklmnop ", k=120)) + often + "".join(draw.choices("ijklmnop ", k=40 + k)) + least[:28]
+        for end in (least[28:], ""):
+            docs.append((len(docs), "".join(draw.choices("qrstuvw ", k=90)) + shared + end + "".join(draw.choices("qrstuvw ", k=150))))
+    got = sorted(map(tuple, suffix.cut_digests(documents(docs)).collect()))
+    assert got == brute_spans([(d, t.encode()) for d, t in docs])
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().translate(LOWER).split()
     shingles = [b" ".join(words[k : k + 3]) for k in range(max(len(words) - 2, 1))] if words else []
