@@ -12,12 +12,15 @@ from fitgrain.session import written
 
 #: SQL cannot express the learned language model, SimHash or byte-pair merges; a test holds ``run`` against plain Python.
 ORACLE_SQL = None
+#: Each stage judges rows by a key of its own, never by ``doc_id``.
+ROW = "__row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an accepted language; ``lang`` stays as it came."""
-    found = langid.languages(docs, langid.fit_languages(docs))
-    return docs.join(_ids(found.where("accepted")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    keyed = _keyed(docs)
+    found = langid.languages(keyed, langid.fit_languages(docs), id_col=ROW)
+    return _rows(keyed, found.where("accepted").select(F.col("doc_id").alias(ROW)), "left_semi")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +32,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    found = simhash.near_duplicates(docs)
-    return docs.join(_ids(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The document with the smallest id of each group of near copies. Rows without an id go if their group has one, else they all stay."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed, row_col=ROW)
+    return _rows(keyed, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ROW), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = written(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "contaminated")
-    return docs.join(_ids(found), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    keyed = _keyed(docs)
+    found = decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _rows(keyed, written(found.select(F.col("doc_id").alias(ROW)), "contaminated"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
-def _ids(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").alias("__id"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row, written so that it stays: ids may be missing or repeated."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-rows")
+
+
+def _rows(keyed: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    return keyed.join(found, ROW, how).drop(ROW)
 
 
 STAGES = [

@@ -42,10 +42,10 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, as ``doc_id`` and ``text``; other columns cannot clash."""
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """Only the id and the text, as ``doc_id`` and ``text``, and columns named in ``more``; others cannot clash."""
     shipped(df.sparkSession)
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in more))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -95,7 +95,8 @@ def _of_width(docs: DataFrame, tests: DataFrame, width: int) -> DataFrame:
     sent = F.broadcast if bounded else (lambda df: df)
     hits = probed.join(sent(own.select("seed", "hash", "item_id", "item_at")), ["seed", "hash"])
     # Grouping keeps the checks below out of the join, which all tokens of the corpus pass through.
-    hits = hits.groupBy("doc_id", "item_id", "at", "item_at").agg(F.first("lead").alias("lead"), F.first("near").alias("near"))
+    # Rows that share an id, or have none, are told apart by their tokens.
+    hits = hits.select("doc_id", "item_id", "at", "item_at", "lead", "near").distinct()
     places = own.dropDuplicates(["item_id", "item_at"]).select("item_id", "item_at", "item_lead", "item_near")
     aligned = hits.join(sent(places), ["item_id", "item_at"])
     reach, span = max(width - span_of(width), 0), span_of(width)

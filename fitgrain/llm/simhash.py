@@ -54,15 +54,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of each row, the 64 bits as a signed integer."""
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of each row, the 64 bits as a signed integer, and the long ``row_col`` if one is named."""
+    more = [row_col] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, shingle) for t in raw(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return texts(documents, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(documents, id_col, text_col, *more).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"`{c}` long" for c in more)]))
 
 
 def bit_groups(sample: np.ndarray, parts: int = 4) -> list[list[int]]:
@@ -224,8 +225,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found.unionByName(ends.where(F.col("a") != F.col("b")))
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``(doc_id, fp, component_id)``: each row's fingerprint and the smallest id it reaches over links.
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, row_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp, component_id)``, and ``row_col`` if one is named: each row's fingerprint and the smallest id it reaches over links.
 
     Words are runs without white space, A-Z lower-cased; fewer words than a
     shingle are one shingle; null, empty and blank texts have fingerprint 0 and link to each
@@ -233,11 +234,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     one node. A row without an id gets the smallest id of its component, which
     is null if none has one. An empty table gives no rows.
     """
-    docs = written(fingerprints(documents, id_col, text_col, shingle), "fingerprints")
+    docs = written(fingerprints(documents, id_col, text_col, shingle, row_col), "fingerprints")
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(nodes.select("fp"), distance))
     linked = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select("fp", "least")
     firsts = written(nodes.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "firsts")
-    return docs.join(firsts, "fp").select("doc_id", "fp", "component_id")
+    return docs.join(firsts, "fp").select("doc_id", "fp", "component_id", *([row_col] if row_col else []))

@@ -81,6 +81,16 @@ def test_contamination(spark, documents, odd, empty, monkeypatch):
     assert decontam.contaminated(documents(docs), tests.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", (None, 5))
+def test_contamination_of_rows_with_one_id(spark, documents, doc_id):
+    """A row that only shares a seed with the item stands at the same place as one that holds it."""
+    item = prose(1, 13)
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    near = [(doc_id, " ".join([w if k - at in decontam.SEEDS[0] else f"x{k}" for k, w in enumerate(item)] + [f"y{n}"])) for at in range(0, 6, decontam.STEP) for n in range(9)]
+    for rows in (near + [(doc_id, " ".join(item))], [(doc_id, " ".join(item))] + near):
+        assert [(r["doc_id"], r["item_id"], r["n_overlaps"]) for r in decontam.contaminated(documents(rows), tests).collect()] == [(doc_id, 1, 1)]
+
+
 def brute_spans(docs):
     seen = Counter(t[k : k + suffix.WIDTH] for _, t in docs for k in range(len(t) - suffix.WIDTH + 1))
     out = []
@@ -199,3 +209,19 @@ def test_pipeline_stages_keep_odd_rows(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     counts = [stage(spark, docs, sf_dir).count() for _, stage in corpus_pipeline.STAGES]
     assert counts == [3, 2, 2, 4, 4]
+
+
+@pytest.mark.parametrize("other", (None, 2))
+def test_pipeline_stages_judge_row_by_row(spark, sf_dir, other):
+    """Rows without an id, or with the same one, have opposite verdicts."""
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text IS NOT NULL").orderBy(F.desc(F.length("text"))).first()["text"]
+    one, two = " ".join(prose(1, 60)), " ".join(prose(2, 60))
+    cases = {
+        "language_id": ([(other, "the first of the words here"), (other, "12 34")], [(other, "the first of the words here")]),
+        "simhash_near_dedup": ([(1, one), (other, one), (other, two)], [(1, one), (other, two)]),
+        "decontamination": ([(other, passage), (other, one)], [(other, one)]),
+    }
+    stages = dict(corpus_pipeline.STAGES)
+    for name, (rows, want) in cases.items():
+        docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, docs, sf_dir).collect()), key=repr) == sorted(want, key=repr), name
