@@ -40,6 +40,8 @@ BOILERPLATE_WORDS = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 HOLDERS = frozenset("article main".split())
+#: What holds short blocks of an article; judged as a whole, not by the length of an item.
+CONTAINERS = frozenset("ul ol dl table blockquote figure".split())
 
 #: A start tag of the key ends an open tag of the value, up to the given holder.
 _BLOCKS = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul"
@@ -62,6 +64,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 @dataclass
 class Element:
+    number: int
     tag: str
     label: str
     boilerplate: bool
@@ -75,10 +78,11 @@ class Block:
     boilerplate: bool
     held: bool
     linked: int
+    nodes: tuple[int, ...]
     score: float = field(default=0.0)
 
 
-def element(tag: str, attributes: str, held: bool) -> Element:
+def element(number: int, tag: str, attributes: str, held: bool) -> Element:
     label, odd = tag, tag in BOILERPLATE_TAGS or tag == "header" and not held
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
@@ -92,7 +96,7 @@ def element(tag: str, attributes: str, held: bool) -> Element:
                 odd |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             else:
                 odd |= name == "hidden" or value.lower() == "true"
-    return Element(tag, label, odd, tag in HOLDERS)
+    return Element(number, tag, label, odd, tag in HOLDERS)
 
 
 def blocks(html: str) -> list[Block]:
@@ -108,7 +112,7 @@ def blocks(html: str) -> list[Block]:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            found.append(Block(tuple(e.label for e in stack), text, any(e.boilerplate for e in stack), any(e.holder for e in stack), linked))
+            found.append(Block(tuple(e.label for e in stack), text, any(e.boilerplate for e in stack), any(e.holder for e in stack), linked, tuple(e.number for e in stack)))
         linked = 0
 
     def pop_to(k: int) -> None:
@@ -166,7 +170,7 @@ def blocks(html: str) -> list[Block]:
         if tag == "body":
             stack[:] = [e for e in stack if e.tag == "html"]
             hidden = 0
-        stack.append(element(tag, m[3], any(e.holder for e in stack)))
+        stack.append(element(at, tag, m[3], any(e.holder for e in stack)))
         hidden += tag in HIDDEN
     close_block()
     return found
@@ -203,7 +207,7 @@ def main_blocks(page: list[Block]) -> list[Block]:
     The best path stands in the article; the article's holder is the
     ``article`` or ``main`` around it, else the ancestor at which other paths
     above the threshold join it. Of the paths inside the holder those right
-    below it, headings, and all above the threshold belong, unless a
+    below it, headings, all above the threshold, and the article's lists and tables belong, unless a
     boilerplate element holds them; outside it none does.
     """
     own = [b for b in page if not b.boilerplate]
@@ -226,7 +230,38 @@ def main_blocks(page: list[Block]) -> list[Block]:
             if not any(p[: len(holder) - 1] == holder[:-1] and p[: len(holder)] != holder and fused[p] >= least for p in allowed):
                 break
             holder = holder[:-1]
-    return [b for b in own if b.path[: len(holder)] == holder and (len(b.path) <= len(holder) + 1 or fused[b.path] >= least or re.split("[.#]", b.path[-1])[0] in HEADINGS)]
+    own = [b for b in own if b.path[: len(holder)] == holder]
+    kept = [len(b.path) <= len(holder) + 1 or fused[b.path] >= least or _tag(b.path[-1]) in HEADINGS for b in own]
+    return [b for b, k, c in zip(own, kept, contained(own, kept, len(holder))) if k or c]
+
+
+def _tag(label: str) -> str:
+    return re.split("[.#]", label)[0]
+
+
+def contained(own: list[Block], kept: list[bool], depth: int) -> list[bool]:
+    """Which blocks stand in a list, table or the like that belongs to the article.
+
+    The outermost one below the holder decides for all its blocks: less than
+    half of its text is linked, and it stands in an ``article`` or ``main``,
+    between kept blocks or beside one.
+    """
+    where = [next((k for k in range(depth, len(b.path)) if _tag(b.path[k]) in CONTAINERS), None) for b in own]
+    totals: dict[int, list[int]] = {}
+    for b, k in zip(own, where):
+        if k is not None:
+            total = totals.setdefault(b.nodes[k], [0, 0])
+            total[0] += len(b.text)
+            total[1] += b.linked
+    places = [n for n, k in enumerate(kept) if k]
+    beside = {b.nodes[-2] for b, k in zip(own, kept) if k and len(b.nodes) > 1}
+
+    def belongs(n: int, b: Block, k: int | None) -> bool:
+        if k is None or 2 * totals[b.nodes[k]][1] >= totals[b.nodes[k]][0]:
+            return False
+        return b.held or bool(places) and places[0] < n < places[-1] or k > 0 and b.nodes[k - 1] in beside
+
+    return [belongs(n, b, k) for n, (b, k) in enumerate(zip(own, where))]
 
 
 def main_text(html: str) -> str:

@@ -171,6 +171,27 @@ def test_html(spark):
     assert html_text.page_texts(pages.where("false")).count() == 0
 
 
+PROSE = [f"Paragraph {k} tells its part of the story, at length, and with some marks. " * 5 for k in range(6)]
+SHORT = [f"item number {k}, short" for k in range(10)]
+
+
+def _p(texts):
+    return "".join(f"<p>{t.strip()}</p>" for t in texts)
+
+
+@pytest.mark.parametrize("wrap", ("<article>{}</article>", "<main><div class='body'>{}</div></main>", "<div id='content'><h1>T</h1>{}</div>"))
+def test_html_keeps_short_items(wrap):
+    items = {
+        "list": "<ul>" + "".join(f"<li>{x}</li>" for x in SHORT) + "</ul>",
+        "table": "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(SHORT[::2], SHORT[1::2])) + "</table>",
+    }
+    links = "<ul class='more'>" + "".join(f"<li><a href='/{k}'>another page {k}</a></li>" for k in range(10)) + "</ul>"
+    title = ["T"] if "h1" in wrap else []
+    for name, block in items.items():
+        html = "<body><nav><a href='/'>Home</a></nav>" + wrap.format(_p(PROSE[:3]) + block + _p(PROSE[3:]) + links) + "<footer>f</footer>"
+        assert html_text.main_text(html).split("\n\n") == title + [t.strip() for t in PROSE[:3]] + SHORT + [t.strip() for t in PROSE[3:]], name
+
+
 LICENCES = [
     ("Released under the MIT License.", ["MIT"]),
     ("Text.\nThis work is licensed under the GNU General Public License, version 3.\nMore.", ["GPL-3.0-only"]),
