@@ -57,8 +57,9 @@ ENDS = {t: ({"p"}, {"button"}) for t in _BLOCKS.split()} | {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_SENTENCE_END = re.compile(r"[.!?…。！？]")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
@@ -68,6 +69,7 @@ class Element:
     tag: str
     label: str
     boilerplate: bool
+    named: bool
     holder: bool
 
 
@@ -79,24 +81,28 @@ class Block:
     held: bool
     linked: int
     nodes: tuple[int, ...]
+    named: tuple[int, ...]
     score: float = field(default=0.0)
 
 
 def element(number: int, tag: str, attributes: str, held: bool) -> Element:
+    named = False
     label, odd = tag, tag in BOILERPLATE_TAGS or tag == "header" and not held
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), ""), name.lower()
+            if name not in ("class", "id", "role", "style", "hidden", "aria-hidden"):
+                continue
             if name in ("class", "id"):
                 label += ("." if name == "class" else "#") + value
-                odd |= tag not in ("html", "body") and any(w.lower() in BOILERPLATE_WORDS for w in _WORD.findall(value))
+                named |= tag not in ("html", "body") and any(w.lower() in BOILERPLATE_WORDS for w in _WORD.findall(value))
             elif name == "role":
                 odd |= value.lower() in BOILERPLATE_ROLES
             elif name == "style":
                 odd |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             else:
                 odd |= name == "hidden" or value.lower() == "true"
-    return Element(number, tag, label, odd, tag in HOLDERS)
+    return Element(number, tag, label, odd, named, tag in HOLDERS)
 
 
 def blocks(html: str) -> list[Block]:
@@ -112,7 +118,7 @@ def blocks(html: str) -> list[Block]:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            found.append(Block(tuple(e.label for e in stack), text, any(e.boilerplate for e in stack), any(e.holder for e in stack), linked, tuple(e.number for e in stack)))
+            found.append(Block(tuple(e.label for e in stack), text, any(e.boilerplate for e in stack), any(e.holder for e in stack), linked, tuple(e.number for e in stack), tuple(e.number for e in stack if e.named)))
         linked = 0
 
     def pop_to(k: int) -> None:
@@ -176,6 +182,40 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
+def settle_names(page: list[Block]) -> None:
+    """Mark the blocks below elements whose class or id has a boilerplate word, unless the element wraps the article.
+
+    It does if it holds the page's first ``h1``, prose, and more text than all
+    that stands outside such elements; or if no prose stands outside them and
+    it has over ten times the text that does, the largest of them first.
+    """
+    open_ = [b for b in page if not b.boilerplate]
+    size = [0 if b.path and _tag(b.path[-1]) in HEADINGS else max(len(b.text) - b.linked, 0) for b in open_]
+    prose = [n >= 80 or n > 0 and b.path[-1:] == ("p",) for n, b in zip(size, open_)]
+    prose = [k and _SENTENCE_END.search(b.text) is not None for k, b in zip(prose, open_)]
+    inside: dict[int, int] = {}
+    telling: set[int] = set()
+    for b, n, k in zip(open_, size, prose):
+        for e in b.named:
+            inside[e] = inside.get(e, 0) + n
+            if k:
+                telling.add(e)
+    title = next((b for b in open_ if b.path and _tag(b.path[-1]) == "h1"), None)
+    rest = sum(n for b, n in zip(open_, size) if not b.named)
+    free = {e for e in title.named if e in telling and inside[e] > rest} if title else set()
+    while True:
+        left = [set(b.named) <= free for b in open_]
+        if any(k and x for k, x in zip(prose, left)):
+            break
+        rest = sum(n for n, x in zip(size, left) if x)
+        wrapping = [e for e in telling - free if inside[e] > 10 * rest]
+        if not wrapping:
+            break
+        free.add(max(wrapping, key=lambda e: (inside[e], -e)))
+    for b in open_:
+        b.boilerplate = not set(b.named) <= free
+
+
 def path_ratios(page: list[Block]) -> dict[tuple[str, ...], float]:
     """The fused ratio of each path.
 
@@ -210,6 +250,7 @@ def main_blocks(page: list[Block]) -> list[Block]:
     below it, headings, all above the threshold, and the article's lists and tables belong, unless a
     boilerplate element holds them; outside it none does.
     """
+    settle_names(page)
     own = [b for b in page if not b.boilerplate]
     if any(b.held for b in own):
         own = [b for b in own if b.held]

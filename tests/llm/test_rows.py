@@ -192,6 +192,28 @@ def test_html_keeps_short_items(wrap):
         assert html_text.main_text(html).split("\n\n") == title + [t.strip() for t in PROSE[:3]] + SHORT + [t.strip() for t in PROSE[3:]], name
 
 
+SIDE = "<div class='sidebar'><p>Side matter, of no use. It has some marks, too.</p></div><div class='comments'>" + _p(["I like it, very much indeed, and say so at length. " * 8] * 4) + "</div>"
+
+
+@pytest.mark.parametrize("page", (
+    "<div class='page with-sidebar'><h1>T</h1>{}" + SIDE + "</div>",
+    "<div class='content-sidebar-wrap'><div class='text'>{}</div><div class='sidebar'><p>Short, side.</p></div></div>",
+    "<div id='page'><article class='post comments-open'><h1>T</h1>{}</article>" + SIDE + "</div>",
+    "<div id='page'><article class='post comments-open'>{}</article></div>",
+    "<article title='The hidden cost' data-id='nav-3' data-class='menu'>{}</article>" + SIDE,
+    "<div title='class=menu'>{}</div>" + SIDE,
+    "<div class='text'><h1>T</h1>{}</div>" + SIDE * 5,
+))
+def test_html_wrapper_words(page):
+    title = ["T"] if "h1" in page else []
+    assert html_text.main_text("<body>" + page.format(_p(PROSE[:3]))).split("\n\n") == title + [t.strip() for t in PROSE[:3]]
+
+
+def test_html_of_boilerplate_only():
+    assert html_text.main_text("<div class='cookie-notice'>We use cookies, yes.</div><div class='comments'><p></p></div>") == ""
+    assert html_text.main_text("<div id='content'><p>Yes.</p></div>" + SIDE) == "Yes."
+
+
 LICENCES = [
     ("Released under the MIT License.", ["MIT"]),
     ("Text.\nThis work is licensed under the GNU General Public License, version 3.\nMore.", ["GPL-3.0-only"]),
