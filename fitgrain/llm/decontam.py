@@ -19,8 +19,8 @@ DIFFERENT = 2
 STEP = 2
 #: Positions of a document that one row probes.
 RUN = 64
-#: Shorter items are never looked for; items between this and OVERLAP tokens match as a whole and exactly.
-MIN_ITEM = 8
+#: Items without a token are left out; items between this and OVERLAP tokens match as a whole and exactly.
+MIN_ITEM = 1
 #: The seeds of the items are broadcast up to this count, else both sides are shuffled.
 BROADCAST_SEEDS = 200_000
 
@@ -64,8 +64,8 @@ def contaminated(
     """``(doc_id, item_id, n_overlaps, first_token)`` of each document that holds a passage of an item.
 
     Tokens are the runs without white space, A-Z lower-cased. A passage is an
-    aligned run of 13 tokens of both that differ in 2 places at most. An item of 8 to
-    12 tokens must be held whole and unchanged; a shorter one matches nothing.
+    aligned run of 13 tokens of both that differ in 2 places at most. An item of 1 to
+    12 tokens must be held whole and unchanged; one without tokens matches nothing.
     ``n_overlaps`` counts the alignments, ``first_token`` is the first token of
     the first seed that led to one. Null and empty texts hold nothing. Rows without an id are
     reported under a null id. Repeated rows and equal items give the same rows

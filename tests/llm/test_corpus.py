@@ -81,6 +81,15 @@ def test_contamination(spark, documents, odd, empty, monkeypatch):
     assert decontam.contaminated(documents(docs), tests.where("false")).count() == 0
 
 
+def test_contamination_by_short_items(spark, documents):
+    items = [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in range(1, 8)]
+    tests = spark.createDataFrame(items + [(0, " \n")], "item_id long, text string")
+    docs = [(n, f"{' '.join(prose(n, 70))} {text.upper()} end") for n, text in items]
+    docs += [(10 + n, text.replace(f"x{n - 1}", "changed")) for n, text in items] + [(20, items[6][1])]
+    got = sorted((r["doc_id"], r["item_id"], r["first_token"]) for r in decontam.contaminated(documents(docs), tests).collect())
+    assert got == [(n, n, 70) for n, _ in items] + [(20, 7, 0)]
+
+
 @pytest.mark.parametrize("doc_id", (None, 5))
 def test_contamination_of_rows_with_one_id(spark, documents, doc_id):
     """A row that only shares a seed with the item stands at the same place as one that holds it."""
