@@ -65,6 +65,8 @@ RULES = (
 _HOLDS = re.compile(r"licen[sc]e|permission|redistribut|\bas is\b|liable|warranty|public domain|rights reserved|neither the name|\bgpl|\bcc[ -]|creative commons")
 _SENTENCE = re.compile(r"(?<=[.;!?])\s+|(?<=:)\s*\n|\n\s*\n|\n(?=\s*(?:spdx|copyright|licensed|released|this work|permission|redistribution|the mit|mit license)\b)|(?<=[.;!?:])\n", re.I)
 _NOISE = re.compile(r"[^a-z0-9.+-]+")
+#: The same for texts as they came, where noise, and stops at the ends of words, may stand for a space.
+_MAY_HOLD = re.compile(r"licen[sc]e|permission|redistribut|liable|warranty|\bgpl|\bcc\b|spdx" + "".join(f"|{a}[.-]*[^a-z0-9.+-][^a-z0-9+]*{b}" for a, b in (("as", "is"), ("public", "domain"), ("rights", "reserved"), ("creative", "commons"), (r"neither[.-]*[^a-z0-9.+-][^a-z0-9+]*the", "name"))))
 _PATTERNS = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
 _GPL_KINDS = {"": "GPL", "lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}
 _CC_PARTS = {"attribution": "BY", "noncommercial": "NC", "noderivatives": "ND", "noderivs": "ND", "sharealike": "SA"}
@@ -78,7 +80,7 @@ def normal(sentence: str) -> str:
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text, normalised, those that no known sentence can equal left out."""
-    if not _HOLDS.search(text.lower()):
+    if not _MAY_HOLD.search(text.lower()):
         return []
     found = (normal(line) for part in _SENTENCE.split(text) for line in joined(part))
     return [s for s in found if _HOLDS.search(s) or s.startswith("spdx")]

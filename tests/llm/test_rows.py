@@ -228,6 +228,14 @@ LICENCES = [
 ]
 
 
+@pytest.mark.parametrize("text, words", (("This is free and unencumbered software released into the {}.", "public domain"), ("All {}.", "rights reserved"), ("Released under {} Attribution 4.0.", "creative commons")))
+def test_licenses_over_line_ends(text, words):
+    want = licenses.scan(text.format(words))
+    assert want[0]
+    for space in ("\n", "  ", " \t", "\n * "):
+        assert licenses.scan(text.format(words.replace(" ", space))) == want, repr(space)
+
+
 def test_licenses(documents, empty):
     got = {r["doc_id"]: r["licenses"] for r in licenses.licenses(documents(list(enumerate(t for t, _ in LICENCES)))).collect()}
     assert got == {k: want for k, (_, want) in enumerate(LICENCES)}
