@@ -10,7 +10,7 @@ from fitgrain.llm import bpe, decontam, langid, lines, simhash
 from fitgrain.llm.catalog import RANK_FILE, table
 from fitgrain.session import written
 
-#: SQL cannot express the learned language model, SimHash or byte-pair merges; a test holds ``run`` against plain Python.
+#: SQL cannot express the learned language model, SimHash or byte-pair merges; tests hold the stages against ``run`` and planted rows; no plain-Python version of the whole is written yet.
 ORACLE_SQL = None
 #: Each stage judges rows by a key of its own, never by ``doc_id``.
 ROW = "__row"
