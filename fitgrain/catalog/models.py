@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fitgrain.catalog.registry import query, rounded, scramble_sql, table, with_apps
+from fitgrain import schema
+from fitgrain.catalog.registry import query, rounded, scramble_sql, table, union_sql, with_apps
 from fitgrain.operators import evaluate as ev
 from fitgrain.operators import retrieve as rt
+from fitgrain.operators.fold_maps import fit_fold_means
+from fitgrain.operators.keyed_maps import MapSpec, encoded
 from fitgrain.operators.split import SEED, stratified_folds, stratified_split
 from fitgrain.plans import scoring as sc
 from fitgrain.plans import training as tr
-from fitgrain.plans.features import missing_features
-from fitgrain.session import scratch_path, written
+from fitgrain.plans.cleaning import fit_cleaning
+from fitgrain.plans.features import encoding_specs, feature_columns, fit_features, missing_features
+from fitgrain.session import scratch_dir, scratch_path, written
 from fitgrain.sources.applications import applications, STATEMENT, test_rows, train_rows, written_applications
+from fitgrain.sources.tables import path_exists, read_log, write_json_document
 from fitgrain.streaming.scoring import stream_decisions
 
-NETWORK_ITERATIONS = 60
-SWEEP_NETWORK_ITERATIONS = 30
-
 
 @query(
     "m1_stratified_split",
@@ -43,30 +45,53 @@ def m2(spark, sf_dir):
     return stratified_folds(applications(spark, sf_dir)).select("ID", "label", "fold")
 
 
-@lru_cache(maxsize=2)
-def _trained(app_id: str, sf_dir: str):
-    """The production model of a session, shared by the queries that score with it."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    apps = written_applications(spark, sf_dir)
-    network = lambda inputs: tr.network(inputs, NETWORK_ITERATIONS)
-    model = tr.train_model(train_rows(apps), network)
-    return apps, model, written(sc.with_decision(model.probabilities(test_rows(apps))), "scored")
+def content_key(df: DataFrame) -> str:
+    """A digest of all rows, whatever their order: the number of rows and a sum of their hashes."""
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return f"{n}-{total or 0}".replace("--", "-m")
 
 
-def trained(spark, sf_dir):
-    return _trained(spark.sparkContext.applicationId, sf_dir)
+def trained(spark, sf_dir) -> tuple[DataFrame, tr.TrainedModel]:
+    """The applications and the production model, loaded if one learned from the same rows is saved."""
+    apps = written_applications(spark, sf_dir)
+    path = f"{scratch_dir(spark)}/fitgrain/models/{content_key(train_rows(apps))}"
+    if not path_exists(spark, f"{path}/complete"):
+        tr.train_model(train_rows(apps)).save(spark, path)
+        write_json_document(spark, f"{path}/complete", "{}")
+    return apps, tr.TrainedModel.load(spark, path)
 
 
 @query("m3_network_training")
 def m3(spark, sf_dir):
     """Learn on train, evaluate on test."""
-    _, _, scored = trained(spark, sf_dir)
+    apps, model = trained(spark, sf_dir)
+    scored = written(sc.with_decision(model.probabilities(test_rows(apps))), "scored")
     rows = scored.withColumn("Prediction", sc.predicted(F.col("probability")))
     return ev.metrics(rows).withColumn("roc_auc", ev.auc(rows, score="probability").scalar())
 
 
+@query("m3_training_run", with_apps(
+    "SELECT count(*) AS train_rows, (SELECT count(*) FROM train) - count(*) AS val_rows, 0 <= min(rank) AS has_metrics FROM ("
+    "SELECT label, row_number() OVER (PARTITION BY label ORDER BY ID) AS rank, floor(0.2E0 * count(*) OVER (PARTITION BY label) + 0.5) AS held FROM train) WHERE rank > held"
+))
+def m3_run(spark, sf_dir):
+    """The whole training run: stratified split, fit, held-out metrics, saved model and log, whose sizes are returned."""
+    path = scratch_path(spark, "training-run")
+    sc.training_run(train_rows(written_applications(spark, sf_dir)), tr.network, f"{path}/model", f"{path}/log")
+    log = read_log(spark, f"{path}/log")
+    return log.select(F.col("train_rows").cast("long"), F.col("val_rows").cast("long"), F.col("metrics")["roc_auc"].between(0, 1).alias("has_metrics"))
+
+
+@query("m3_loss_curve")
+def m3_curve(spark, sf_dir):
+    """The held-out loss after each round of the network over the vectors; the least one's weights are the model."""
+    rows, names = vectors(spark, sf_dir)
+    network = tr.network(len(names))
+    tr.fit_classifier(rows, names, network)
+    curve = spark.createDataFrame(network.curve, "iterations long, held_out_loss double, is_best boolean")
+    return curve.withColumn("kept", F.col("held_out_loss") == F.min("held_out_loss").over(Window.partitionBy()))
+
+
 def vectors(spark, sf_dir):
     """The embeddings as a labelled feature table."""
     rows = table(spark, sf_dir, "embeddings")
@@ -77,26 +102,19 @@ def vectors(spark, sf_dir):
     return rows.select(F.col("vec_id").alias("ID"), label, *columns), names
 
 
-@lru_cache(maxsize=2)
-def _sweep(app_id: str, sf_dir: str):
-    """Scores of all candidates on the same five folds, shared by the queries below."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+def sweep_scores(spark, sf_dir, *wanted: str) -> DataFrame:
+    """Scores of candidates, all unless some are named, on the same five folds."""
     rows, names = vectors(spark, sf_dir)
     rows = written(stratified_folds(rows), "folds")
-    return tr.cross_validate(rows, names, tr.candidates(len(names), SWEEP_NETWORK_ITERATIONS))
-
-
-def sweep_scores(spark, sf_dir):
-    return _sweep(spark.sparkContext.applicationId, sf_dir)
+    models = tr.candidates(len(names))
+    return tr.cross_validate(rows, names, {m: models[m] for m in wanted or models})
 
 
 def _candidate(name: str, model: str) -> None:
     @query(name)
     def run(spark, sf_dir):
         """Five-fold scores of one classifier, as AUC per fold."""
-        return ev.auc(sweep_scores(spark, sf_dir).filter(F.col("model") == model), by=["model", "fold"])
+        return ev.auc(sweep_scores(spark, sf_dir, model), by=["model", "fold"])
 
 
 _candidate("m4_logistic", "LogisticRegression")
@@ -137,9 +155,63 @@ def m9(spark, sf_dir):
     return ev.model_ranking(ev.auc(scores, by=["model", "fold"]))
 
 
+def fold_features(spark, sf_dir) -> tuple[DataFrame, list, list[str]]:
+    """Cleaned training rows with folds, the encodings of all folds, and the feature names.
+
+    What no label enters (modes, caps, medians) is learned from all rows; the
+    encodings by label are learned without the fold they are used on.
+    """
+    train = train_rows(written_applications(spark, sf_dir))
+    clean = fit_cleaning(train).transform(train, training=True)
+    features = fit_features(clean, encode=False)
+    rows = written(stratified_folds(features.transform(clean)), "folds")
+    specs = encoding_specs(rows)
+    names = dict.fromkeys(feature_columns(rows.drop("fold")) + [s.value for s in specs if s.value not in schema.PROTECTED])
+    return rows, fit_fold_means(rows, specs, of=schema.TARGET), list(names)
+
+
+@query("m9_application_sweep")
+def m9_applications(spark, sf_dir):
+    """All five classifiers over the application features, encodings learned without the fold they score, ranked by mean AUC."""
+    rows, maps, names = fold_features(spark, sf_dir)
+    scores = tr.cross_validate(rows, names, tr.candidates(len(names)), by_fold=lambda df, fold: encoded(df, list(maps[fold].values())))
+    return ev.model_ranking(ev.auc(scores, by=["model", "fold"]))
+
+
+def _without_fold_sql(column: str) -> str:
+    return (
+        f"SELECT f.ID, f.fold, '{column}' AS encoded, round(coalesce("
+        f"(sum(f.label) OVER (PARTITION BY f.{column}) - sum(f.label) OVER (PARTITION BY f.{column}, f.fold)) / "
+        f"nullif(CAST(CASE WHEN f.{column} IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY f.{column}) - count(*) OVER (PARTITION BY f.{column}, f.fold) END AS DOUBLE), 0), "
+        f"(sum(f.label) OVER () - sum(f.label) OVER (PARTITION BY f.fold)) / CAST(count(*) OVER () - count(*) OVER (PARTITION BY f.fold) AS DOUBLE)), 6) AS value FROM folds f"
+    )
+
+
+@query(
+    "m9_fold_encodings",
+    with_apps(
+        union_sql([_without_fold_sql(c) for c in ("county", "msamd", "agency")]),
+        ("folds", f"SELECT ID, label, county, msamd, agency, (row_number() OVER (PARTITION BY label ORDER BY {scramble_sql('ID', SEED)}) - 1) * 5 // count(*) OVER (PARTITION BY label) AS fold FROM train"),
+    ),
+)
+def m9_encodings(spark, sf_dir):
+    """Target means of each row's fold, learned from the other folds, all in one scan."""
+    columns = ("county", "msamd", "agency")
+    rows = stratified_folds(train_rows(applications(spark, sf_dir)).select("ID", "label", *columns))
+    rows = written(rows.withColumn("fold", F.col("fold").cast("long")), "folds")
+    maps = fit_fold_means(rows, [MapSpec(c, None, c) for c in columns], of="label")
+    out = None
+    for fold in range(5):
+        known = encoded(rows.filter(F.col("fold") == fold), list(maps[fold].values()))
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("encoded"), F.col(c).alias("value")) for c in columns])).alias("e")
+        part = known.select("ID", "fold", pairs).select("ID", "fold", "e.*")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
 @query("m10_batch_score")
 def m10(spark, sf_dir):
-    apps, model, _ = trained(spark, sf_dir)
+    apps, model = trained(spark, sf_dir)
     return sc.predictions(model, test_rows(apps))
 
 
@@ -153,8 +225,8 @@ def m11(spark, sf_dir):
 
 @query("m12_approval_rate")
 def m12(spark, sf_dir):
-    _, _, scored = trained(spark, sf_dir)
-    return sc.approval_rate(scored.withColumn("Prediction", sc.predicted(F.col("probability"))))
+    apps, model = trained(spark, sf_dir)
+    return sc.approval_rate(sc.predictions(model, test_rows(apps)))
 
 
 @query(
@@ -196,7 +268,7 @@ def m13_stream(spark, sf_dir):
 @query("m13_stream_model_decision")
 def m13_model(spark, sf_dir):
     """Decisions of the trained model over the same stream."""
-    _, model, _ = trained(spark, sf_dir)
+    _, model = trained(spark, sf_dir)
     return stream_decisions(spark, application_stream(spark, sf_dir).drop("split"), scratch_path(spark, "stream"), model)
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fitgrain.catalog.registry import query, rounded, table, with_apps
 from fitgrain.operators import retrieve as rt
+from fitgrain.operators.cells import fit_cells
 from fitgrain.plans.scoring import with_decision, with_rule_score
 from fitgrain.session import spread, written
 from fitgrain.sources.applications import applications
@@ -119,10 +121,51 @@ def _self_search(name: str, metric: str, k: int, score: str, **options) -> None:
 
 _self_search("r6_top_k_l2", "l2", 5, "-list_distance(q.v, e.v)")
 _self_search("r6_top_k_dot", "dot", 5, "list_dot_product(q.v, e.v)")
-# The same search with both sides cut into blocks, as for sides that outgrow the driver.
+# The same search over cells of the store, as for sides that outgrow the driver.
 _self_search("r6_top_k_blocks", "l2", 5, "-list_distance(q.v, e.v)", side_floats=64 * 200)
 
 
+@query("r6_cosine_cells", nearest_sql(ALL_VECTORS, 5, "list_cosine_similarity(q.v, e.v)"))
+def r6_cells(spark, sf_dir):
+    """All pairs of vectors by cosine over cells of the store; bounds rule out the others."""
+    store = table(spark, sf_dir, "embeddings")
+    return rounded(rt.top_k(store.withColumnRenamed("vec_id", "query_id"), store, 5, "cosine", store_id="vec_id", side_floats=64 * 100))
+
+
+@query("r6_cells_compared", with_apps("SELECT count(*) AS n_queries, count(*) * count(*) AS all_pairs, true AS most_skipped FROM apps WHERE loan_amount IS NOT NULL AND applicant_income IS NOT NULL"))
+def r6_compared(spark, sf_dir):
+    """Applications near in amount and income: of all pairs, the cells' bounds leave less than a fifth to compare."""
+    known = applications(spark, sf_dir).filter("loan_amount IS NOT NULL AND applicant_income IS NOT NULL")
+    vec = F.array(F.log1p("loan_amount"), F.log1p("applicant_income")).cast("array<float>")
+    left = written(known.select(F.col("ID").alias("q"), vec.alias("vec")), "vectors")
+    store = left.withColumnRenamed("q", "s")
+    n = store.count()
+    index = fit_cells(store, n, "l2", 5000, cells=64)
+    layout = T.StructType([left.schema["q"], store.schema["s"], T.StructField("score", T.DoubleType())])
+    first = written(index.first_hits(left, 5, rt._searcher(5, "l2"), layout), "first")
+    met = index.compared(index.bounded(left, first, 5))
+    return met.agg(F.count("*").alias("n_queries"), F.lit(n * n).cast("long").alias("all_pairs"), (F.sum("compared") * 5 < n * n).alias("most_skipped"))
+
+
+@query("r6_approximate_join")
+def r6_approximate(spark, sf_dir):
+    """About the five nearest of each vector, from buckets of random projections; scores are exact."""
+    store = table(spark, sf_dir, "embeddings")
+    hits, _ = rt.approximate_top_k(store.withColumnRenamed("vec_id", "query_id"), store, 5, "cosine", store_id="vec_id")
+    return rounded(hits)
+
+
+@query("r6_approximate_recall", "SELECT count(*) * 5 AS n_pairs, true AS enough FROM embeddings")
+def r6_recall(spark, sf_dir):
+    """The pairs of the exact join, and whether the approximate one finds nine in ten of them."""
+    store = table(spark, sf_dir, "embeddings")
+    asked = store.withColumnRenamed("vec_id", "query_id")
+    hits, _ = rt.approximate_top_k(asked, store, 5, "cosine", store_id="vec_id")
+    exact = rt.top_k(asked, store, 5, "cosine", store_id="vec_id").select("query_id", "vec_id")
+    found = exact.join(hits.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return found.agg(F.count("*").alias("n_pairs"), (F.count("hit") >= rt.RECALL * F.count("*")).alias("enough"))
+
+
 @query("r7_empty_result", "SELECT vec_id AS query_id, CAST(0 AS INT) AS n_hits, '' AS chunks FROM embeddings")
 def r7(spark, sf_dir):
     """Every vector asks a store that holds nothing, and gets an empty list."""

@@ -107,8 +107,8 @@ def encoding_specs(df: DataFrame) -> list[MapSpec]:
     return [MapSpec(c, None, c) for c in named + rest]
 
 
-def fit_features(train: DataFrame, exclude_protected: bool = True, target: str = schema.TARGET) -> FeatureModel:
-    """Learn every feature map from the cleaned ``train``."""
+def fit_features(train: DataFrame, exclude_protected: bool = True, target: str = schema.TARGET, encode: bool = True) -> FeatureModel:
+    """Learn every feature map from the cleaned ``train``; without ``encode`` only what no label enters."""
     model = FeatureModel()
     caps = present(train, schema.CAPPED)
     medians = present(train, schema.MEDIAN_FILLED)
@@ -116,7 +116,8 @@ def fit_features(train: DataFrame, exclude_protected: bool = True, target: str =
     with ThreadPool(1) as pool:  # quantiles and encodings do not depend on each other
         quantiles = pool.apply_async(exact_quantiles, (train, wanted))
         model.modes = fit_modes(train, [MODAL_AGENCY])
-        model.encodings = fit_means(model.fill_agency(train), encoding_specs(train), of=target)
+        if encode:
+            model.encodings = fit_means(model.fill_agency(train), encoding_specs(train), of=target)
         learned = quantiles.get()
     model.caps = {c: learned[c][0] for c in caps}
     model.medians = {c: learned[c][0] for c in medians}

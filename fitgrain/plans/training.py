@@ -10,7 +10,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -23,6 +22,7 @@ from fitgrain.operators.numeric import replaced
 from fitgrain.operators.retrieve import neighbour_votes, top_k
 from fitgrain.plans.cleaning import CleaningModel, fit_cleaning
 from fitgrain.plans.features import FeatureModel, fit_features, require_features
+from fitgrain.plans.stopping import StoppedNetwork
 from fitgrain.session import scratch_path, written
 from fitgrain.sources.tables import path_exists
 
@@ -35,21 +35,19 @@ SEED = 42
 THRESHOLD = 0.5
 
 
-def network(inputs: int, max_iter: int = MAX_ITER, seed: int = SEED) -> MultilayerPerceptronClassifier:
-    """Two hidden layers. Spark's network has sigmoid units, L-BFGS and no weight penalty."""
-    return MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="y", layers=[inputs, *HIDDEN_LAYERS, 2], maxIter=max_iter, seed=seed
-    )
+def network(inputs: int, max_iter: int = MAX_ITER, seed: int = SEED) -> StoppedNetwork:
+    """Two hidden layers of sigmoid units, trained by L-BFGS until held-out rows stop gaining."""
+    return StoppedNetwork([inputs, *HIDDEN_LAYERS, 2], max_iter, seed)
 
 
-def candidates(inputs: int, network_iter: int = MAX_ITER, seed: int = SEED) -> dict[str, object]:
+def candidates(inputs: int, seed: int = SEED) -> dict[str, object]:
     """The compared classifiers. The nearest-neighbour one is handled apart."""
     return {
         "LogisticRegression": LogisticRegression(featuresCol="features", labelCol="y", maxIter=1000, regParam=0.0),
         "KNeighbors": NEIGHBOURS,
         "LinearSVC": LinearSVC(featuresCol="features", labelCol="y", regParam=0.01),
         "RandomForest": RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=TREES, seed=seed),
-        "MLP": network(inputs, network_iter, seed),
+        "MLP": network(inputs, seed=seed),
     }
 
 
@@ -160,12 +158,14 @@ def cross_validate(
     target: str = schema.TARGET,
     id_col: str = schema.ID,
     prepare: Prepare | None = None,
+    by_fold: Callable[[DataFrame, int], DataFrame] | None = None,
     parallelism: int = 4,
 ) -> DataFrame:
     """Scored validation rows ``(model, fold, id, label, score)`` of the whole sweep.
 
     ``prepare`` learns preprocessing from the training rows of a fold and
-    returns its transform, so no fold sees its own labels. The scores are
+    returns its transform, so no fold sees its own labels; ``by_fold`` applies
+    what was learned for a held-out fold before, for all folds at once. The scores are
     written once; AUC, curves and ranking are queries over that table.
     """
     spark = df.sparkSession
@@ -177,6 +177,8 @@ def cross_validate(
         if prepare is not None:
             apply = prepare(train)
             train, held = apply(train, True), apply(held, False)
+        if by_fold is not None:
+            train, held = by_fold(train, number), by_fold(held, number)
         stages = Pipeline(stages=preparation_stages(features)).fit(_numeric(train, features))
         y = F.col(target).cast("double").alias("y")
         return tuple(
