@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from fitgrain import schema
 from fitgrain.catalog.cleaning import APP_COLUMNS, missing_pct_sql
 from fitgrain.catalog.registry import query, rounded, scramble_sql, table, union_sql, with_apps
+from fitgrain.functions import sketches as sk
 from fitgrain.operators import profile
+from fitgrain.session import scratch_path
 from fitgrain.sources.applications import applications
 
 LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -197,6 +199,27 @@ def e11_lines(spark, sf_dir):
     )
 
 
+@query(
+    "e8_sketched_quantiles",
+    union_sql([f"SELECT '{c}' AS column_name, {q!r}E0 AS share, count({c}) AS n, true AS within FROM lineitem" for c in LINE_NUMBERS for q in (0.5, 0.99)]),
+)
+def e8_sketched(spark, sf_dir):
+    """Quantiles of sketches, stored for each return flag and merged: is each one's rank within the stated error?"""
+    lines = table(spark, sf_dir, "lineitem")
+    path = scratch_path(spark, "sketches")
+    for flag in ("l_returnflag <> 'R'", "l_returnflag = 'R'"):  # what came later adds its own sketches
+        sk.add_sketches(sk.sketches(lines.filter(flag), LINE_NUMBERS, ("l_returnflag",)), path)
+    shares = (0.5, 0.99)
+    found = sk.approx_quantiles(sk.stored_sketches(spark, path), {c: shares for c in LINE_NUMBERS})
+    error = sk.rank_error()
+    tests = []
+    for c in LINE_NUMBERS:
+        for q, value in zip(shares, found[c]):
+            low, high = F.count_if(F.col(c) < value) / F.count(c) - error, F.count_if(F.col(c) <= value) / F.count(c) + error
+            tests.append(F.struct(F.lit(c).alias("column_name"), F.lit(q).alias("share"), F.count(c).alias("n"), F.lit(q).between(low, high).alias("within")))
+    return lines.agg(F.array(*tests).alias("t")).select(F.explode("t").alias("t")).select("t.*")
+
+
 @query(
     "e12_income_quartile_rate",
     with_apps(

@@ -11,6 +11,7 @@ from fitgrain.operators import keyed_maps as km
 from fitgrain.operators import numeric
 from fitgrain.plans import cleaning as cleaning_plan
 from fitgrain.plans import features as plan
+from fitgrain.session import written
 from fitgrain.sources.applications import applications, test_rows, train_rows, written_applications
 
 
@@ -177,7 +178,8 @@ def f16(spark, sf_dir):
     apps = written_applications(spark, sf_dir)
     train, test = train_rows(apps), test_rows(apps)
     cleaner = cleaning_plan.fit_cleaning(train)
-    clean = cleaner.transform(train, training=True)
+    # The features are learned in several passes, so the cleaned rows are written once.
+    clean = written(cleaner.transform(train, training=True), "clean")
     model = plan.fit_features(clean)
     rows = clean.withColumn("split", F.lit("train")).unionByName(cleaner.transform(test).withColumn("split", F.lit("test")))
     return rounded(model.transform(rows))

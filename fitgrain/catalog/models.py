@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from fitgrain import schema
 from fitgrain.catalog.registry import query, rounded, scramble_sql, table, union_sql, with_apps
+from fitgrain.catalog.retrieval import chunk_store
 from fitgrain.operators import evaluate as ev
 from fitgrain.operators import retrieve as rt
 from fitgrain.operators.fold_maps import fit_fold_means
@@ -106,7 +107,7 @@ def sweep_scores(spark, sf_dir, *wanted: str) -> DataFrame:
     """Scores of candidates, all unless some are named, on the same five folds."""
     rows, names = vectors(spark, sf_dir)
     rows = written(stratified_folds(rows), "folds")
-    models = tr.candidates(len(names))
+    models = tr.candidates(len(names)) | ({"LinearSVC": tr.linear_margin()} if "LinearSVC" in wanted else {})
     return tr.cross_validate(rows, names, {m: models[m] for m in wanted or models})
 
 
@@ -119,6 +120,7 @@ def _candidate(name: str, model: str) -> None:
 
 _candidate("m4_logistic", "LogisticRegression")
 _candidate("m6_linear_svc", "LinearSVC")
+_candidate("m6_kernel_svc", "SVC")
 _candidate("m7_random_forest", "RandomForest")
 _candidate("m8_network", "MLP")
 
@@ -162,7 +164,7 @@ def fold_features(spark, sf_dir) -> tuple[DataFrame, list, list[str]]:
     encodings by label are learned without the fold they are used on.
     """
     train = train_rows(written_applications(spark, sf_dir))
-    clean = fit_cleaning(train).transform(train, training=True)
+    clean = written(fit_cleaning(train).transform(train, training=True), "clean")
     features = fit_features(clean, encode=False)
     rows = written(stratified_folds(features.transform(clean)), "folds")
     specs = encoding_specs(rows)
@@ -275,3 +277,51 @@ def m13_model(spark, sf_dir):
 @query("m14_rule_score", with_apps(f"SELECT ID, {RULE} AS probability FROM apps"))
 def m14(spark, sf_dir):
     return sc.with_rule_score(applications(spark, sf_dir)).select("ID", "probability")
+
+
+@query("m10_scored_rows", with_apps("SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_ids, true AS zero_or_one FROM test"))
+def m10_rows(spark, sf_dir):
+    """Every test row is scored once, with a class."""
+    apps, model = trained(spark, sf_dir)
+    scored = sc.predictions(model, test_rows(apps))
+    return scored.agg(F.count("*").alias("n_rows"), F.countDistinct("ID").alias("n_ids"), F.bool_and(F.col("Prediction").isin(0, 1)).alias("zero_or_one"))
+
+
+@query("m12_model_rate_is_mean", with_apps("SELECT count(*) AS n_rows, true AS is_mean FROM test"))
+def m12_mean(spark, sf_dir):
+    """The approval rate is the share of rows scored as approved, each from its probability."""
+    apps, model = trained(spark, sf_dir)
+    rate = m12(spark, sf_dir).first()[0]
+    scored = model.probabilities(test_rows(apps))
+    share = F.count_if(F.col("probability") >= 0.5) / F.count("*")
+    return scored.agg(F.count("*").alias("n_rows"), (F.abs(share - rate) < 1e-12).alias("is_mean"))
+
+
+@query("m13_stream_equals_batch", with_apps("SELECT ID, true AS same FROM apps"))
+def m13_same(spark, sf_dir):
+    """The model decides each application of the stream as it does in a batch."""
+    apps, model = trained(spark, sf_dir)
+    batch = sc.with_decision(model.probabilities(apps.drop("split"))).select("ID", F.struct("decision", "confidence").alias("batch"))
+    stream = m13_model(spark, sf_dir).select("ID", F.struct("decision", "confidence").alias("stream"))
+    return batch.join(stream, "ID", "full").select("ID", F.col("batch").eqNullSafe(F.col("stream")).alias("same"))
+
+
+@query(
+    "m9_sweep_sizes",
+    "WITH folds AS (SELECT (row_number() OVER (PARTITION BY label < 5 ORDER BY " + scramble_sql("vec_id", SEED) + ") - 1) * 5 // count(*) OVER (PARTITION BY label < 5) AS fold FROM embeddings) "
+    "SELECT model, CAST(fold AS INT) AS fold, count(*) AS n, true AS in_range FROM folds, (SELECT unnest(['LogisticRegression', 'KNeighbors', 'SVC', 'RandomForest', 'MLP']) AS model) GROUP BY model, fold",
+)
+def m9_sizes(spark, sf_dir):
+    """Every classifier scores every row of every fold once; probabilities lie between 0 and 1."""
+    scores = sweep_scores(spark, sf_dir)
+    return scores.groupBy("model", "fold").agg(F.count("*").alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"))
+
+
+@query("r9_explained_model")
+def r9_model(spark, sf_dir):
+    """The model's decisions on the test rows, explained: search text, nearest chunks and prompt."""
+    apps, model = trained(spark, sf_dir)
+    scored = sc.with_decision(model.probabilities(test_rows(apps)))
+    amounts = [F.round(c).cast("long").alias(c) for c in ("applicant_income", "loan_amount")]
+    store, encoder = chunk_store(spark, sf_dir)
+    return rt.explained(scored.select("ID", "decision", "confidence", "loan_type", *amounts), store, encoder).select("ID", "decision", "confidence", "query", F.size("chunks").alias("n_chunks"), "prompt")

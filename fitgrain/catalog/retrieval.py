@@ -47,7 +47,7 @@ def chunk_store(spark, sf_dir):
     return written(encoder.encode(chunks, "chunk").select("chunk_id", "chunk", "embedding"), "store"), encoder
 
 
-@query("r3_text_embedding")
+@query("r3_text_embedding", f"SELECT doc_id || '_' || chunk_index AS chunk_id, CAST({rt.DIMENSIONS} AS INT) AS width, 1.0E0 AS norm FROM ({CHUNKS_SQL})")
 def r3(spark, sf_dir):
     store, _ = chunk_store(spark, sf_dir)
     return store.select("chunk_id", F.size("embedding").alias("width"), F.round(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"), 4).alias("norm"))
@@ -235,3 +235,24 @@ def r9(spark, sf_dir):
     store, encoder = chunk_store(spark, sf_dir)
     out = rt.explained(decided(spark, sf_dir, dealt=True), store, encoder)
     return out.select("ID", "decision", "query", F.size("chunks").alias("n_chunks"), "prompt")
+
+
+def explained_head(out):
+    """What does not depend on the chunks found: the decision, the search text, the prompt up to its context, and how many chunks there are."""
+    head = F.substring_index("prompt", "\nContext: ", 1)
+    return out.select("ID", "decision", "query", F.size("chunks").alias("n_chunks"), head.alias("head"))
+
+
+@query(
+    "r9_explained_heads",
+    with_apps(
+        "SELECT ID, decision, 'Loan ' || decision || '. Loan type code: ' || coalesce(loan_type::VARCHAR, 'unknown') || '. Applicant income: $' || "
+        "coalesce(applicant_income::VARCHAR, 'unknown') || '. Loan amount: $' || coalesce(loan_amount::VARCHAR, 'unknown') || '.' AS query, CAST(3 AS INT) AS n_chunks, "
+        "'Explain briefly why a loan application was ' || upper(decision) || ' based on the context.' || chr(10) || 'Income: $' || coalesce(applicant_income::VARCHAR, 'None') || "
+        "', Loan amount: $' || coalesce(loan_amount::VARCHAR, 'None') || ', Loan type code: ' || coalesce(loan_type::VARCHAR, 'None') AS head FROM decided",
+        DECIDED,
+    ),
+)
+def r9_heads(spark, sf_dir):
+    store, encoder = chunk_store(spark, sf_dir)
+    return explained_head(rt.explained(decided(spark, sf_dir, dealt=True), store, encoder))

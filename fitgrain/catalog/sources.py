@@ -19,6 +19,7 @@ from fitgrain.plans.training import TrainedModel, train_model
 from fitgrain.session import scratch_path
 from fitgrain.sources import tables as io
 from fitgrain.sources.applications import applications, train_rows, written_applications
+from fitgrain.streaming.upsert import upsert_stream
 
 
 def application_layout() -> T.StructType:
@@ -36,9 +37,9 @@ def s1(spark, sf_dir):
     return io.scan(spark, path, application_layout())
 
 
-@query("s1_parquet_scan", "SELECT c_custkey, c_acctbal FROM customer")
+@query("s1_parquet_scan", "SELECT * FROM customer")
 def s1_parquet(spark, sf_dir):
-    return io.scan(spark, f"{sf_dir}/customer.parquet", fmt="parquet").select("c_custkey", "c_acctbal")
+    return io.scan(spark, f"{sf_dir}/customer.parquet", fmt="parquet")
 
 
 @query("s2_optional_scan", "SELECT count(*) AS n_orders, true AS absent_is_none FROM orders")
@@ -71,7 +72,31 @@ def s5(spark, sf_dir):
     chunks = rt.with_chunk_id(document_chunks(spark, sf_dir), F.col("doc_id")).select("chunk_id", "chunk", "doc_id")
     io.upsert_chunks(chunks.filter("doc_id % 2 = 0").drop("doc_id"), path)
     io.upsert_chunks(chunks.drop("doc_id"), path)
-    return spark.read.parquet(path)
+    return io.read_chunks(spark, path)
+
+
+@query("s5_stream_upsert", f"SELECT doc_id || '_' || chunk_index AS chunk_id, chunk FROM ({CHUNKS_SQL})")
+def s5_stream(spark, sf_dir):
+    """The chunks of a stream of documents, upserted batch by batch; half of them were stored before."""
+    path = scratch_path(spark, "chunk-stream")
+    docs = table(spark, sf_dir, "documents")
+    known = rt.with_chunk_id(document_chunks(spark, sf_dir), F.col("doc_id")).filter("doc_id % 2 = 0")
+    io.upsert_chunks(known.select("chunk_id", "chunk"), f"{path}/table")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    chunks = rt.with_chunk_id(rt.chunked(stream, "doc_id", "text"), F.col("doc_id")).select("chunk_id", "chunk")
+    upsert_stream(chunks, f"{path}/table", f"{path}/state").awaitTermination()
+    return io.read_chunks(spark, f"{path}/table")
+
+
+@query("s3_document_files", "SELECT doc_id || '.txt' AS name, CASE WHEN doc_id % 50 = 0 THEN 'empty' ELSE 'read' END AS status, CASE WHEN doc_id % 50 = 0 THEN 2 ELSE length(text) + 1 END AS n_chars FROM documents")
+def s3_files(spark, sf_dir):
+    """Each document as a file, some of them blank, read whole with what became of it."""
+    path = scratch_path(spark, "document-files")
+    text = F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), text.alias("text"))
+    docs.write.partitionBy("name").text(path)
+    found = io.scan_documents(spark, f"{path}/name=*/*.txt")
+    return found.select(F.col("folder").alias("name"), "status", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query(

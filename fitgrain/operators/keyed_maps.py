@@ -30,8 +30,12 @@ from fitgrain.session import written
 LITERAL_KEYS = 64
 SMALL_MAP_ROWS = 200_000
 SMALL_MAP_CHARS = 20_000_000
+#: Rows of small maps that one job brings to the driver.
+HEAD_ROWS = 50_000
 HOT_SHARE = 1000
 SALTS = 1024
+#: Copies of each cold key of a large map, so that a key unseen in training spreads over as many tasks.
+COLD_COPIES = 8
 
 _MAP = "map string, is_global boolean, key string, value string, n long"
 _names = count()
@@ -112,12 +116,12 @@ def _left_split(df: DataFrame, key: str, table: DataFrame, total: int, into: str
     few = table.filter(heavy).select(F.col("key").alias(on_hot), F.col("value").alias(hot), F.lit(True).alias(is_hot))
     df = df.join(F.broadcast(few), F.col(key).cast("string") == F.col(on_hot), "left")
     done = F.col(key).isNull() | F.col(is_hot).isNotNull()
-    df = df.withColumn(
-        row_salt, F.when(done, 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    )
-    cold = table.filter(~heavy).select(
-        F.col("key").alias(on), F.lit(0).cast("long").alias(salt), F.col("value").alias(into)
-    )
+    # A key that training never saw may hold any share of the rows: each cold key stands COLD_COPIES times.
+    cold_salt = F.pmod(F.xxhash64(spread), F.lit(COLD_COPIES))
+    done_salt = COLD_COPIES + F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    df = df.withColumn(row_salt, F.when(done, done_salt).otherwise(cold_salt))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COLD_COPIES - 1).cast("long"))).alias(salt)
+    cold = table.filter(~heavy).select(F.col("key").alias(on), F.col("value").alias(into), copies)
     met = (F.col(key).cast("string") == F.col(on)) & (F.col(row_salt) == F.col(salt))
     return (
         df.join(cold, met, "left")
@@ -154,8 +158,22 @@ def _stacked(df: DataFrame, specs: Sequence[MapSpec], *extra: str) -> DataFrame:
 
 
 def _gathered(rows: DataFrame, specs: Sequence[MapSpec], limit: int) -> dict[str, KeyedMap]:
-    """The maps, computed once into a written table."""
-    return _held(written(rows, "maps"), specs, limit)
+    """The maps: in one job if all of them together are small, else from a written table.
+
+    Large maps are computed twice: up to the bound, and then into the table.
+    """
+    bound = min(limit, HEAD_ROWS) + len(specs)
+    head = rows.limit(bound + 1).collect()
+    chars = sum(len(r["key"] or "") + len(r["value"] or "") for r in head)
+    if len(head) > bound or chars > SMALL_MAP_CHARS or sum(not r["is_global"] for r in head) > limit:
+        return _held(written(rows, "maps"), specs, limit)
+    maps = {s.name: KeyedMap(s.name, s.key, s.value) for s in specs}
+    for r in head:
+        if r["is_global"]:
+            maps[r["map"]].fallback = r["value"]
+        elif r["value"] is not None:
+            maps[r["map"]].rows.append((r["key"], r["value"], r["n"]))
+    return maps
 
 
 def _held(table: DataFrame, specs: Sequence[MapSpec], limit: int) -> dict[str, KeyedMap]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitgrain.functions.quantiles import exact_quantiles, number
+from fitgrain.functions.sketches import approx_quantiles, sketches
 
 
 def replaced(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -52,12 +53,15 @@ def filled_log(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
     return replaced(df, out)
 
 
-def fit_caps(df: DataFrame, columns: Sequence[str], q: float = 0.99) -> dict[str, float | None]:
-    return {c: v[0] for c, v in exact_quantiles(df, {c: [q] for c in present(df, columns)}).items()}
+def fit_caps(df: DataFrame, columns: Sequence[str], q: float = 0.99, approx: bool = False) -> dict[str, float | None]:
+    """The quantile of each column; ``approx`` takes it from one pass of sketches."""
+    wanted = {c: [q] for c in present(df, columns)}
+    found = approx_quantiles(sketches(df, list(wanted)), wanted) if approx and wanted else exact_quantiles(df, wanted)
+    return {c: v[0] for c, v in found.items()}
 
 
-def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    return fit_caps(df, columns, 0.5)
+def fit_medians(df: DataFrame, columns: Sequence[str], approx: bool = False) -> dict[str, float | None]:
+    return fit_caps(df, columns, 0.5, approx)
 
 
 def fit_column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

@@ -39,6 +39,18 @@ def shrunk(weights: np.ndarray, layers: list[int], factor: float) -> np.ndarray:
     return out
 
 
+def held_parts(rows: DataFrame, features: str, label: str, id_col: str, share: float = HELD_SHARE) -> tuple[DataFrame, DataFrame]:
+    """Training rows and held-out ones, chosen by a scramble of their ids, written once; too few rows are both."""
+    if id_col in rows.columns:
+        rows = with_scramble(rows.select(id_col, features, label), id_col, HELD_SEED, "__place")
+    else:
+        rows = rows.select(features, label, F.xxhash64(vector_to_array(features), label).alias("__place"))
+    held = F.pmod(F.col("__place"), F.lit(10_000)) < F.lit(round(10_000 * share))
+    kept = written(rows.select(features, label, held.alias("held")), "held-parts")
+    train, apart = kept.filter("not held").drop("held"), kept.filter("held").drop("held")
+    return (train, apart) if not apart.isEmpty() and not train.isEmpty() else (kept.drop("held"), kept.drop("held"))
+
+
 class StoppedNetwork(Estimator):
     """Rounds of a network, each from the last one's weights, until held-out rows stop gaining.
 
@@ -59,24 +71,12 @@ class StoppedNetwork(Estimator):
         self.held_share, self.tolerance, self.penalty, self.round_iter, self.patience = held_share, tolerance, penalty, round_iter, patience
         self.curve: list[tuple[int, float, bool]] = []
 
-    def _parts(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Training and held-out rows, written once for all rounds."""
-        if self.id_col in rows.columns:
-            rows = with_scramble(rows.select(self.id_col, self.features, self.label), self.id_col, HELD_SEED, "__place")
-        else:
-            rows = rows.select(self.features, self.label, F.xxhash64(vector_to_array(self.features), self.label).alias("__place"))
-        held = F.pmod(F.col("__place"), F.lit(10_000)) < F.lit(round(10_000 * self.held_share))
-        kept = written(rows.select(self.features, self.label, held.alias("held")), "network-rows")
-        return kept.filter("not held").drop("held"), kept.filter("held").drop("held")
-
     def _loss(self, model: MultilayerPerceptronClassificationModel, rows: DataFrame) -> float | None:
         scored = model.transform(rows).select(vector_to_array("probability")[1].alias("p"), self.label)
         return scored.agg(log_loss(F.col("p"), F.col(self.label))).first()[0]
 
     def _fit(self, dataset: DataFrame) -> MultilayerPerceptronClassificationModel:
-        train, held = self._parts(dataset)
-        if held.isEmpty():  # too few rows to hold any out
-            held = train
+        train, held = held_parts(dataset, self.features, self.label, self.id_col, self.held_share)
         curve, best, least, idle, done = [], None, float("inf"), 0, 0
         network = MultilayerPerceptronClassifier(featuresCol=self.features, labelCol=self.label, layers=self.layers, seed=self.seed)
         while done < self.max_iter and idle < self.patience:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,23 +52,50 @@ def write_predictions(scored: DataFrame, path: str, fmt: str = "csv", id_col: st
     out.option("header", True).csv(path) if fmt == "csv" else out.format(fmt).save(path)
 
 
-def upsert_chunks(chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
+#: Buckets of a new chunk table. A bucket is what one task reads and writes, so a table of n GB wants about n of them.
+BUCKETS = 32
+
+
+def upsert_chunks(chunks: DataFrame, path: str, key: str = "chunk_id", buckets: int = BUCKETS) -> None:
     """Append the chunks whose id is not in the table yet; a second run adds nothing.
 
-    One id for two different chunks is an error: either of them would be lost.
+    The table is dealt out to buckets by a hash of the id, whose number is
+    kept with it. Only ids of buckets that the new chunks touch are read.
+    Texts are shuffled once, by bucket; repeated and conflicting ids are told
+    apart there. One id for two different chunks is an error, and nothing is
+    written: either of them would be lost.
     """
     spark = chunks.sparkSession
-    others = [c for c in ("chunk_index", "chunk") if c in chunks.columns]
-    if others:
-        content = F.xxhash64(*others)
-        twice = chunks.groupBy(key).agg(F.min(content).alias("low"), F.max(content).alias("high")).where("low <> high").first()
-        if twice:
-            raise ValueError(f"'{twice[0]}' names two different chunks")
-    chunks = chunks.dropDuplicates([key])
-    if path_exists(spark, path):
-        known = spark.read.parquet(path).select(key)
-        chunks = chunks.join(known, key, "left_anti")
-    chunks.write.mode("append").parquet(path)
+    if path_exists(spark, f"{path}/_buckets"):
+        buckets = int(read_json_document(spark, f"{path}/_buckets"))
+    else:
+        write_json_document(spark, f"{path}/_buckets", str(buckets))
+    others = [c for c in chunks.columns if c != key]
+    content = F.xxhash64(*[c for c in ("chunk_index", "chunk") if c in others] or [F.lit(0)])
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = chunks.select(bucket, key, content.alias("content"), F.struct(*others).alias("row")).repartition("bucket")
+    one = dealt.groupBy("bucket", key).agg(F.min("content").alias("low"), F.max("content").alias("high"), F.first("row").alias("row"))
+    conflict = F.raise_error(F.concat(F.lit("'"), F.col(key).cast("string"), F.lit("' names two different chunks"))).cast(one.schema["row"].dataType)
+    rows = one.select("bucket", key, F.when(F.col("low") == F.col("high"), F.col("row")).otherwise(conflict).alias("row"))
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        touched = [r[0] for r in chunks.select(bucket).distinct().collect()]
+        rows = rows.join(known_ids(spark, path, touched, key), ["bucket", key], "left_anti")
+    try:
+        rows.select("bucket", key, "row.*").write.mode("append").partitionBy("bucket").parquet(path)
+    except PySparkException as e:
+        if "names two different chunks" in str(e):
+            raise ValueError(str(e)) from None
+        raise
+
+
+def known_ids(spark: SparkSession, path: str, buckets: Sequence[int], key: str = "chunk_id") -> DataFrame:
+    """``(bucket, id)`` of the given buckets of a chunk table; other buckets' files are not read."""
+    return spark.read.parquet(path).filter(F.col("bucket").isin(*buckets)).select("bucket", key)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """A chunk table as it was given, without its buckets."""
+    return spark.read.parquet(path).drop("bucket")
 
 
 LOG_SCHEMA = T.StructType(
@@ -130,3 +158,32 @@ def scan_text_files(spark: SparkSession, pattern: str) -> DataFrame:
         spark.read.text(pattern, wholetext=True)
         .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
     )
+
+
+def empty_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths of files without a byte, which Spark's scans leave out."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    return [f.getPath().toString() for f in found if f.getLen() == 0 and f.isFile()]
+
+
+def scan_documents(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(folder, name, text, status)`` of each file matching ``pattern``.
+
+    A file that is not UTF-8 is ``failed`` and has no text, one with white
+    space only or without a byte is ``empty``, any other is ``read``; none is
+    left out. Files are listed by the driver, as Spark lists what it reads.
+    """
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    files = spark.read.format("binaryFile").load(pattern).select("path", text.alias("text"))
+    nothing = spark.createDataFrame([(path, "") for path in empty_files(spark, pattern)], "path string, text string")
+    blank = F.btrim(F.col("text"), F.lit(" \t\n\r\x0b\f")) == ""
+    status = F.when(F.col("text").isNull(), "failed").when(blank, "empty").otherwise("read")
+    parts = F.split("path", "/")
+    folder, name = F.regexp_replace(F.element_at(parts, -2), "^[^=]*=", ""), F.element_at(parts, -1)
+    return files.unionByName(nothing).select(folder.alias("folder"), name.alias("name"), "text", status.alias("status"))
+
+
+def document_report(files: DataFrame) -> DataFrame:
+    """``(status, files, chars)``: how many files were read, are empty or failed, without their texts."""
+    return files.groupBy("status").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars"))

@@ -98,3 +98,32 @@ def test_no_rows_have_no_maps(folded):
     none = folded.filter("false")
     assert all(m["county"].rows == [] for m in fm.fit_fold_means(none, [MapSpec("county", None, "county")], of="label"))
     assert fm.fit_fold_modes(folded, []) == [{}] * 5
+
+
+def test_kernel_margin_separates_rings(spark):
+    from pyspark.ml.classification import LinearSVC
+
+    from fitgrain.operators.evaluate import auc
+    from fitgrain.plans.kernel import KernelMargin
+    from fitgrain.plans.training import scores_of
+
+    rows, unseen = written(rings(spark, 1200), "rings"), written(rings(spark, 400, seed=2), "rings")
+    model = KernelMargin().fit(rows)
+    linear = LinearSVC(featuresCol="features", labelCol="y").fit(rows)
+    area = lambda m: auc(scores_of(m, unseen, "ID", "y").withColumnRenamed("y", "label"), score="score").first()["auc"]
+    assert area(model) > 0.97 and area(linear) < 0.65
+    scored = sorted((r["margin"], r["probability"][1], r["prediction"]) for r in model.transform(unseen).collect())
+    assert all(a[1] <= b[1] for a, b in zip(scored, scored[1:])) and 0 <= scored[0][1] < 0.1 < 0.9 < scored[-1][1] <= 1
+    assert all(p == (q >= 0.5) for _, q, p in scored)
+    assert {"ID", "features", "y", "probability", "prediction", "margin"} == set(model.transform(unseen).columns)
+    assert model.transform(unseen.filter("false")).count() == 0
+
+
+def test_kernel_features_approximate_the_kernel():
+    from fitgrain.plans.kernel import waves
+
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    frequencies, phases = waves(4, 4096, 0.25, 1)
+    z = np.sqrt(2 / 4096) * np.cos(x @ frequencies + phases)
+    exact = np.exp(-0.25 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - exact).max() < 0.08
