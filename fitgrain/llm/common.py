@@ -64,6 +64,55 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+#: What an entry of a worker's cache takes besides its characters and bytes.
+ENTRY_BYTES = 220
+_kept: dict[object, object] = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """A value that lives on in this Python worker from task to task, the only one: that of another operator goes."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release_worker() -> None:
+    """Drop what another operator keeps in this worker."""
+    _kept.clear()
+
+
+class Recent:
+    """Values by key in two generations that together take about ``limit`` bytes, besides the keys of one request."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.used, self.now, self.older, self.long = limit, 0, {}, {}, []
+
+    def ready(self, keys: Iterable[str], make: Callable[[list[str]], Iterable[bytes]], long: int = 64) -> dict[str, bytes]:
+        """The values, all of ``keys`` among them; keys of over ``long`` characters stay until ``forget_long``."""
+        if 2 * self.used >= self.limit:
+            self.older, self.now, self.used = self.now if self.used <= self.limit else {}, {}, 0
+        now, older, new, again = self.now, self.older, [], 0
+        for key in keys:
+            if key not in now:
+                value = older.get(key)
+                if value is None:
+                    new.append(key)
+                else:
+                    now[key] = value
+                    again += len(key) + len(value) + ENTRY_BYTES
+        made = list(make(new))
+        now.update(zip(new, made))
+        self.used += again + sum(map(len, new)) + sum(map(len, made)) + ENTRY_BYTES * len(new)
+        self.long = [key for key in new if len(key) > long]
+        return now
+
+    def forget_long(self) -> None:
+        for key in self.long:
+            self.used -= len(key) + len(self.now.pop(key)) + ENTRY_BYTES
+        self.long = []
+
+
 def per_batch(f: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.Schema):
     """A function for ``mapInArrow`` that turns each batch into columns of ``schema``."""
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fitgrain.llm.common import texts
+from fitgrain.llm.common import Recent, kept_in_worker, texts
 from fitgrain.session import scratch_path
 
 MAGIC = b"FGDAC1\0\0"
@@ -22,9 +25,12 @@ MAGIC = b"FGDAC1\0\0"
 FILE_IDS = 1_000_000
 #: Bits of a continuation bitmap to an entry of its rank directory.
 RANK_BITS = 512
-#: Entries of one generation of a worker's word cache; two generations are kept.
-CACHE_WORDS = 400_000
-BATCH_CHARS = 4_000_000
+#: Bytes of a worker's word cache.
+CACHE_BYTES = 96_000_000
+#: Kept runs of punctuation.
+MARKS = 10_000
+#: Texts of together so many bytes are encoded at once.
+BATCH_BYTES = 3_000_000
 
 
 def _byte_signs() -> dict[int, int]:
@@ -135,83 +141,87 @@ class TokenFile:
 class WordTokens:
     """Ids of whole texts by a tokenizer that drops white space and never joins across it.
 
-    Words between spaces and line feeds are encoded once and kept. Full stops
-    and commas at a word's end are pre-tokens of their own.
+    Texts are cut at spaces and line feeds. Each different word of a batch is
+    encoded once, and often kept; the texts' ids are gathered by the numbers
+    of their words. ASCII punctuation at a word's end is a pre-token of its
+    own.
     """
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer, self.model, self.now, self.older = tokenizer, tokenizer.model, {}, {}
+        self.tokenizer, self.model, self.known, self.marks = tokenizer, tokenizer.model, Recent(CACHE_BYTES), {}
 
-    def _letters(self, word: str) -> bytes | None:
-        """Ids of a word of letters only, past the normalizer, whose work on it is plain; else None."""
-        if not word.isalpha():
-            return None
+    def _shown(self, word: str) -> str | None:
+        """A word of letters only as the model sees it, past the normalizer, whose work on it is plain; else None."""
         if word.isascii():
-            shown = word.lower()
-        elif is_normalized("NFC", word) and "Σ" not in word and "İ" not in word:
-            shown = word.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
-        else:
-            return None
-        return np.array([t.id for t in self.model.tokenize(shown)], np.uint32).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.now) >= CACHE_WORDS:
-            self.older, self.now = self.now, {}
-        now, older, split, plain = self.now, self.older, [], []
+            return word.lower() if word.isalpha() else None
+        if word.isalpha() and is_normalized("NFC", word) and "Σ" not in word and "İ" not in word:
+            return word.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+        return None
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        tokenize, shown = self.model.tokenize, self._shown
+        flat, ends, hard = array("I"), [], []
         for word in words:
-            if word in now:
-                continue
-            if (value := older.get(word)) is not None:
-                now[word] = value
-                continue
-            stem = word.rstrip(".,")
-            if len(stem) < len(word) and stem and stem[-1].isalpha() and stem[-1].lower().isalpha():
-                split.append((word, stem, word[len(stem) :]))
-                plain += split[-1][1:]
+            stem = word.rstrip(punctuation)
+            letters = shown(stem) if stem else None
+            if letters is not None and (stem == word or stem[-1].lower().isalpha()):
+                flat.extend([t.id for t in tokenize(letters)])
+                if stem != word:
+                    flat.extend(self._mark(word[len(stem) :]))
             else:
-                plain.append(word)
-        hard = []
-        for word in {p for p in plain if p not in now}:
-            value = older.get(word) or self._letters(word)
-            if value is None:
-                hard.append(word)
-            else:
-                now[word] = value
-        for word, found in zip(hard, self.tokenizer.encode_batch(hard, add_special_tokens=False)):
-            now[word] = np.array(found.ids, np.uint32).tobytes()
-        for word, stem, rest in split:
-            now[word] = now[stem] + now[rest]
-
-    def encode(self, whole: Iterable[str]) -> Iterator[bytes]:
-        batch, size = [], 0
-        for text in whole:
-            batch.append(text)
-            size += len(text)
-            if size >= BATCH_CHARS:
-                yield from self._encode(batch)
-                batch, size = [], 0
-        yield from self._encode(batch)
-
-    def _encode(self, batch: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in batch]
-        self._learn({w for c in cut for w in c})
-        now = self.now
-        done = [b"".join([now[w] for w in c]) for c in cut]
-        for word in [w for c in cut for w in c if len(w) > 64]:
-            now.pop(word, None)
-        return done
-
-
-_tokenizers: dict[int, WordTokens] = {}
+                hard.append((len(ends), word))
+            ends.append(len(flat))
+        data = flat.tobytes()
+        made = [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        for (at, _), found in zip(hard, self.tokenizer.encode_batch([w for _, w in hard], add_special_tokens=False)):
+            made[at] = array("I", found.ids).tobytes()
+        return made
+
+    def _mark(self, mark: str) -> list[int]:
+        """The ids of ASCII punctuation at a word's end, which is a pre-token."""
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
+            if len(self.marks) == MARKS:
+                self.marks.clear()
+            if len(mark) < 8:
+                self.marks[mark] = ids
+        return ids
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column; null is empty."""
+        column = pc.fill_null(column, "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(column):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+            yield from self._encode(column.slice(lo, hi - lo))
+            lo = hi
+
+    def _encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        offsets = cut.offsets.to_numpy()
+        coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known.ready(words, self._made)
+        found = [known[w] for w in words]
+        self.known.forget_long()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        which = coded.indices.to_numpy()
+        own = sizes[which]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(starts[which] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[offsets - offsets[0]]
+        return (ids[a:b] for a, b in zip(at[:-1], at[1:]))
 
 
 def _words(table: Broadcast) -> WordTokens:
     """One a worker process, so that its cache lives on from task to task."""
-    key = zlib.crc32(table.value)
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = WordTokens(Tokenizer.from_str(table.value.decode()))
-    return _tokenizers[key]
+    return kept_in_worker(("words", zlib.crc32(table.value)), lambda: WordTokens(Tokenizer.from_str(table.value.decode())))
 
 
 def write_token_files(documents: DataFrame, tokenizer_file: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -219,22 +229,24 @@ def write_token_files(documents: DataFrame, tokenizer_file: str, end_id: int, pa
 
     The table at ``path`` has a row for each file: ``part`` and ``file`` give
     its place, ``n_ids`` its size, ``data`` its bytes. Rows without an id come
-    first; null and empty texts hold the end id only. Repeated rows are equal,
-    so their order does not matter. An empty table gives no files.
+    first; null and empty texts hold the end id only. Rows of one id stand in
+    the order of a hash of their texts, then of the texts, so that only equal
+    rows tie, and no id's rows need to be in one task. An empty table gives no
+    files.
     """
     df = texts(documents, id_col, text_col)
     with open(tokenizer_file, "rb") as f:
         table = df.sparkSession.sparkContext.broadcast(f.read())
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], np.uint32)
     schema = pa.schema([("file", pa.int32()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _words(table)
         doc_ids, ids, size, number = [], [], 0, 0
         for batch in batches:
-            for doc_id, found in zip(batch.column(0).to_pylist(), coder.encode(t.as_py() or "" for t in batch.column(1))):
+            for doc_id, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(found + end, np.uint32))
+                ids.append(np.concatenate([found, end]))
                 size += len(ids[-1])
                 if size >= FILE_IDS:
                     yield pa.RecordBatch.from_pylist([{"file": number, "n_ids": size, "data": token_file(doc_ids, ids)}], schema=schema)
@@ -242,7 +254,9 @@ def write_token_files(documents: DataFrame, tokenizer_file: str, end_id: int, pa
         if doc_ids:
             yield pa.RecordBatch.from_pylist([{"file": number, "n_ids": size, "data": token_file(doc_ids, ids)}], schema=schema)
 
-    ordered = df.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    keyed = df.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash"), F.coalesce("text", F.lit(""))]
+    ordered = keyed.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     files = ordered.mapInArrow(run, "file int, n_ids long, data binary")
     files.select(F.spark_partition_id().alias("part"), "*").write.parquet(path)
 
