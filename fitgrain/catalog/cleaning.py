@@ -110,12 +110,12 @@ _label_query(
 )
 
 
-def race_sql(column: str) -> str:
+def race_sql(column: str, edge: str = "\\b") -> str:
     phrases = (
         "white|black or african american|asian|american indian or alaska native|"
         "information not provided|not applicable|no co-applicant"
     )
-    return f"CASE WHEN regexp_matches(lower(trim({column})), '\\b({phrases})\\b') THEN trim({column}) ELSE 'Other' END"
+    return f"CASE WHEN regexp_matches(lower(trim({column})), '{edge}({phrases}){edge}') THEN trim({column}) ELSE 'Other' END"
 
 
 _label_query("t8_race_consolidation", "applicant_race_name_1", tx.consolidated, race_sql("applicant_race_name_1"))
@@ -127,6 +127,21 @@ _label_query(
 )
 
 
+# With a syllable before the label, phrases stand inside words: the compat form finds them, the default does not.
+_label_query(
+    "t8_race_consolidation_compat",
+    "applicant_race_name_1",
+    lambda c: tx.consolidated(F.concat(F.lit("Cauc"), F.trim(c)), compat=True),
+    race_sql("'Cauc' || trim(applicant_race_name_1)", ""),
+)
+_label_query(
+    "t9_co_applicant_race_compat",
+    "co_applicant_race_name_1",
+    lambda c: tx.consolidated(F.concat(F.lit("Cauc"), F.trim(c)), missing="No co-applicant", compat=True),
+    race_sql("coalesce('Cauc' || trim(co_applicant_race_name_1), 'No co-applicant')", ""),
+)
+
+
 def sex_sql(column: str) -> str:
     v = f"lower(trim({column}))"
     return (
