@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import islice
 
@@ -15,15 +15,12 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from fitgrain.llm.common import texts
+from fitgrain.llm.common import Recent, kept_in_worker, texts
 
-#: Entries of one generation of a worker's caches; two generations are kept.
-CACHE_WORDS = 300_000
-CACHE_PIECES = 600_000
-#: Longer words and pieces are not kept after their batch.
-CACHE_CHARS = 64
+#: Bytes of each of a worker's three caches: pieces, words at a text's start, and words after a space.
+PIECE_BYTES, FIRST_BYTES, WORD_BYTES = 60_000_000, 4_000_000, 100_000_000
 #: Texts of together so many characters are encoded at once; one queue merges pieces of so many bytes.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 QUEUE_BYTES = 10_000
 
 
@@ -175,34 +172,6 @@ def merge(pieces: list[bytes], ranks: dict[bytes, int], pair_ranks: np.ndarray)
     return out
 
 
-class _Recent:
-    """Values by key in two generations of bounded size."""
-
-    def __init__(self, entries: int) -> None:
-        self.entries, self.now, self.older, self.long = entries, {}, {}, []
-
-    def ready(self, keys: Iterable[str], make: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
-        """The values, all of ``keys`` among them."""
-        if len(self.now) >= self.entries:
-            self.older, self.now = self.now, {}
-        now, older, new = self.now, self.older, []
-        for key in keys:
-            if key not in now:
-                value = older.get(key)
-                if value is None:
-                    new.append(key)
-                else:
-                    now[key] = value
-        now.update(zip(new, make(new)))
-        self.long = [key for key in new if len(key) > CACHE_CHARS]
-        return now
-
-    def forget_long(self) -> None:
-        for key in self.long:
-            del self.now[key]
-        self.long = []
-
-
 class ByteBpe:
     """Encoder and decoder of one rank table.
 
@@ -220,7 +189,7 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.pieces_of = regex.compile(pattern).findall
-        self.pieces, self.words, self.spaced = _Recent(CACHE_PIECES), _Recent(CACHE_WORDS), _Recent(CACHE_WORDS)
+        self.pieces, self.words, self.spaced = Recent(PIECE_BYTES), Recent(FIRST_BYTES), Recent(WORD_BYTES)
 
     def _merged(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -273,16 +242,10 @@ DIGESTS = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 )
 
-_coders: dict[bytes, ByteBpe] = {}
-
-
 def _coder(table: Broadcast, pattern: str) -> ByteBpe:
     """One coder a worker process, so that its caches live on from task to task."""
     key = sha256(table.value + pattern.encode()).digest()
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = ByteBpe(read_ranks(table.value.splitlines()), pattern)
-    return _coders[key]
+    return kept_in_worker(key, lambda: ByteBpe(read_ranks(table.value.splitlines()), pattern))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], table: Broadcast, pattern: str) -> Iterator[tuple[object, bytes, bytes]]:

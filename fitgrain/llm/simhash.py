@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitgrain.llm.common import raw, texts
+from fitgrain.llm.common import raw, release_worker, texts
 from fitgrain.llm.components import components
 from fitgrain.session import written
 
@@ -59,6 +59,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     more = [row_col] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         for batch in batches:
             found = np.fromiter((fingerprint(t, shingle) for t in raw(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
