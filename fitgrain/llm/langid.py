@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fitgrain.llm.common import raw, shipped, texts
+from fitgrain.llm.common import raw, release_worker, shipped
 
 #: Labelled rows to learn from, at most, dealt evenly to the languages.
 TRAIN_ROWS = 6000
@@ -23,10 +24,12 @@ EPOCHS = 4
 RATE = 4.0
 #: Every fourth learned row is kept for the temperature and the rejection threshold.
 CALIBRATION = 4
+#: Every second learned row also teaches what is no language: its letters in a random order.
+MIXED_UP = 2
 #: Share of rightly named calibration rows that may be rejected.
 REJECTED_SHARE = 0.001
-#: A threshold never asks for more than this.
-MOST_ASKED = 0.5
+#: The class of mixed-up rows, and what rejected texts are called.
+UNKNOWN = "und"
 _PIECE = 1 << 20
 _SIGNS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -53,7 +56,10 @@ def subwords(text: bytes) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Each bucket's share of the logits: the product of embeddings and softmax weights."""
+    """Each bucket's share of the logits: the product of embeddings and softmax weights.
+
+    The last class is that of mixed-up texts.
+    """
 
     languages: tuple[str, ...]
     shares: np.ndarray
@@ -62,16 +68,17 @@ class Model:
     threshold: float
 
     def logits(self, text: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(len(self.bias)), 0
         for buckets in subwords(text):
             total += self.shares[buckets].sum(axis=0, dtype=np.float64)
             n += len(buckets)
         return total / max(n, 1) + self.bias
 
-    def predict(self, text: bytes) -> tuple[str, float]:
+    def predict(self, text: bytes) -> tuple[str, float, bool]:
+        """The likeliest language, its probability, and whether the text is like one at all."""
         p = softmax(self.logits(text) / self.temperature)
-        best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        best = int(p[:-1].argmax())
+        return self.languages[best], float(p[best]), bool(language_odds(p) >= self.threshold)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -79,6 +86,27 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def language_odds(p: np.ndarray) -> np.ndarray:
+    """The logarithm of the odds that a text is of a language, not mixed up."""
+    known = np.clip(1 - p[..., -1], 1e-12, 1 - 1e-12)
+    return np.log(known / (1 - known))
+
+
+def mixed_up(text: bytes, seed: int) -> bytes:
+    """The text with its letters in a random order; other signs stay where they are."""
+    signs = np.frombuffer(text.translate(_SIGNS), np.uint8).copy()
+    letters = signs != 32
+    signs[letters] = np.random.default_rng(seed).permutation(signs[letters])
+    return signs.tobytes()
+
+
+def packed_counts(text: bytes) -> bytes:
+    counted = np.zeros(BUCKETS * len(LENGTHS), np.int32)
+    for buckets in subwords(text):
+        counted += np.bincount(buckets, minlength=len(counted)).astype(np.int32)
+    return pack(counted)
+
+
 def pack(counted: np.ndarray) -> bytes:
     """The buckets that a text has, and how often."""
     found = np.flatnonzero(counted)
@@ -92,15 +120,21 @@ def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
-    """Learn from ``(language, packed counts)`` rows by stochastic gradient descent, one row a step; rows stay packed."""
-    languages = tuple(sorted({r[0] for r in rows}))
-    classes = [languages.index(r[0]) for r in rows]
+    """Learn from ``(language, packed counts)`` rows by stochastic gradient descent, one row a step; rows stay packed.
+
+    Rows without a language are mixed up. The threshold on the odds of a
+    language is that by which the least likely rightly named calibration rows
+    are rejected, or halfway from there to the likeliest mixed-up ones if
+    these lie lower.
+    """
+    languages = tuple(sorted({r[0] for r in rows if r[0] is not None}))
+    classes = [len(languages) if r[0] is None else languages.index(r[0]) for r in rows]
     held = [k for k in range(len(rows)) if k % CALIBRATION == 0]
     learned = [k for k in range(len(rows)) if k % CALIBRATION]
     random = np.random.default_rng(7)
     embeddings = random.normal(0, 0.1, (BUCKETS * len(LENGTHS), DIMENSIONS)).astype(np.float32)
-    weights = random.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
-    bias = np.zeros(len(languages), np.float32)
+    weights = random.normal(0, 0.1, (DIMENSIONS, len(languages) + 1)).astype(np.float32)
+    bias = np.zeros(len(languages) + 1, np.float32)
     steps = EPOCHS * len(learned)
     for step in range(steps):
         if step % max(len(learned), 1) == 0:
@@ -117,15 +151,18 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
         bias -= rate / 100 * error
         embeddings[buckets] -= rate * share[:, None] * len(share) ** 0.5 * back[None, :]
     table = embeddings @ weights
-    model = Model(languages, table, bias, 1.0, 0.0)
+    model = Model(languages, table, bias, 1.0, -np.inf)
     if not held:
         return model
     logits = np.stack([counts / counts.sum() @ table[buckets] + bias for buckets, counts in (unpack(rows[k][1]) for k in held)])
     right = np.array([classes[k] for k in held])
     temperature = min((2.0**e for e in np.arange(-4, 4.25, 0.25)), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), right] + 1e-12).sum())
     p = softmax(logits / temperature)
-    sure = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
-    threshold = min(float(sure[int(len(sure) * REJECTED_SHARE)]), MOST_ASKED) if len(sure) else 0.0
+    odds, named = language_odds(p), p[:, :-1].argmax(axis=1) == right
+    sure, mixed = np.sort(odds[named]), np.sort(odds[right == len(languages)])
+    threshold = float(sure[int(len(sure) * REJECTED_SHARE)]) if len(sure) else -np.inf
+    if len(sure) and len(mixed):
+        threshold = min(threshold, (threshold + float(mixed[int(len(mixed) * (1 - REJECTED_SHARE))])) / 2)
     return Model(languages, table, bias, float(temperature), threshold)
 
 
@@ -133,8 +170,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, bytes]]:
-    """At most ``rows`` labelled rows that are not held out, as packed bucket counts, evenly over the languages by a hash of their ids."""
+def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str | None, bytes]]:
+    """At most ``rows`` labelled rows that are not held out, as packed bucket counts, evenly over the languages by a hash of their ids; and some of them mixed up, without a language."""
     labelled = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = labelled.groupBy("lang").count().collect()
     if not counts:
@@ -145,16 +182,20 @@ def training_rows(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[st
     drawn = labelled.where((F.pmod(place, F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")]).select(place.alias("place"), "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         for batch in batches:
             for row, text in enumerate(raw(batch.column(2))):
-                counted = np.zeros(BUCKETS * len(LENGTHS), np.int32)
-                for buckets in subwords(text):
-                    counted += np.bincount(buckets, minlength=len(counted)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + 1], batch.column(1)[row : row + 1].cast(pa.string()), pa.array([pack(counted)])], ["place", "lang", "packed"])
-
-    packed = drawn.mapInArrow(run, "place long, lang string, packed binary").orderBy("place", "packed").limit(rows)
+                place = batch.column(0)[row].as_py()
+                made = [packed_counts(text)]
+                if place % MIXED_UP == 0:
+                    made.append(packed_counts(mixed_up(text, place % (1 << 32))))
+                n = len(made)
+                yield pa.RecordBatch.from_arrays([pa.array([place] * n), pa.array([batch.column(1)[row].as_py()] * n, pa.string()), pa.array([False, True][:n]), pa.array(made)], ["place", "lang", "mixed", "packed"])
+
+    packed = drawn.mapInArrow(run, "place long, lang string, mixed boolean, packed binary").orderBy("mixed", "place", "packed").limit(rows + rows // MIXED_UP)
     nothing = pack(np.zeros(0, np.int32))
-    return [(row[0], bytes(row[1])) for row in packed.select("lang", "packed").toLocalIterator() if bytes(row[1]) != nothing]
+    found = packed.select("lang", "mixed", "packed").toLocalIterator()
+    return [(None if mixed else lang, bytes(own)) for lang, mixed, own in found if bytes(own) != nothing]
 
 
 def fit_languages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
@@ -170,21 +211,35 @@ def languages(documents: DataFrame, model: Model | None, id_col: str = "doc_id",
     """``(doc_id, held_out, lang_pred, score, accepted)`` of each row, from its whole text alone.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected;
-    so is every text without a model. Another text is rejected if its
-    calibrated score lies under the model's threshold. Rows are judged one by
+    so is every text without a model. Another text is rejected if the odds
+    that it is of any language lie under the model's threshold. Rows are judged one by
     one: repeated rows are equal, a null id is not held out, an empty table
     gives no rows.
     """
-    df = texts(documents, id_col, text_col)
-    judged = df.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    judged = _judged(documents, model, text_col, F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def accepted_rows(documents: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` in an accepted language, as they came; a row's verdict travels with it, so none is joined back."""
+    judged = _judged(documents, model, text_col, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return judged.where("accepted").select("row.*")
+
+
+def _judged(documents: DataFrame, model: Model | None, text_col: str, carried: Column) -> DataFrame:
+    """The carried column, ``lang_pred``, ``score`` and ``accepted`` of each row."""
+    spark = shipped(documents.sparkSession)
+    text = F.col(f"`{text_col}`")
+    rows = documents.select(carried, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    sent = spark.sparkContext.broadcast(model)
+    name = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         model = sent.value
         for batch in batches:
-            found = [model.predict(t) if model and has.as_py() else ("und", 0.0) for t, has in zip(raw(batch.column(1)), batch.column(2))]
-            accepted = [lang != "und" and score >= model.threshold for lang, score in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
+            found = [model.predict(t) if model and has.as_py() else (UNKNOWN, 0.0, False) for t, has in zip(raw(batch.column(1)), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], [name, "lang_pred", "score", "accepted"])
 
-    scored = judged.mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+    layout = T.StructType([rows.schema[name], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    return rows.mapInArrow(run, layout)
