@@ -18,9 +18,7 @@ ROW = "__row"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an accepted language; ``lang`` stays as it came."""
-    keyed = _keyed(docs)
-    found = langid.languages(keyed, langid.fit_languages(docs), id_col=ROW)
-    return _rows(keyed, found.where("accepted").select(F.col("doc_id").alias(ROW)), "left_semi")
+    return langid.accepted_rows(docs, langid.fit_languages(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
