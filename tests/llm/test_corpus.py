@@ -6,15 +6,17 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import connect, differences
 
-from fitgrain.llm import decontam, lines, simhash, suffix
-from fitgrain.llm.catalog import ORACLES, QUERIES
+from fitgrain.llm import bpe, decontam, langid, lines, simhash, suffix
+from fitgrain.llm.catalog import ORACLES, QUERIES, RANK_FILE
 from fitgrain.llm.components import components
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -213,6 +215,66 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def plain_pipeline(spark, sf_dir):
+    """The five stages in plain Python over ``(doc_id, text)`` pairs without null ids."""
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit_languages(frame)
+    docs = [(r["doc_id"], r["text"] or "") for r in frame.collect()]
+    docs = [(d, t) for d, t in docs if any(c.isalpha() for c in t) and model.predict(t.encode())[2]]
+
+    key = lambda line: line.encode().translate(LOWER).strip(b" \t\n\x0b\f\r").decode()
+    holders = {}
+    for d, t in docs:
+        for line in t.split("\n"):
+            holders.setdefault(key(line), set()).add(d)
+    stays = lambda d, line: len(key(line)) < 10 or d == min(holders[key(line)])
+    kept = [(d, [line for line in t.split("\n") if stays(d, line)]) for d, t in docs]
+    docs = [(d, "\n".join(lines)) for d, lines in kept if lines]
+
+    fps = {d: brute_fingerprint(t) for d, t in docs}
+    label = smallest_reachable(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= simhash.DISTANCE)
+    first = {}
+    for d, fp in fps.items():
+        first[label[fp]] = min(d, first.get(label[fp], d))
+    docs = [(d, t) for d, t in docs if first[label[fps[d]]] == d]
+
+    words = lambda t: (t or "").encode().translate(LOWER).split()
+    items = [words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    def leaks(text):
+        own = words(text)
+        for item in items:
+            width = min(len(item), 13)
+            for a, b in itertools.product(range(len(own) - width + 1), range(len(item) - width + 1)) if width else ():
+                if own[a : a + width] == item[b : b + width] or width == 13 and sum(x != y for x, y in zip(own[a : a + width], item[b : b + width])) <= 2:
+                    return True
+        return False
+    docs = [(d, t) for d, t in docs if not leaks(t)]
+
+    with open(public_tokenizers.path(RANK_FILE), "rb") as f:
+        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f), special_tokens={})
+    ids = {d: coder.encode_ordinary(t) for d, t in docs}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    return sorted((d, len(ids[d]), sha(np.array(ids[d], "<u4").tobytes()), sha(t.encode())) for d, t in docs)
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """Planted copies, shared lines, passages of the benchmark and mixed-up texts among the given documents."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 90 AND n_chars < 3000")
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(6)
+    some = [r["text"] for r in docs.orderBy("doc_id").limit(12).collect()]
+    item = tests.first()["text"].split()
+    planted = [some[0], some[1] + " more", some[2].upper(), "x " + " ".join(item[:14]) + " y " + some[3], "12 34", langid.mixed_up(" ".join(some[4:8]).encode(), 1).decode("latin-1").lower()]
+    planted += [f"A line that two documents share\n{some[8 + k]}" for k in range(2)]
+    rows = spark.createDataFrame([(1000 + k, t, "en", "planted", len(t)) for k, t in enumerate(planted)], docs.schema)
+    docs.unionByName(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    tests.write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = plain_pipeline(spark, str(tmp_path))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+    left = {d for d, *_ in want}
+    assert not left & {1003, 1004} and len(left) > 40
+
+
 def test_pipeline_stages_keep_odd_rows(spark, sf_dir):
     rows = [(1, "the first of the words here", "en", None, None), (None, None, None, None, None), (2, "the first of the words here", "en", "s", 3), (2, "the first of the words here", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -3,17 +3,19 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
-from fitgrain.llm import bpe, html_text, langid, licenses, quality, token_files
+from fitgrain.llm import bpe, common, html_text, langid, licenses, quality, token_files
 from fitgrain.llm.catalog import END_ID, QUERIES, RANK_FILE, TOKENIZER_FILE
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -73,8 +75,38 @@ def test_bpe_tokens_hold_ids_and_bytes(documents):
 def test_word_tokens_like_the_library():
     tokenizer = Tokenizer.from_file(TOKENIZER)
     texts = scribble(20_000, 14, 3)
-    for text, ids, want in zip(texts, token_files.WordTokens(tokenizer).encode(texts), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(ids, np.uint32).tolist() == want.ids, repr(text)
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    for limit in (token_files.CACHE_BYTES, 100_000):
+        coder = token_files.WordTokens(tokenizer)
+        coder.known.limit = limit
+        for some in (slice(0, 9000), slice(9000, None)):
+            for text, ids, own in zip(texts[some], coder.encode(pa.array(texts[some])), want[some], strict=True):
+                assert ids.tolist() == own.ids, repr(text)
+    assert [len(x) for x in coder.encode(pa.array([None, "", " \n"]))] == [0, 0, 0]
+
+
+def test_worker_caches_are_bounded_by_bytes():
+    cache = common.Recent(100_000)
+    for k in range(200):
+        keys = [f"{j}" for j in range(k * 50, k * 50 + 100)] + ["x" * 9000]
+        values = cache.ready(keys, lambda new: [x.encode() * 2 for x in new])
+        assert all(values[x] == x.encode() * 2 for x in keys)
+        cache.forget_long()
+        held = sum(3 * len(x) + common.ENTRY_BYTES for g in (cache.now, cache.older) for x in g)
+        assert held < 200_000 and "x" * 9000 not in cache.now
+    assert common.kept_in_worker("a", lambda: 1) == common.kept_in_worker("a", lambda: 2) == 1
+    assert common.kept_in_worker("b", lambda: 3) == 3 and common.kept_in_worker("a", lambda: 4) == 4
+    common.release_worker()
+
+
+def test_token_files_order_rows_of_one_id(documents):
+    """Rows without an id, or with the same one, stand by their texts whatever order they come in."""
+    rows = [(d, f"text {k} of many" * (k % 3)) for d in (None, 4, 9) for k in range(40)]
+    found = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        found.append(sorted(map(str, token_files.token_table(documents(rows).repartition(3 + seed), TOKENIZER, 2).collect())))
+    assert found[0] == found[1]
 
 
 def test_codes_give_any_id():
@@ -143,6 +175,18 @@ def test_language_of_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_rejection_is_calibrated(spark):
+    """Texts with their letters in another order are rejected, their originals are not, and that depends on the odds."""
+    docs = spark.read.parquet(SF_DIR.replace("0.001", "0.01") + "/documents.parquet")
+    model = langid.fit_languages(docs)
+    whole = [(r["text"] or "").encode() for r in docs.where("crc32(cast(doc_id as string)) % 4 = 2").collect()]
+    long = [t for t in whole if len(t) > 100]
+    assert len(long) > 100 and np.mean([model.predict(t)[2] for t in long]) > 0.99
+    assert np.mean([model.predict(langid.mixed_up(t, k))[2] for k, t in enumerate(long)]) < 0.05
+    assert np.isfinite(model.threshold) and sorted(langid.mixed_up(long[0], 1)) == sorted(long[0].translate(langid._SIGNS))
+    assert model.languages == ("de", "en", "es", "fr") and len(model.bias) == 5
+
+
 def test_language_odd_rows(odd, empty):
     assert langid.fit_languages(empty) is None
     assert {r["lang_pred"] for r in langid.languages(odd, None).collect()} == {"und"}
@@ -214,6 +258,47 @@ def test_html_of_boilerplate_only():
     assert html_text.main_text("<div id='content'><p>Yes.</p></div>" + SIDE) == "Yes."
 
 
+def test_html_holders_are_one_vote():
+    """A teaser does not hide the article, two articles both stay, and a section's name does not remove it."""
+    prose = [t.strip() for t in PROSE[:3]]
+    teaser = "<div><article><h2>Teaser</h2><p>See this too, now.</p></article></div>"
+    assert html_text.main_text(f"<body><div id=content><h1>T</h1>{_p(PROSE[:3])}</div>{teaser}").split("\n\n") == ["T", *prose]
+    assert html_text.main_text(f"<body><article id=a>{_p(PROSE[:3])}</article><article id=b>{_p(PROSE[:3])}</article>").split("\n\n") == prose + prose
+    for outside in ("", "<p>More</p>"):
+        page = f"<article><h1>New copyright law</h1><section id='copyright'>{PROSE[0]}</section><p>End.</p></article>{outside}"
+        assert html_text.main_text(page).split("\n\n") == ["New copyright law", prose[0], "End."]
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Labels and dates in elements around the paragraphs go by their ratios alone: no tag or word tells them."""
+    names = ["Home", "World", "Today"] * 4
+    facts = "".join(f"<div><div>{w}</div></div>" for w in names)
+    page = f"<body><div><section>{_p(PROSE[:4])}<div>{facts}</div></section></div>"
+    want = [t.strip() for t in PROSE[:4]]
+    assert html_text.main_text(page).split("\n\n") == want
+    monkeypatch.setattr(html_text, "path_ratios", lambda page, own: dict.fromkeys(page.path, 1.0))
+    assert html_text.main_text(page).split("\n\n") == want + names
+
+
+@pytest.mark.parametrize("page", ("<div>x" * 2000, "<div class=nav>A tale, told. " * 2000, "<table><tr><td>y" * 2000, "<ul><li>z" * 2000, "".join(f"<p id=a{k}>Text {k}, here." for k in range(8000)), "</p>" * 9000, "<p>" * 9000))
+def test_html_takes_linear_time(page):
+    html_text.main_text(page)
+    times = []
+    for many in (page, page * 4):
+        start = time.process_time()
+        html_text.main_text(many)
+        times.append(time.process_time() - start)
+    assert times[0] < 0.5 and times[1] < 12 * times[0] + 0.1
+
+
+def test_html_of_repeated_and_long_pages(spark):
+    long = "<article>" + _p(PROSE) * 300 + "</article>"
+    rows = [(1, "u", long, "x")] * 3 + [(None, None, long, "x"), (None, "u", "<div>" * 20_000 + "deep", "x")]
+    found = html_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(r["n_chars"] for r in found) == sorted([len(r["text"]) for r in found]) and sorted({r["text"][:9] for r in found}) == ["Paragraph", "deep"]
+    assert len({r["text"] for r in found if r["page_id"] == 1}) == 1
+
+
 LICENCES = [
     ("Released under the MIT License.", ["MIT"]),
     ("Text.\nThis work is licensed under the GNU General Public License, version 3.\nMore.", ["GPL-3.0-only"]),

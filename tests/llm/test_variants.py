@@ -80,9 +80,10 @@ def near_rows():
     return [(k, " ".join(w).upper() if k % 3 else "\n ".join(w)) for k, w in enumerate(rows)]
 
 
-@pytest.mark.parametrize("pairs_a_row, rounds", ((hm.PAIRS_A_ROW, hm.ROUNDS), (0, 2)))
-def test_hyperminhash_links(documents, monkeypatch, pairs_a_row, rounds):
-    monkeypatch.setattr(hm, "PAIRS_A_ROW", pairs_a_row)
+@pytest.mark.parametrize("few, rounds", ((hm.FEW, hm.ROUNDS), (1, 0), (1, 1)))
+def test_hyperminhash_links(documents, monkeypatch, few, rounds):
+    """Whether pairs are found by pivots, in small bands or by rare shingles."""
+    monkeypatch.setattr(hm, "FEW", few)
     monkeypatch.setattr(hm, "ROUNDS", rounds)
     rows = near_rows()
     want = brute_components(rows)
