@@ -165,6 +165,40 @@ def test_quality_keeps_good_rows(spark):
     assert shares[1] > 0.97 and shares.get(0, 0) < 0.5
 
 
+def test_quality_of_held_out_labels(spark):
+    """Learned from every second label, judged by the others; better than the base rule alone."""
+    sf = SF_DIR.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.fit_quality(docs, labels.where("crc32(cast(doc_id as string)) % 2 = 0"))
+    judged = quality.quality(docs, forest).join(labels.where("crc32(cast(doc_id as string)) % 2 = 1"), "doc_id")
+    shares = {r["quality"]: (r["kept"], r["base"]) for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.avg((~F.col("base_failed")).cast("int")).alias("base")).collect()}
+    assert shares[1][0] > 0.94 and shares[0][0] < 0.15 < shares[0][1]
+
+
+def test_quality_is_learned_alike_from_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id", "quality")
+    forest = quality.fit_quality(docs, labels)
+    more = labels.unionByName(labels.where("quality = 0").selectExpr("doc_id", "1 AS quality")).unionByName(labels)
+    again = quality.fit_quality(docs.unionByName(docs).repartition(3), more.repartition(5))
+    assert forest.threshold == again.threshold and (forest.split == again.split).all()
+
+
+def plain_path(forest, tree, row):
+    node = 0
+    while forest.feature[tree, node] >= 0:
+        node = 2 * node + (2 if row[forest.feature[tree, node]] >= forest.split[tree, node] else 1)
+    return forest.path[tree, node]
+
+
+def test_forest_scores_are_path_lengths():
+    rows = np.random.default_rng(5).normal(size=(400, 3))
+    forest = quality.fit(rows, np.ones(400, bool))
+    some = rows[:20]
+    mean = np.array([np.mean([plain_path(forest, t, r) for t in range(len(forest.feature))]) for r in some])
+    assert np.allclose(forest.scores(some), 2.0 ** (-mean / quality.usual_path(forest.size)))
+
+
 def test_language_of_held_out_rows(spark):
     sf = SF_DIR.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
