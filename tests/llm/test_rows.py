@@ -338,10 +338,24 @@ LICENCES = [
     ("Text.\nThis work is licensed under the GNU General Public License, version 3.\nMore.", ["GPL-3.0-only"]),
     ("Licensed under CC BY-NC 4.0. And more.", ["CC-BY-NC-4.0"]),
     ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
-    ("// SPDX-License-Identifier: BSD-3-Clause", ["bsd-3-clause"]),
+    ("// SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
     ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation, either version 2.1 of the License, or\n(at your option) any later version.\n\nfoo", ["LGPL-2.1-or-later"]),
     ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list.\n2. Redistributions in binary form must reproduce the above copyright notice, this list.\n", ["BSD-2-Clause"]),
     ("A licence to kill under the sea.", []),
+    ("This is released under the MIT\nLicense and all rights reserved.", ["MIT", "Proprietary"]),
+    ("Licensed under the\nApache License, Version 2.0\nAll rights reserved", ["Apache-2.0", "Proprietary"]),
+    ("Licensed under MIT", ["MIT"]),
+    ("We do not use anything licensed under the MIT license.", []),
+    ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC-BY-4.0\ncode", ["MIT", "Apache-2.0", "CC-BY-4.0"]),
+    ("The program is made available under the terms of the Eclipse Public License v2.0.", ["EPL-2.0"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+    ("Licensed under the EUPL, version 1.2 only. Fonts are licensed under the SIL Open Font License, Version 1.1.", ["EUPL-1.2", "OFL-1.1"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not distributed, see the site.", ["MPL-2.0"]),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted.", ["GPL-3.0-only"]),
+    ("                                 Apache License\n                           Version 2.0, January 2004", ["Apache-2.0"]),
+    ("Released under the LGPL version 2.1 or later.", ["LGPL-2.1-or-later"]),
+    ("Provided 'as-is', and in no event will the authors be held liable for any damages.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following.", ["Zlib"]),
+    ("He was subject to the python in the zoo. It is available by the sea.", []),
     ("", []),
     (None, []),
 ]
@@ -359,3 +373,19 @@ def test_licenses(documents, empty):
     got = {r["doc_id"]: r["licenses"] for r in licenses.licenses(documents(list(enumerate(t for t, _ in LICENCES)))).collect()}
     assert got == {k: want for k, (_, want) in enumerate(LICENCES)}
     assert licenses.licenses(empty).count() == 0
+
+
+def test_licenses_of_odd_rows(documents, odd):
+    """Null ids pass, repeated rows are equal, and a licence at the end of a very long text is found."""
+    long = "some words here, and more. " * 60_000 + "Licensed under the MIT License."
+    rows = [(None, LICENCES[0][0]), (None, None), (1, long), (1, long), (2, "license " * 50_000)]
+    got = sorted((str(r["doc_id"]), r["licenses"]) for r in licenses.licenses(documents(rows)).collect())
+    assert got == sorted([("None", ["MIT"]), ("None", []), ("1", ["MIT"]), ("1", ["MIT"]), ("2", [])])
+    assert all(r["licenses"] == [] for r in licenses.licenses(odd).collect())
+
+
+@pytest.mark.parametrize("name, words", licenses.NAMES)
+def test_each_name_is_a_rule(name, words):
+    first = words.split("|")[0].replace("(?: software)?", "").replace("(?: libpng)?", "").replace("(?:perl )?", "").replace("(?= licen[sc]e)", "")
+    version = "" if name in ("MIT", "ISC") else "-2.0"
+    assert licenses.scan(f"It is distributed under the terms of the {first.title()} License, version 2.0.")[1] == [name + version]
