@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitgrain.llm.common import raw, texts
@@ -30,9 +30,13 @@ EMPTY = 0xFFFF
 UNSEARCHED = 5
 #: Standard errors by which an estimate may lie below the limit before it rules a pair out.
 ERRORS = 6.0
-#: Rounds compare the members of a band with one of them; they go on while more pairs than so many a row are left.
-PAIRS_A_ROW = 2
-ROUNDS = 4
+#: Rounds in which each class is compared with one other.
+ROUNDS = 1
+#: Classes of a band value whose pairs are compared directly.
+FEW = 32
+#: Low bits that go with a class, and in how many linked sets differ, at most: a tenth, and six standard errors.
+BITS = 128
+MOST_APART = round(BITS * 0.1 + ERRORS * (BITS * 0.1 * 0.9) ** 0.5)
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -83,6 +87,12 @@ def sketch(hashes: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
+def low_bits(registers: np.ndarray) -> np.ndarray:
+    """The last mantissa bit of each of the first ``BITS`` registers of a row, as 64-bit numbers; empty registers are 0."""
+    first = registers[:BITS]
+    return np.packbits(first & 1 & (first != EMPTY), bitorder="little").view(np.int64)
+
+
 def band_values(registers: np.ndarray) -> np.ndarray:
     """A number of each band of a row of registers that tells band and registers; -1 for an empty band."""
     parts = registers.reshape(len(registers), BANDS, ROWS)
@@ -113,7 +123,7 @@ def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, t1, t2, n, digest, sketch)`` of each row: the size of its set, a 128-bit digest of it and its registers."""
+    """``(doc_id, t1, t2, n, held, digest, sketch, bits)`` of each row: the size of its set, its bands that hold anything, a 128-bit digest of the set, the registers and a bit of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +132,13 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 rows = []
                 for text in raw(some.column(1)):
                     found = sets.of(text)
-                    rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), sketch(found).tobytes()))
-                n, digest, registers = zip(*rows)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "t1", "t2", "n", "digest", "sketch"])
+                    registers = sketch(found)
+                    held = int((registers.reshape(BANDS, ROWS) != EMPTY).any(axis=1).sum())
+                    rows.append((len(found), held, xxhash.xxh3_128_digest(found.tobytes()), registers.tobytes(), low_bits(registers)))
+                n, held, digest, registers, bits = zip(*rows)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(n, pa.int64()), pa.array(held, pa.int32()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n", "held", "digest", "sketch", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, digest binary, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, held int, digest binary, sketch binary, bits array<long>")
 
 
 def hash_sets(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -146,7 +158,7 @@ def hash_sets(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE) -> Da
 
 
 def searched_bands(classes: DataFrame) -> DataFrame:
-    """``(band, rep)``: the band values to search each class by, of those that another class has too.
+    """``(band, rep, n, weight, bits)``: the band values to search each class by, of those that another class has too.
 
     The most frequent of a class's values are left out, by one order for all
     classes: the rarest value that two of them share is still searched in both
@@ -159,14 +171,14 @@ def searched_bands(classes: DataFrame) -> DataFrame:
                 some = batch.slice(lo, 1000)
                 values = band_values(np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint16).reshape(some.num_rows, -1))
                 held = values >= 0
-                sizes = held.sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(values[held]), pa.array(np.repeat(np.asarray(some.column(0)), sizes)), pa.array(np.repeat(sizes.astype(np.int32), sizes))], ["band", "rep", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[held]), some.column(0).take(pa.array(np.repeat(np.arange(len(held)), held.sum(axis=1))))], ["band", "rep"])
 
-    bands = classes.select("rep", "sketch").mapInArrow(run, "band long, rep long, held int")
-    counts = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = bands.join(counts, "band").groupBy("rep", "held").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("found"))
+    bands = classes.select("rep", "sketch").mapInArrow(run, "band long, rep long")
+    counts = bands.groupBy("band").agg(F.count("*").alias("others")).where("others > 1")
+    shared = bands.join(counts, "band").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("others", "band"))).alias("found"), F.sum("others").alias("weight"))
     kept = F.size("found") - F.floor(F.col("held") / UNSEARCHED).cast("int")
-    return shared.where(kept > 0).select("rep", F.explode(F.slice("found", F.lit(1), kept)).alias("f")).select("f.band", "rep")
+    sized = shared.join(classes.select("rep", "n", "held", "bits"), "rep").where(kept > 0)
+    return sized.select("rep", "n", "weight", "bits", F.explode(F.slice("found", F.lit(1), kept)).alias("f")).select("f.band", "rep", "n", "weight", "bits")
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,40 +202,92 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
     return written(both.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b"), "links")
 
 
+def _alike(n: str, m: str) -> Column:
+    """Whether sets of these sizes can link."""
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with the root of their ``rep``, itself without a link."""
+    if roots is None:
+        return rows.withColumn("root", F.col("rep"))
+    return rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _by_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: of each class that is not linked to all it shares a band value with, and the pivot that most of these values hold up to it.
+
+    A value's pivot is its class of most weight at first, later any.
+    """
+    place = F.struct((-F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("p"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"))
+    parts = rows.groupBy("band", "root").agg(F.min(place).alias("first"))
+    open_bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.min("first").alias("first")).where("parts > 1").select("band", "first.pivot", "first.pivot_root", "first.pivot_n")
+    met = rows.select("band", "rep", "n", "root").join(open_bands, "band").where((F.col("root") != F.col("pivot_root")) & _alike("n", "pivot_n"))
+    counted = met.groupBy("rep", "pivot").agg(F.count("*").alias("times"))
+    best = counted.groupBy("rep").agg(F.max(F.struct("times", "pivot"))["pivot"].alias("pivot"))
+    return best.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def _in_small_bands(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """``(a, b)``: the pairs not yet linked of each of these bands whose low bits agree as often as those of linked sets do."""
+    own = rows.join(small.select("band"), "band").select("band", "rep", "n", "root", "bits")
+    unlinked = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n")
+    apart = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITS // 64))
+    met = own.alias("x").join(own.alias("y"), (F.col("x.band") == F.col("y.band")) & unlinked & (apart <= MOST_APART))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)``: of these ``(rep, root, n)`` all pairs not yet linked that may link, exactly.
+
+    A class's shingles are ordered by how many of the classes have them. Two
+    that link share one of the first fifth and one more of each, and what
+    follows the first one shared is long enough in both. Many texts around one
+    passage do not meet in it unless it is nearly all of them.
+    """
+    held = members.join(sets, "rep")
+    often = held.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("often"))
+    shown = held.select("rep", F.explode("hashes").alias("h")).join(often.where("often > 1"), "h")
+    order = shown.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("order"))
+    alone = F.col("n") - F.size("order")  # shingles of this class only stand first
+    first = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
+    heads = members.join(order, "rep").where(first > alone)
+    heads = heads.select("rep", "root", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), (first - alone).cast("int"))).alias("k", "o"))
+    heads = heads.select("rep", "root", "n", F.col("o.h").alias("h"), (F.col("n") - F.col("alone") - F.col("k")).alias("rest"))
+    meeting = heads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    heads = written(heads.join(meeting, "h"), "rare-shingles")
+    unlinked = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n")
+    enough = (100 + PERCENT) * F.least("x.rest", "y.rest") >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    return heads.alias("x").join(heads.alias("y"), (F.col("x.h") == F.col("y.h")) & unlinked & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
 def linked_roots(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(node, root)`` of the classes with a link.
 
-    In each round the members of a band value are compared with one of them,
-    and what is linked by then is not compared again: a group of near copies
-    costs its size, not its square. When the pairs of members not yet linked
-    are few, they are compared themselves.
+    First each class is compared with one other a round, so that groups of near
+    copies, whatever their size, cost a row a member. Then the pairs not yet
+    linked of band values with few classes are compared; the classes of others
+    meet by their rare shingles.
     """
     bands = written(searched_bands(classes), "bands")
     some = written(classes.join(bands.select("rep").distinct(), "rep", "left_semi"), "candidates")
     sets = written(hash_sets(docs, some, shingle), "candidate-sets")
-    links = roots = None
-    for turn in range(ROUNDS):
-        rows = bands.withColumn("root", F.col("rep"))
-        if roots is not None:
-            rows = bands.join(roots, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-        first = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root")))
-        parts = rows.groupBy("band", "root").agg(F.count("*").cast("double").alias("c"), first.alias("first"))
-        open_bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.min("first").alias("first")).where("parts > 1")
-        open_bands = written(open_bands.select("band", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("pairs"), "first.pivot", "first.pivot_root"), "open-bands")
-        left, members = open_bands.agg(F.sum("pairs"), F.sum("m")).first()
-        if not left:
-            break
-        last = left <= PAIRS_A_ROW * members or turn == ROUNDS - 1
-        if last:
-            rows = rows.join(open_bands.select("band"), "band", "left_semi")
-            found = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        else:
-            found = rows.join(open_bands.select("band", "pivot", "pivot_root"), "band").where(F.col("root") != F.col("pivot_root")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        new = verified(found.distinct(), some, sets)
+    links, roots = None, None
+
+    def learn(pairs: DataFrame) -> None:
+        nonlocal links, roots
+        new = verified(pairs, some, sets)
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-        if last:
-            break
+
+    for turn in range(ROUNDS):
+        learn(_by_pivots(written(_rooted(bands, roots), "rooted-bands"), turn))
+    rows = written(_rooted(bands, roots), "rooted-bands")
+    open_bands = rows.groupBy("band").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_bands = written(open_bands.select("band", "members"), "open-bands")
+    few = _in_small_bands(rows, open_bands.where(F.col("members") <= FEW))
+    members = written(rows.join(open_bands.where(F.col("members") > FEW).select("band"), "band").select("rep", "root", "n").distinct(), "members")
+    learn(few.unionByName(_by_rare_shingles(members, sets)).distinct())
     return roots
 
 
@@ -240,16 +304,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = _texts(documents, id_col, text_col)
     rows = written(sketched(docs, shingle), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("first")
-    classes = rows.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "first.doc_id", "first.t1", "first.t2", "n", "sketch"), "classes")
+    classes = rows.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("held").alias("held"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "first.doc_id", "first.t1", "first.t2", "n", "held", "sketch", "bits"), "classes")
     roots = linked_roots(classes.drop("digest"), docs, shingle)
-    named = classes.select("rep", "digest", "doc_id")
-    if roots is not None:
-        linked = named.join(roots, F.col("rep") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "rep").alias("root"))
-        least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = linked.join(least, "root").select("digest", "component_id")
-    else:
-        named = named.select("digest", F.col("doc_id").alias("component_id"))
+    linked = _rooted(classes.select("rep", "digest", "doc_id"), roots)
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = linked.join(least, "root").select("digest", "component_id")
     named = written(named, "class-components")
     whole = rows.where("n > 0").join(named, "digest").select("doc_id", "n", "component_id")
     alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))

@@ -80,7 +80,7 @@ def near_rows():
     return [(k, " ".join(w).upper() if k % 3 else "\n ".join(w)) for k, w in enumerate(rows)]
 
 
-@pytest.mark.parametrize("few, rounds", ((hm.FEW, hm.ROUNDS), (1, 0), (1, 1)))
+@pytest.mark.parametrize("few, rounds", ((hm.FEW, hm.ROUNDS), (1, 0), (1, 2)))
 def test_hyperminhash_links(documents, monkeypatch, few, rounds):
     """Whether pairs are found by pivots, in small bands or by rare shingles."""
     monkeypatch.setattr(hm, "FEW", few)
