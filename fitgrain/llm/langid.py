@@ -30,6 +30,8 @@ MIXED_UP = 2
 REJECTED_SHARE = 0.001
 #: The class of mixed-up rows, and what rejected texts are called.
 UNKNOWN = "und"
+#: What rounding may take from the odds.
+ROUNDING = 1e-3
 _PIECE = 1 << 20
 _SIGNS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -163,7 +165,8 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     threshold = float(sure[int(len(sure) * REJECTED_SHARE)]) if len(sure) else -np.inf
     if len(sure) and len(mixed):
         threshold = min(threshold, (threshold + float(mixed[int(len(mixed) * (1 - REJECTED_SHARE))])) / 2)
-    return Model(languages, table, bias, float(temperature), threshold)
+    # A text is summed in another order than its calibration row.
+    return Model(languages, table, bias, float(temperature), threshold - ROUNDING)
 
 
 def held_out(doc_id: Column) -> Column:
