@@ -10,7 +10,7 @@ from fitgrain.catalog.registry import query, rounded, table, with_apps
 from fitgrain.operators import retrieve as rt
 from fitgrain.operators.cells import fit_cells
 from fitgrain.plans.scoring import with_decision, with_rule_score
-from fitgrain.session import spread, written
+from fitgrain.session import scratch_path, spread, written
 from fitgrain.sources.applications import applications
 
 # The characters Python's str.split() separates on, for DuckDB's expressions.
@@ -53,6 +53,17 @@ def r3(spark, sf_dir):
     return store.select("chunk_id", F.size("embedding").alias("width"), F.round(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"), 4).alias("norm"))
 
 
+@query("r3_word_vectors", f"SELECT doc_id || '_' || chunk_index AS chunk_id, CAST({rt.WORD_DIMENSIONS} AS INT) AS width, true AS unit_or_zero FROM ({CHUNKS_SQL})")
+def r3_words(spark, sf_dir):
+    """Chunks by learned word vectors, with an encoder that was saved and loaded."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    chunks = written(rt.with_chunk_id(rt.chunked(docs, "doc_id", "text"), F.col("doc_id")), "chunks")
+    path = scratch_path(spark, "encoder")
+    rt.fit_word_vectors(chunks, "chunk").save(path)
+    norm = F.round(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"), 4)
+    return rt.TextEncoder.load(path).encode(chunks, "chunk").select("chunk_id", F.size("embedding").alias("width"), norm.isin(0.0, 1.0).alias("unit_or_zero"))
+
+
 DECIDED = (
     "decided",
     "SELECT ID, CASE WHEN applicant_income > loan_amount * 0.2E0 THEN 'approved' ELSE 'denied' END AS decision, loan_type, "
