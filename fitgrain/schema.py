@@ -50,12 +50,24 @@ MEDIAN_FILLED = (
 RANDOM_FILLED = ("A", "B", "C")
 ENCODED = ("agency", "applicant_race_name_1", "census_tract_number", "county", "msamd", "D")
 
+# The text and whole-number columns of a record, in its order.
 _TEXT = (
-    "census_tract_number county msamd property_type owner_occupancy preapproval "
-    "applicant_ethnicity applicant_race_name_1 co_applicant_ethnicity co_applicant_race_name_1 "
-    "applicant_sex co_applicant_sex agency loan_purpose"
-).split()
-_INTS = "loan_type lien_status D".split()
+    "census_tract_number",
+    "county",
+    "msamd",
+    "property_type",
+    "owner_occupancy",
+    "preapproval",
+    "applicant_ethnicity",
+    "applicant_race_name_1",
+    "co_applicant_ethnicity",
+    "co_applicant_race_name_1",
+    "applicant_sex",
+    "co_applicant_sex",
+    "agency",
+    "loan_purpose",
+)
+_INTS = ("loan_type", "lien_status", "D")
 
 APPLICATION_SCHEMA = T.StructType(
     [T.StructField(ID, T.LongType()), T.StructField(TARGET, T.IntegerType())]
