@@ -143,6 +143,13 @@ def r6_cells(spark, sf_dir):
     return rounded(rt.top_k(store.withColumnRenamed("vec_id", "query_id"), store, 5, "cosine", store_id="vec_id", side_floats=64 * 100))
 
 
+@query("r6_dot_cells", nearest_sql(ALL_VECTORS, 5, "list_dot_product(q.v, e.v)"))
+def r6_dot_cells(spark, sf_dir):
+    """The same by inner product, over cells of the lifted store."""
+    store = table(spark, sf_dir, "embeddings")
+    return rounded(rt.top_k(store.withColumnRenamed("vec_id", "query_id"), store, 5, "dot", store_id="vec_id", side_floats=64 * 100))
+
+
 @query("r6_cells_compared", with_apps("SELECT count(*) AS n_queries, count(*) * count(*) AS all_pairs, true AS most_skipped FROM apps WHERE loan_amount IS NOT NULL AND applicant_income IS NOT NULL"))
 def r6_compared(spark, sf_dir):
     """Applications near in amount and income: of all pairs, the cells' bounds leave less than a fifth to compare."""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ MAX_CELLS = 4096
 CELLS_A_GROUP = 8
 #: What rounding may take from a bound.
 SLACK = 1e-5
+#: The same for lifted vectors, of the longest one's length: their last number is a rounded root.
+LIFTED_SLACK = 1e-3
 
 
 def unpacked(table, vec: str = "vec") -> np.ndarray:
@@ -66,15 +68,34 @@ def _best(at: np.ndarray, found: np.ndarray, values: np.ndarray, k: int) -> np.n
     return order[place < k]
 
 
+def squared_length(vec: str) -> Column:
+    return F.aggregate(vec, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+
+
+def lifted(store: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Both sides with one number more, by which nearest is what has the largest inner product, and the largest squared length.
+
+    All stored vectors get the length of the longest; queries get 0.
+    """
+    most = store.agg(F.max(squared_length("vec"))).first()[0]
+    rest = F.sqrt(F.greatest(F.lit(0.0), F.lit(most) - squared_length("vec"))).cast("float")
+    zero = F.lit(0.0).cast("float")
+    return store.withColumn("vec", F.concat("vec", F.array(rest))), queries.withColumn("vec", F.concat("vec", F.array(zero))), float(most)
+
+
 @dataclass
 class Cells:
-    """The part of an index that tasks need: per cell its centre, radius, size and group."""
+    """The part of an index that tasks need: per cell its centre, radius, size and group.
+
+    ``lift`` is the largest squared length of a lifted store, else 0.
+    """
 
     centres: np.ndarray
     radii: np.ndarray
     sizes: np.ndarray
     groups: np.ndarray
     metric: str
+    lift: float = 0.0
 
     def needed(self, batch: pa.RecordBatch, bounds: np.ndarray | None) -> np.ndarray:
         """Which cells each query of a batch needs: the first one to search, or all others that its bound does not rule out."""
@@ -84,7 +105,8 @@ class Cells:
         chosen[np.arange(len(first)), first] = True
         if bounds is None:
             return chosen
-        return (gaps - self.radii[None, :] <= bounds[:, None] * (1 + SLACK) + SLACK) & (self.sizes[None, :] > 0) & ~chosen
+        slack = SLACK + LIFTED_SLACK * np.sqrt(self.lift)
+        return (gaps - self.radii[None, :] <= bounds[:, None] * (1 + SLACK) + slack) & (self.sizes[None, :] > 0) & ~chosen
 
 
 @dataclass
@@ -164,9 +186,14 @@ class CellIndex:
     def bounded(self, queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
         """``(q, vec, bound)``: how far from each query its k-th best can be, by what it found first."""
         last = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        away = -F.col("least") if self.cells.metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least")))
+        if self.cells.metric == "l2":
+            away = -F.col("least")
+        elif self.cells.metric == "dot":  # the squared distance of a query to a lifted vector
+            away = F.sqrt(F.greatest(F.lit(0.0), squared_length("vec") + self.cells.lift - 2 * F.col("least")))
+        else:
+            away = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least")))
         far = F.when(F.col("n") >= k, away).otherwise(F.lit(float("inf")))
-        return written(queries.join(last.select("q", far.alias("bound")), "q").select("q", "vec", "bound"), "bounded-queries")
+        return written(queries.join(last, "q").select("q", "vec", far.alias("bound")), "bounded-queries")
 
     def compared(self, bounded: DataFrame) -> DataFrame:
         """``(q, compared)``: how many stored vectors each query meets, of all there are."""
@@ -181,8 +208,8 @@ class CellIndex:
         return bounded.mapInArrow(run, layout)
 
 
-def fit_cells(store: DataFrame, n_store: int, metric: str, group_rows: int, cells: int | None = None) -> CellIndex:
-    """Deal the ``(s, vec)`` of a store to the cells of centres drawn from it and moved once to their cells' means."""
+def fit_cells(store: DataFrame, n_store: int, metric: str, group_rows: int, cells: int | None = None, lift: float = 0.0) -> CellIndex:
+    """Deal the ``(s, vec)`` of a store, lifted for inner products, to the cells of centres drawn from it and moved once to their cells' means."""
     wanted = cells or min(MAX_CELLS, max(2, CELLS_A_GROUP * -(-n_store // group_rows)), max(2, group_rows))
     drawn = store.orderBy(F.xxhash64("s"), "s").limit(wanted).select("vec").toArrow()
     centres = unit(unpacked(drawn), metric)
@@ -215,4 +242,4 @@ def fit_cells(store: DataFrame, n_store: int, metric: str, group_rows: int, cell
     at = facts.column("cell").to_numpy()
     radii[at], sizes[at] = facts.column("radius").to_numpy(), facts.column("n").to_numpy()
     groups = np.concatenate([[0], (np.cumsum(sizes) // max(1, group_rows))[:-1]]).astype(np.int64)
-    return CellIndex(rows.drop("gap"), Cells(centres, radii, sizes, groups, metric), group_rows)
+    return CellIndex(rows.drop("gap"), Cells(centres, radii, sizes, groups, metric, lift), group_rows)
