@@ -24,8 +24,8 @@ EPOCHS = 4
 RATE = 4.0
 #: Every fourth learned row is kept for the temperature and the rejection threshold.
 CALIBRATION = 4
-#: Every second learned row also teaches what is no language: its letters in a random order.
-MIXED_UP = 2
+#: Every eighth learned row also teaches what is no language: its letters in a random order.
+MIXED_UP = 8
 #: Share of rightly named calibration rows that may be rejected.
 REJECTED_SHARE = 0.001
 #: The class of mixed-up rows, and what rejected texts are called.
