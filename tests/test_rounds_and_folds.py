@@ -45,6 +45,43 @@ def test_few_rows_and_few_iterations(spark):
     assert stopping.StoppedNetwork([2, 3, 2], 5, 1).fit(no_id).transform(no_id).count() == 300
 
 
+def test_network_multiplies_packed_blocks(spark, monkeypatch):
+    """Rows are packed once; Spark's own network only carries weights and never sees them."""
+    seen, fit = [], stopping.MultilayerPerceptronClassifier._fit
+    monkeypatch.setattr(stopping.MultilayerPerceptronClassifier, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    rows = written(rings(spark, 3000, noise=0.1), "rings")
+    model = stopping.StoppedNetwork([2, 8, 2], 1000, 42).fit(rows)
+    assert max(seen) == 1
+    train, held = stopping.both_parts(stopping.packed(stopping.held_marked(rows, "features", "y", "ID"), "features", "y"))
+    assert train.count() + held.count() < 60
+    loss = held.sparkSession.createDataFrame(model.curve, "n long, loss double, best boolean").agg(F.min("loss")).first()[0]
+    assert np.isclose(stopping.summed_loss(held, [2, 8, 2], model.weights.toArray(), slope=False)[0], loss)
+    # The blocks' loss is what Spark's model gives on the rows themselves.
+    scored = model.transform(rows).select(F.col("probability").cast("string"), "y", stopping.vector_to_array("probability")[1].alias("p"))
+    plain = scored.agg(-F.avg(F.when(F.col("y") == 1, F.log("p")).otherwise(F.log(1 - F.col("p"))))).first()[0]
+    both = stopping.summed_loss(train.unionByName(held), [2, 8, 2], model.weights.toArray(), slope=False)[0]
+    assert np.isclose(both, plain, rtol=1e-4)
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    draw = np.random.default_rng(3)
+    layers = [3, 5, 4, 2]
+    weights = draw.normal(size=sum((a + 1) * b for a, b in zip(layers, layers[1:])))
+    x, y = draw.normal(size=(40, 3)), draw.integers(0, 2, 40)
+    _, gradient = stopping.network_loss(weights, layers, x, y)
+    for k in range(0, len(weights), 7):
+        step = np.zeros(len(weights))
+        step[k] = 1e-5
+        up, down = (stopping.network_loss(weights + s, layers, x, y)[0] for s in (step, -step))
+        assert np.isclose((up - down) / 2e-5, gradient[k], rtol=1e-4, atol=1e-6)
+
+
+def test_labels_of_the_network_are_checked(spark):
+    rows = rings(spark, 50).withColumn("y", F.when(F.col("ID") != 7, F.col("y")))
+    with pytest.raises(Exception, match="labels 0 or 1"):
+        stopping.StoppedNetwork([2, 3, 2], 5, 1).fit(rows)
+
+
 def test_penalty_spares_biases():
     weights = np.arange(1.0, 3 * 4 + 5 * 2 + 1)
     small = stopping.shrunk(weights, [2, 4, 2], 0.5)
