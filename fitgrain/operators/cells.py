@@ -29,6 +29,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_CELLS = 4096
 #: Cells to a group of the size that one task holds.
 CELLS_A_GROUP = 8
+#: Numbers of the vectors that one task holds of either side, at most and, of large stores, at least: pairs of smaller groups move each row too often.
+GROUP_FLOATS = 4_000_000
+#: Groups, at least, that a store of many cells is dealt to.
+LEAST_GROUPS = 8
 #: What rounding may take from a bound.
 SLACK = 1e-5
 #: The same for lifted vectors, of the longest one's length: their last number is a rounded root.
@@ -208,6 +212,16 @@ class CellIndex:
         return bounded.mapInArrow(run, layout)
 
 
+def group_size(group_rows: int, n_store: int, width: int) -> int:
+    """Rows of either side that meet in one task.
+
+    Each row is moved once for every group of the other side, so what is
+    shuffled falls with the size; what a task holds stays bounded.
+    """
+    most = max(1, GROUP_FLOATS // max(1, width))
+    return min(most, max(1, group_rows, n_store // LEAST_GROUPS))
+
+
 def fit_cells(store: DataFrame, n_store: int, metric: str, group_rows: int, cells: int | None = None, lift: float = 0.0) -> CellIndex:
     """Deal the ``(s, vec)`` of a store, lifted for inner products, to the cells of centres drawn from it and moved once to their cells' means."""
     wanted = cells or min(MAX_CELLS, max(2, CELLS_A_GROUP * -(-n_store // group_rows)), max(2, group_rows))
@@ -241,5 +255,6 @@ def fit_cells(store: DataFrame, n_store: int, metric: str, group_rows: int, cell
     radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
     at = facts.column("cell").to_numpy()
     radii[at], sizes[at] = facts.column("radius").to_numpy(), facts.column("n").to_numpy()
-    groups = np.concatenate([[0], (np.cumsum(sizes) // max(1, group_rows))[:-1]]).astype(np.int64)
-    return CellIndex(rows.drop("gap"), Cells(centres, radii, sizes, groups, metric, lift), group_rows)
+    held = group_size(group_rows, n_store, centres.shape[1])
+    groups = np.concatenate([[0], (np.cumsum(sizes) // held)[:-1]]).astype(np.int64)
+    return CellIndex(rows.drop("gap"), Cells(centres, radii, sizes, groups, metric, lift), held)
