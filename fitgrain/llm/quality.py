@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitgrain.functions.quantiles import order_statistics
 from fitgrain.llm.common import raw, shipped, texts
 from fitgrain.session import written
 
@@ -18,8 +19,10 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Percent of a text's words that repeated windows may cover.
 REPEATED = 30
-#: Labelled rows that are drawn to fit the forest and its threshold, at most.
+#: Labelled rows that are fitted on the driver, at most; more are fitted where they lie, none is left out.
 LABELLED_ROWS = 6000
+#: Ids of labels that are sent to the documents; of more, both sides are shuffled.
+SENT_IDS = 1_000_000
 TREES = 100
 SUBSAMPLE = 256
 #: Share of good labelled rows that the threshold keeps.
@@ -163,22 +166,57 @@ def rule_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Forest | None:
-    """Fit on at most ``rows`` labelled documents, drawn by a hash of their ids; None if too few are good.
+    """Fit on all labelled documents; None if too few are good.
 
-    Of several labels of an id the lowest holds; of several rows of an id one
+    Up to ``rows`` of them are fitted on the driver, more where they lie. Of
+    several labels of an id the lowest holds; of several rows of an id one
     is taken, the least by its statistics. So neither repeated ids nor
     conflicting labels change what is learned or how much.
     """
     shipped(documents.sparkSession)
     named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    drawn = written(named.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(rows), "quality-labels")
-    own = documents.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi")
-    one = rule_statistics(own).groupBy("doc_id").agg(F.min(F.struct(*BASE, "rules")).alias("s")).join(F.broadcast(drawn), "doc_id")
-    found = sorted(one.select("doc_id", "s.*", "quality").collect(), key=lambda r: r["doc_id"])
-    passed = [r for r in found if not base_failed([r[n] for n in BASE])]
-    if not passed:
+    held = written(named, "quality-labels")
+    sent = (lambda df: F.broadcast(df)) if held.count() <= SENT_IDS else (lambda df: df)
+    own = documents.select("doc_id", "text").join(sent(held.select("doc_id")), "doc_id", "left_semi")
+    one = rule_statistics(own).groupBy("doc_id").agg(F.min(F.struct(*BASE, "rules")).alias("s")).join(sent(held), "doc_id")
+    failed = (F.col("s.n_words") < MIN_WORDS) | (100 * F.col("s.n_repeat_words") > REPEATED * F.col("s.n_words"))
+    passed = written(one.where(~failed).select("doc_id", "s.rules", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good")), "quality-rows")
+    n = passed.count()
+    if not n:
         return None
-    return fit(np.array([r["rules"] for r in passed], float), np.array([r["quality"] == 1 for r in passed]))
+    if n > rows:
+        return _fit_spread(passed)
+    found = sorted(passed.collect(), key=lambda r: r["doc_id"])
+    return fit(np.array([r["rules"] for r in found], float), np.array([r["good"] for r in found]))
+
+
+def _fit_spread(passed: DataFrame) -> Forest | None:
+    """The forest of ``(doc_id, rules, good)`` of any size: its threshold is the exact place among all good rows of one half.
+
+    The trees take ``TREES * SUBSAMPLE`` rows between them, so no more than
+    that many, by a hash of the ids of the other half, come to the driver.
+    """
+    mixed = F.xxhash64(F.lit("quality"), "doc_id")
+    half = passed.withColumn("place", mixed).withColumn("second", F.pmod(mixed, F.lit(2)) == 1)
+    n_good = half.where("good").count()
+    if n_good < 2:
+        return None
+    good = TREES * SUBSAMPLE
+    first = lambda df, most: df.where("not second").orderBy("place", "doc_id").limit(most).select("rules").collect()
+    usual = first(half.where("good"), good)
+    odd = first(half.where("not good"), min(good, n_good // 2) // GOOD_TO_BAD)
+    forest = grow(np.array([r["rules"] for r in [*usual, *odd]], float))
+    sent = passed.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.scores(np.array(batch.column(0).to_pylist(), float)))], ["score"])
+
+    scores = written(half.where("good and second").select("rules").mapInArrow(run, "score double"), "quality-scores")
+    n = scores.count()
+    rank = min(int(np.ceil(n * KEPT_SHARE)), n - 1)
+    return replace(forest, threshold=order_statistics(scores, {"score": F.col("score")}, {"score": [rank]}, {"score": n})["score"][rank])
 
 
 def quality(documents: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

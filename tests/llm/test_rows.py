@@ -184,6 +184,18 @@ def test_quality_is_learned_alike_from_repeated_rows(spark):
     assert forest.threshold == again.threshold and (forest.split == again.split).all()
 
 
+def test_quality_threshold_counts_every_labelled_row(spark):
+    """However few rows the driver may hold, the threshold is a place among all good rows of a half."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 97:03d}{'#' * (j % 11 == i % 11)}" for j in range(30 + i % 17))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 != 0)) for i in range(900)], "doc_id long, quality int")
+    forest = quality.fit_quality(docs, labels, rows=20)
+    second = docs.join(labels.where("quality = 1 AND pmod(xxhash64('quality', doc_id), 2) = 1"), "doc_id")
+    scores = sorted(r["anomaly"] for r in quality.quality(second, forest).collect())
+    assert len(scores) > 400 and forest.threshold == scores[min(int(np.ceil(len(scores) * quality.KEPT_SHARE)), len(scores) - 1)]
+    assert forest.size == quality.SUBSAMPLE
+
+
 def plain_path(forest, tree, row):
     node = 0
     while forest.feature[tree, node] >= 0:
