@@ -168,3 +168,15 @@ def test_scored_rows_keep_their_columns_and_repeated_ids(apps, run):
     assert scored.columns == rows.columns and scored.schema["probability"].dataType.simpleString() == "double"
     came = rows.drop("probability")
     assert scored.drop("probability").exceptAll(came).count() == came.exceptAll(scored.drop("probability")).count() == 0
+
+
+def test_document_files_are_written_by_all_cores(spark, tmp_path):
+    """One scan partition of many documents is written by several tasks; rows of one id still share a file."""
+    from fitgrain.catalog import QUERIES
+
+    rows = [(i, f"text {i}") for i in range(1, 60)] + [(7, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["s3_document_files"](spark, str(tmp_path))
+    assert found.count() == 59 and {r["n_chars"] for r in found.where("name = '7.txt'").collect()} == {len("text 7\nagain\n")}
+    tasks = {str(p).split("part-")[1][:5] for f in found.inputFiles() for p in [f]}
+    assert len(tasks) > 1
