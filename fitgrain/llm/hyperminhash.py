@@ -37,6 +37,8 @@ FEW = 32
 #: Low bits that go with a class, and in how many linked sets differ, at most: a tenth, and six standard errors.
 BITS = 128
 MOST_APART = round(BITS * 0.1 + ERRORS * (BITS * 0.1 * 0.9) ** 0.5)
+#: Bits by which the bound of small sets, whose counts have longer tails, lies higher.
+TAIL = 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -207,6 +209,21 @@ def _alike(n: str, m: str) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _bits_alike(x: str, y: str, n: str, m: str) -> Column:
+    """Whether the low bits of sets of these sizes agree as those of linked sets do.
+
+    Linked sets differ in a ninth of both sizes' sum at most, and a shingle that
+    only one of them has changes one register; sets of few shingles fill few
+    registers, and a fifth of what the larger of two linked sets fill differ.
+    """
+    total = F.col(n) + F.col(m)
+    filled = 1 - F.exp(-total * (100.0 / (100 + PERCENT) / (BANDS * ROWS)))
+    mean = BITS * (100 - PERCENT) / 200 * filled
+    most = F.least(F.lit(float(MOST_APART)), total * ((100 - PERCENT) / (100 + PERCENT)), mean + ERRORS * F.sqrt(mean) + TAIL)
+    apart = sum(F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(BITS // 64))
+    return apart <= most + 1e-6
+
+
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``rows`` with the root of their ``rep``, itself without a link."""
     if roots is None:
@@ -215,14 +232,15 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _by_pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: of each class that is not linked to all it shares a band value with, and the pivot that most of these values hold up to it.
+    """``(a, b)``: of each class that is not linked to all it shares a band value with, and the possible pivot that most of these values hold up to it.
 
     A value's pivot is its class of most weight at first, later any.
     """
-    place = F.struct((-F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("p"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"))
+    place = F.struct((-F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("p"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
     parts = rows.groupBy("band", "root").agg(F.min(place).alias("first"))
-    open_bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.min("first").alias("first")).where("parts > 1").select("band", "first.pivot", "first.pivot_root", "first.pivot_n")
-    met = rows.select("band", "rep", "n", "root").join(open_bands, "band").where((F.col("root") != F.col("pivot_root")) & _alike("n", "pivot_n"))
+    open_bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.min("first").alias("first")).where("parts > 1").select("band", "first.pivot", "first.pivot_root", "first.pivot_n", "first.pivot_bits")
+    possible = (F.col("root") != F.col("pivot_root")) & _alike("n", "pivot_n") & _bits_alike("bits", "pivot_bits", "n", "pivot_n")
+    met = rows.select("band", "rep", "n", "root", "bits").join(open_bands, "band").where(possible)
     counted = met.groupBy("rep", "pivot").agg(F.count("*").alias("times"))
     best = counted.groupBy("rep").agg(F.max(F.struct("times", "pivot"))["pivot"].alias("pivot"))
     return best.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
@@ -232,8 +250,8 @@ def _in_small_bands(rows: DataFrame, small: DataFrame) -> DataFrame:
     """``(a, b)``: the pairs not yet linked of each of these bands whose low bits agree as often as those of linked sets do."""
     own = rows.join(small.select("band"), "band").select("band", "rep", "n", "root", "bits")
     unlinked = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n")
-    apart = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITS // 64))
-    met = own.alias("x").join(own.alias("y"), (F.col("x.band") == F.col("y.band")) & unlinked & (apart <= MOST_APART))
+    possible = _bits_alike("x.bits", "y.bits", "x.n", "y.n")
+    met = own.alias("x").join(own.alias("y"), (F.col("x.band") == F.col("y.band")) & unlinked & possible)
     return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
@@ -281,8 +299,8 @@ def linked_roots(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE) ->
         roots = components(links)
 
     for turn in range(ROUNDS):
-        learn(_by_pivots(written(_rooted(bands, roots), "rooted-bands"), turn))
-    rows = written(_rooted(bands, roots), "rooted-bands")
+        learn(_by_pivots(written(_rooted(bands, roots), "rooted-bands") if roots is not None else _rooted(bands, None), turn))
+    rows = written(_rooted(bands.drop("weight"), roots), "rooted-bands")
     open_bands = rows.groupBy("band").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     open_bands = written(open_bands.select("band", "members"), "open-bands")
     few = _in_small_bands(rows, open_bands.where(F.col("members") <= FEW))
