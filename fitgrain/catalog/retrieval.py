@@ -223,10 +223,12 @@ def _prompt(name: str, compat: bool) -> None:
         ranks = written(docs.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "docs")
         numbered = _numbered(ranks, "doc_id")
         n = docs.count()
-        rows = decided(spark, sf_dir).withColumn("rank", F.col("ID") % n).join(numbered.select("rank", "text"), "rank")
+        # Once a document: each is the context of many applications.
+        contexts = numbered.select("rank", rt.context_text(F.array("text", "text"), compat).alias("context"))
+        rows = decided(spark, sf_dir).withColumn("rank", F.col("ID") % n).join(contexts, "rank")
         prompt = rt.prompt_text(
             F.col("decision"),
-            F.array("text", "text"),
+            F.col("context"),
             F.col("loan_type"),
             F.col("applicant_income"),
             F.col("loan_amount"),
