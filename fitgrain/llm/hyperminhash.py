@@ -35,7 +35,7 @@ ROUNDS = 1
 #: Classes of a band value whose pairs are compared directly.
 FEW = 32
 #: Low bits that go with a class, and in how many linked sets differ, at most: a tenth, and six standard errors.
-BITS = 128
+BITS = 256
 MOST_APART = round(BITS * 0.1 + ERRORS * (BITS * 0.1 * 0.9) ** 0.5)
 #: Bits by which the bound of small sets, whose counts have longer tails, lies higher.
 TAIL = 4
@@ -256,7 +256,7 @@ def _in_small_bands(rows: DataFrame, small: DataFrame) -> DataFrame:
 
 
 def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b)``: of these ``(rep, root, n)`` all pairs not yet linked that may link, exactly.
+    """``(a, b)``: of these ``(rep, root, n, bits)`` all pairs not yet linked that may link, by their shingles exactly and by their low bits.
 
     A class's shingles are ordered by how many of the classes have them. Two
     that link share one of the first fifth and one more of each, and what
@@ -270,13 +270,29 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
     alone = F.col("n") - F.size("order")  # shingles of this class only stand first
     first = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100) + 1
     heads = members.join(order, "rep").where(first > alone)
-    heads = heads.select("rep", "root", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), (first - alone).cast("int"))).alias("k", "o"))
-    heads = heads.select("rep", "root", "n", F.col("o.h").alias("h"), (F.col("n") - F.col("alone") - F.col("k")).alias("rest"))
+    heads = heads.select("rep", "root", "n", "bits", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), (first - alone).cast("int"))).alias("k", "o"))
+    heads = heads.select("rep", "root", "n", "bits", F.col("o.h").alias("h"), (F.col("n") - F.col("alone") - F.col("k")).alias("rest"))
     meeting = heads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     heads = written(heads.join(meeting, "h"), "rare-shingles")
     unlinked = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n")
     enough = (100 + PERCENT) * F.least("x.rest", "y.rest") >= PERCENT * (F.col("x.n") + F.col("y.n"))
-    return heads.alias("x").join(heads.alias("y"), (F.col("x.h") == F.col("y.h")) & unlinked & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    possible = enough & _bits_alike("x.bits", "y.bits", "x.n", "y.n")
+    return heads.alias("x").join(heads.alias("y"), (F.col("x.h") == F.col("y.h")) & unlinked & possible).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """``(a, b)``: of each class the pair that met most often."""
+    ends = pairs.select("*", F.explode(F.array("a", "b")).alias("rep"))
+    best = ends.groupBy("rep").agg(F.max(F.struct("times", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
+def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes have different roots."""
+    for name in ("a", "b"):
+        own = roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        pairs = pairs.join(own, name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
+    return pairs.where("root_a <> root_b").drop("root_a", "root_b")
 
 
 def linked_roots(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -284,19 +300,22 @@ def linked_roots(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE) ->
 
     First each class is compared with one other a round, so that groups of near
     copies, whatever their size, cost a row a member. Then the pairs not yet
-    linked of band values with few classes are compared; the classes of others
-    meet by their rare shingles.
+    linked of band values with few classes are found; the classes of others
+    meet by their rare shingles. Of these pairs each class tries the likeliest
+    first, again while half of what is tried links: a group in several parts is
+    joined without comparing all members of its parts. The rest are all compared.
     """
     bands = written(searched_bands(classes), "bands")
     some = written(classes.join(bands.select("rep").distinct(), "rep", "left_semi"), "candidates")
     sets = written(hash_sets(docs, some, shingle), "candidate-sets")
     links, roots = None, None
 
-    def learn(pairs: DataFrame) -> None:
+    def learn(pairs: DataFrame) -> DataFrame:
         nonlocal links, roots
         new = verified(pairs, some, sets)
         links = new if links is None else links.unionByName(new)
         roots = components(links)
+        return new
 
     for turn in range(ROUNDS):
         learn(_by_pivots(written(_rooted(bands, roots), "rooted-bands") if roots is not None else _rooted(bands, None), turn))
@@ -304,8 +323,16 @@ def linked_roots(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE) ->
     open_bands = rows.groupBy("band").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     open_bands = written(open_bands.select("band", "members"), "open-bands")
     few = _in_small_bands(rows, open_bands.where(F.col("members") <= FEW))
-    members = written(rows.join(open_bands.where(F.col("members") > FEW).select("band"), "band").select("rep", "root", "n").distinct(), "members")
-    learn(few.unionByName(_by_rare_shingles(members, sets)).distinct())
+    members = written(rows.join(open_bands.where(F.col("members") > FEW).select("band"), "band").select("rep", "root", "n", "bits").distinct(), "members")
+    met = few.unionByName(_by_rare_shingles(members, sets)).groupBy("a", "b").agg(F.count("*").alias("times"))
+    pairs = written(met, "open-pairs")
+    while not pairs.isEmpty():
+        likeliest = written(_likeliest(pairs), "likeliest-pairs")
+        found = learn(likeliest)
+        pairs = written(_unlinked(pairs.join(likeliest, ["a", "b"], "left_anti"), roots), "open-pairs")
+        if 2 * found.count() < likeliest.count():
+            learn(pairs.select("a", "b"))
+            break
     return roots
 
 

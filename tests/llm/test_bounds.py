@@ -25,3 +25,19 @@ def test_small_sets(spark):
     assert met == {(0, 1), (3, 4), (6, 7), (9, 10)}
     pivots = h._by_pivots(rows.where(F.col("rep") < 3), 0).collect()
     assert {(r["a"], r["b"]) for r in pivots} == {(0, 1)}
+
+
+def test_group_in_several_parts_compares_few_of_its_pairs(documents, monkeypatch):
+    """Texts that each resemble only those next to them are one group in many parts; most pairs need no comparison."""
+    words = [f"w{i}" for i in np.random.default_rng(5).permutation(700)]
+    rows = [(i, " ".join(words[i : i + 200])) for i in range(300)]
+    compared, verified = [], h.verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(h, "verified", counted)
+    found = h.near_duplicates(documents(rows)).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert sum(compared) < 10 * len(rows), compared
