@@ -147,7 +147,8 @@ def train_model(
     cleaning = fit_cleaning(train, compat=compat)
     clean = written(cleaning.transform(train, training=True), "clean")
     features = fit_features(clean, exclude_protected, target)
-    ready = features.transform(clean).select(schema.ID, target, *features.features)
+    # Mean fill, scaling and classifier each read it: the maps are applied once.
+    ready = written(features.transform(clean).select(schema.ID, target, *features.features), "features")
     fitted = fit_classifier(ready, features.features, classifier(len(features.features)), target)
     return TrainedModel(cleaning, features, fitted)
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from fitgrain.catalog import QUERIES
 from fitgrain.operators import keyed_maps as km
+from fitgrain.plans import training as tr
+from fitgrain.sources.applications import train_rows
 
 
 def test_large_map_is_not_broadcast(spark):
@@ -19,3 +21,10 @@ def test_large_map_is_not_broadcast(spark):
 def test_context_is_made_once_a_document(spark, sf_dir):
     plan = QUERIES["r8_prompt"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("split(")
+
+
+def test_maps_are_applied_once_before_the_fit(spark, apps, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tr, "fit_classifier", lambda train, *more: seen.append(train))
+    tr.train_model(train_rows(apps))
+    assert seen[0].inputFiles() and all("/features-" in f for f in seen[0].inputFiles())
