@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fitgrain.llm.common import raw, texts
 from fitgrain.llm.components import components
-from fitgrain.session import written
+from fitgrain.session import written, written_by
 
 SHINGLE = 4
 #: Documents link if 100 times the intersection is at least so many times the union.
@@ -74,16 +74,14 @@ class Shingles:
 
 
 def sketch(hashes: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
-    """One register a bucket: the leading zeros and the first mantissa bits of the bucket's least hash, or ``EMPTY``."""
+    """Of sorted hashes, one register a bucket: the leading zeros and the first mantissa bits of the bucket's least hash, or ``EMPTY``."""
     out = np.full(registers, EMPTY, np.uint16)
     if not len(hashes):
         return out
     bucket = (hashes >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)
     value = _mixed(hashes * _K1 + np.uint64(1)) >> np.uint64(64 - HASH_BITS)
-    order = np.lexsort((value, bucket))
-    bucket, value = bucket[order], value[order]
-    first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-    fraction, exponent = np.frexp(value[first].astype(np.float64))
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))  # buckets rise with the hashes
+    fraction, exponent = np.frexp(np.minimum.reduceat(value, first).astype(np.float64))
     mantissa = np.maximum((fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.uint16)
     out[bucket[first].astype(np.int64)] = (HASH_BITS - exponent).astype(np.uint16) << np.uint16(MANTISSA) | mantissa
     return out
@@ -144,7 +142,7 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def hash_sets(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(rep, hashes)`` of the classes, from the text of each one's first document."""
+    """``(rep, hashes)`` of the classes, from the text of each one's first document; again for each repeated row of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +154,7 @@ def hash_sets(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE) -> Da
 
     keys = classes.select("rep", F.col("doc_id").alias("of"), "t1", "t2")
     read = docs.join(keys, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("of"))).select("rep", "text")
-    return read.mapInArrow(run, "rep long, hashes array<long>").dropDuplicates(["rep"])
+    return read.mapInArrow(run, "rep long, hashes array<long>")
 
 
 def searched_bands(classes: DataFrame) -> DataFrame:
@@ -237,8 +235,7 @@ def _by_pivots(rows: DataFrame, turn: int) -> DataFrame:
     A value's pivot is its class of most weight at first, later any.
     """
     place = F.struct((-F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))).alias("p"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits"))
-    parts = rows.groupBy("band", "root").agg(F.min(place).alias("first"))
-    open_bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.min("first").alias("first")).where("parts > 1").select("band", "first.pivot", "first.pivot_root", "first.pivot_n", "first.pivot_bits")
+    open_bands = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(place).alias("first")).where("low <> high").select("band", "first.pivot", "first.pivot_root", "first.pivot_n", "first.pivot_bits")
     possible = (F.col("root") != F.col("pivot_root")) & _alike("n", "pivot_n") & _bits_alike("bits", "pivot_bits", "n", "pivot_n")
     met = rows.select("band", "rep", "n", "root", "bits").join(open_bands, "band").where(possible)
     counted = met.groupBy("rep", "pivot").agg(F.count("*").alias("times"))
@@ -306,8 +303,8 @@ def linked_roots(classes: DataFrame, docs: DataFrame, shingle: int = SHINGLE) ->
     joined without comparing all members of its parts. The rest are all compared.
     """
     bands = written(searched_bands(classes), "bands")
-    some = written(classes.join(bands.select("rep").distinct(), "rep", "left_semi"), "candidates")
-    sets = written(hash_sets(docs, some, shingle), "candidate-sets")
+    some = written_by(classes, "candidates", "rep", lambda dealt: dealt.join(bands.select("rep").distinct(), "rep", "left_semi"))
+    sets = written_by(hash_sets(docs, some, shingle), "candidate-sets", "rep", lambda dealt: dealt.dropDuplicates(["rep"]))
     links, roots = None, None
 
     def learn(pairs: DataFrame) -> DataFrame:

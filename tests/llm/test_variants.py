@@ -12,6 +12,7 @@ import pytest
 from fitgrain.llm import hyperminhash as hm
 from fitgrain.llm import periods, spelling
 from fitgrain.llm.catalog import QUERIES
+from fitgrain.session import written
 
 UPPER = {k: k + 32 for k in range(65, 91)}
 SPACES = re.compile("[\x20\x09-\x0d]+")
@@ -97,6 +98,28 @@ def test_hyperminhash_odd_rows(documents, odd, empty):
     assert hm.near_duplicates(empty).count() == 0
 
 
+def test_hyperminhash_moves_compared_sets_once(spark, documents, monkeypatch):
+    """The sets and sketches that each round compares are dealt by class when they are written; a round moves only its pairs."""
+    plans = []
+
+    def kept_plan(df, label):
+        if label in ("likely-pairs", "links"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(hm, "written", kept_plan)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        draw = random.Random(3)
+        rows = [(k, " ".join(f"w{draw.randrange(30)}" for _ in range(60))) for k in range(20)]
+        rows += [(k + 20, f"{text} more") for k, text in rows] + rows[:3]
+        assert found_components(hm.near_duplicates(documents(rows))) == brute_components(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) >= 2
+    assert all(len(re.findall(r"Bucketed: true", plan)) == 2 for plan in plans)
+
+
 def test_registers_hold_zeros_and_mantissa():
     draw = np.random.default_rng(1)
     hashes = np.unique(draw.integers(0, (1 << 64) - 1, 5000, np.uint64))
