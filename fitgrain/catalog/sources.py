@@ -94,11 +94,8 @@ def s3_files(spark, sf_dir):
     path = scratch_path(spark, "document-files")
     text = F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("text"))
     docs = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), text.alias("text"))
-    # A file takes far longer than its row: all cores get some, rows of one name the same one.
-    docs = docs.repartition(max(4 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "name")
-    # Tasks put their own files in place; else the driver moves them one by one when all are done.
-    docs.write.partitionBy("name").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
-    found = io.scan_documents(spark, f"{path}/name=*/*.txt")
+    io.write_text_files(docs, path)
+    found = io.scan_documents(spark, path, "*.txt")
     return found.select(F.col("folder").alias("name"), "status", F.char_length("text").cast("long").alias("n_chars"))
 
 

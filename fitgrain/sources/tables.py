@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import itertools
+import os
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timezone
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +165,41 @@ def scan_text_files(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def write_text_files(rows: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """The texts of each name as lines of one file below ``path/name=…``, as Spark's writer of partitioned text lays them out.
+
+    Below a local or mounted path Spark's file system starts a process for the
+    rights of each file and folder, which takes far longer than the file: tasks
+    write there themselves. Each file is put in place whole.
+    """
+    spark = rows.sparkSession
+    # A file takes far longer than its row: all cores get some, rows of one name the same one.
+    dealt = rows.select(F.col(name).cast("string").alias("name"), F.col(text).alias("text"))
+    dealt = dealt.repartition(max(4 * spark.sparkContext.defaultParallelism, dealt.rdd.getNumPartitions()), "name")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    if uri.getScheme() != "file" or dealt.filter(~F.col("name").rlike(r"\A[\w.-]+\z")).limit(1).count():
+        # Tasks put their own files in place; else the driver moves them one by one when all are done.
+        dealt.write.partitionBy("name").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    root = uri.getPath()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        n, last = 0, f"part-{TaskContext.get().partitionId():05d}.txt"
+        for folder, pairs in itertools.groupby(found, lambda pair: pair[0]):
+            into = f"{root}/name={'__HIVE_DEFAULT_PARTITION__' if folder is None else folder}"
+            os.makedirs(into, exist_ok=True)
+            with open(unfinished := f"{into}/.{uuid.uuid4().hex}", "wb") as f:
+                f.writelines((t or "").encode() + b"\n" for _, t in pairs)
+            os.replace(unfinished, f"{into}/{last}")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    os.makedirs(root)
+    dealt.sortWithinPartitions("name").mapInArrow(run, "n long").agg(F.sum("n")).first()
+
+
 def empty_files(spark: SparkSession, pattern: str) -> list[str]:
     """The paths of files without a byte, which Spark's scans leave out."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -167,21 +207,42 @@ def empty_files(spark: SparkSession, pattern: str) -> list[str]:
     return [f.getPath().toString() for f in found if f.getLen() == 0 and f.isFile()]
 
 
-def scan_documents(spark: SparkSession, pattern: str) -> DataFrame:
-    """``(folder, name, text, status)`` of each file matching ``pattern``.
+def empty_files_below(spark: SparkSession, folder: str, files: str) -> list[str]:
+    """The paths of files of that name without a byte, at any depth below ``folder``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where, wanted = hadoop.Path(folder), hadoop.GlobPattern(files)
+    found, out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0 and wanted.matches(f.getPath().getName()):
+            out.append(f.getPath().toString())
+    return out
+
+
+def scan_documents(spark: SparkSession, pattern: str, files: str | None = None) -> DataFrame:
+    """``(folder, name, text, status)`` of each file matching ``pattern``, or of those named ``files`` below the folder ``pattern``.
 
     A file that is not UTF-8 is ``failed`` and has no text, one with white
     space only or without a byte is ``empty``, any other is ``read``; none is
-    left out. Files are listed by the driver, as Spark lists what it reads.
+    left out. Files are listed by the driver, as Spark lists what it reads; the
+    folders below one folder are listed by tasks.
     """
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    files = spark.read.format("binaryFile").load(pattern).select("path", text.alias("text"))
-    nothing = spark.createDataFrame([(path, "") for path in empty_files(spark, pattern)], "path string, text string")
+    reader = spark.read.format("binaryFile")
+    if files is None:
+        found, empty = reader.load(pattern), empty_files(spark, pattern)
+    else:
+        found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", files).load(pattern)
+        # Without empty ones as many are read as were listed, which is soon known.
+        listed = len(found._jdf.inputFiles())
+        empty = empty_files_below(spark, pattern, files) if found.select("path").count() < listed else []
+    files_read = found.select("path", text.alias("text"))
+    nothing = spark.createDataFrame([(path, "") for path in empty], "path string, text string")
     blank = F.btrim(F.col("text"), F.lit(" \t\n\r\x0b\f")) == ""
     status = F.when(F.col("text").isNull(), "failed").when(blank, "empty").otherwise("read")
     parts = F.split("path", "/")
     folder, name = F.regexp_replace(F.element_at(parts, -2), "^[^=]*=", ""), F.element_at(parts, -1)
-    return files.unionByName(nothing).select(folder.alias("folder"), name.alias("name"), "text", status.alias("status"))
+    return files_read.unionByName(nothing).select(folder.alias("folder"), name.alias("name"), "text", status.alias("status"))
 
 
 def document_report(files: DataFrame) -> DataFrame:

@@ -180,3 +180,22 @@ def test_document_files_are_written_by_all_cores(spark, tmp_path):
     assert found.count() == 59 and {r["n_chars"] for r in found.where("name = '7.txt'").collect()} == {len("text 7\nagain\n")}
     tasks = {str(p).split("part-")[1][:5] for f in found.inputFiles() for p in [f]}
     assert len(tasks) > 1
+
+
+def test_text_files_are_laid_out_as_by_spark_and_none_is_left_out(spark, tmp_path):
+    rows = [("a.txt", "x\ny"), ("b.txt", None), ("a.txt", "é"), (None, "z"), ("c-1.txt", "")]
+    df = spark.createDataFrame(rows, "name string, text string")
+    here, theirs = str(tmp_path / "here"), str(tmp_path / "theirs")
+    io.write_text_files(df, here)
+    df.repartition(3, "name").write.partitionBy("name").text(theirs)
+    read = lambda path, *files: sorted((r["folder"], "\n".join(sorted(r["text"].split("\n"))), r["status"]) for r in io.scan_documents(spark, path, *files).collect())
+    assert read(here, "*.txt") == read(f"{theirs}/name=*/*.txt") == read(here + "/name=*/*.txt")
+    names = [p.name for p in (tmp_path / "here").rglob("*") if p.is_file()]
+    assert len(names) == 4 and all(n.startswith("part-") for n in names)  # no second file of checksums or rights
+    (tmp_path / "here" / "name=d.txt").mkdir()
+    (tmp_path / "here" / "name=d.txt" / "part.txt").touch()
+    (tmp_path / "here" / "name=d.txt" / "other.log").touch()
+    assert read(here, "*.txt") == read(here + "/name=*/*.txt")
+    odd = spark.createDataFrame([("a/b", "x"), ("", "y")], "name string, text string")
+    io.write_text_files(odd, str(tmp_path / "odd"))
+    assert len(read(str(tmp_path / "odd"), "*.txt")) == 2
