@@ -33,6 +33,10 @@ CELLS_A_GROUP = 8
 GROUP_FLOATS = 4_000_000
 #: Groups, at least, that a store of many cells is dealt to.
 LEAST_GROUPS = 8
+#: Numbers of a vector, at most, for which rows near each other are told apart from the rest; rows to such a block, and rows dealt to blocks at once.
+NARROW, BLOCK_ROWS, BLOCKED_ROWS = 8, 64, 50_000
+#: Digits of a score.
+SCORE_DIGITS = 9
 #: What rounding may take from a bound.
 SLACK = 1e-5
 #: The same for lifted vectors, of the longest one's length: their last number is a rounded root.
@@ -58,6 +62,95 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(gaps, 0))
 
 
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of narrow vectors, each the same whatever rows stand beside it."""
+    total = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        gap = a[:, i, None] - b[None, :, i]
+        total += gap * gap
+    return np.sqrt(total)
+
+
+def blocks(rows: np.ndarray) -> list[np.ndarray]:
+    """The numbers of rows that lie near each other: halves by their widest place, until few are left."""
+    waiting, out = [np.arange(len(rows))] if len(rows) else [], []
+    while waiting:
+        which = waiting.pop()
+        if len(which) <= BLOCK_ROWS:
+            out.append(which)
+            continue
+        halves = np.argpartition(rows[which, np.ptp(rows[which], axis=0).argmax()], len(which) // 2)
+        waiting += [which[halves[: len(which) // 2]], which[halves[len(which) // 2 :]]]
+    return out
+
+
+def ball(rows: np.ndarray) -> tuple[np.ndarray, float]:
+    """A point amid some rows and how far the farthest of them is."""
+    middle = rows.mean(axis=0, keepdims=True)
+    return middle, float(differences(rows, middle).max())
+
+
+def in_reach(far: np.ndarray, most: np.ndarray | float) -> np.ndarray:
+    """The places of what is not farther than ``most``, with room for rounding."""
+    return np.flatnonzero(far <= most * (1 + SLACK) + SLACK)
+
+
+def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, of equally near ones the first, and how far it is.
+
+    Narrow rows near each other are compared only with the centres that the
+    triangle inequality leaves them.
+    """
+    at, gap = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    if centres.shape[1] > NARROW:
+        for lo in range(0, len(rows), 1000):
+            gaps = distances(rows[lo : lo + 1000], centres)
+            first = np.argmin(gaps, axis=1)
+            at[lo : lo + 1000], gap[lo : lo + 1000] = first, gaps[np.arange(len(first)), first]
+        return at, gap
+    for which in blocks(rows):
+        middle, radius = ball(rows[which])
+        far = differences(middle, centres)[0]
+        near = in_reach(far, far.min() + 2 * radius)
+        gaps = differences(rows[which], centres[near])
+        first = np.argmin(gaps, axis=1)
+        at[which], gap[which] = near[first], gaps[np.arange(len(which)), first]
+    return at, gap
+
+
+def narrow_searcher(k: int, otherwise, digits: int):
+    """A function as ``otherwise``, for the distance: ``(queries, ids, vectors) -> (row, id, value)``, ``ids`` ascending.
+
+    Narrow queries near each other meet only the stored rows that can be among
+    their k nearest: some rows near both bound how far these are.
+    """
+
+    def search(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(queries) or len(ids) <= max(k, 4 * BLOCK_ROWS) or vectors.shape[1] > NARROW:
+            return otherwise(queries, ids, vectors)
+        held = blocks(vectors)
+        balls = [ball(vectors[which]) for which in held]
+        middles, radii, sizes = np.concatenate([m for m, _ in balls]), np.array([r for _, r in balls]), np.array([len(which) for which in held])
+        found, values = np.zeros((len(queries), k), ids.dtype), np.zeros((len(queries), k))
+        for which in blocks(queries):
+            middle, radius = ball(queries[which])
+            far = differences(middle, middles)[0]
+            by_end = np.argsort(far + radii)
+            some = np.concatenate([held[b] for b in by_end[: np.searchsorted(np.cumsum(sizes[by_end]), k) + 1]])
+            last = np.partition(differences(queries[which], vectors[some]), k - 1, axis=1)[:, k - 1].max()
+            met = np.sort(np.concatenate([held[b] for b in in_reach(far - radii, last + radius)]))
+            scores = np.round(-differences(queries[which], vectors[met]), digits)
+            least = np.partition(scores, len(met) - k, axis=1)[:, len(met) - k]
+            row, place = np.nonzero(scores >= least[:, None])  # by row, ids ascending
+            order = np.lexsort((place, -scores[row, place], row))
+            nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            row, place = row[order][nth < k], place[order][nth < k]
+            found[which], values[which] = ids[met[place]].reshape(-1, k), scores[row, place].reshape(-1, k)
+        return np.repeat(np.arange(len(queries)), k), found.ravel(), values.ravel()
+
+    return search
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches small enough to hold a distance to every centre for each row."""
     for batch in batches:
@@ -65,6 +158,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(lo, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = BLOCKED_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of about as many rows, made of smaller ones."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _best(at: np.ndarray, found: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
     """The places of the k best (row, id, value) entries of each row; equal values rank by id."""
     order = np.lexsort((np.unique(found, return_inverse=True)[1], -values, at))
@@ -101,16 +206,33 @@ class Cells:
     metric: str
     lift: float = 0.0
 
-    def needed(self, batch: pa.RecordBatch, bounds: np.ndarray | None) -> np.ndarray:
-        """Which cells each query of a batch needs: the first one to search, or all others that its bound does not rule out."""
-        gaps = distances(unit(unpacked(batch), self.metric), self.centres)
-        first = np.argmin(np.where(self.sizes[None, :] > 0, gaps, np.inf), axis=1)
-        chosen = np.zeros(gaps.shape, bool)
-        chosen[np.arange(len(first)), first] = True
+    def needed(self, batch: pa.RecordBatch, bounds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the cells each query of a batch needs, in order: the first one to search, or all others that its bound does not rule out."""
+        rows, used = unit(unpacked(batch), self.metric), np.flatnonzero(self.sizes)
+        centres, radii = self.centres[used], self.radii[used]
+        first, _ = nearest(rows, centres)
         if bounds is None:
-            return chosen
+            return np.arange(len(first)), used[first]
         slack = SLACK + LIFTED_SLACK * np.sqrt(self.lift)
-        return (gaps - self.radii[None, :] <= bounds[:, None] * (1 + SLACK) + slack) & (self.sizes[None, :] > 0) & ~chosen
+        ends = bounds * (1 + SLACK) + slack
+        found = []
+        narrow = centres.shape[1] <= NARROW
+        for which in blocks(rows) if narrow else np.split(np.arange(len(rows)), range(1000, len(rows), 1000)):
+            if narrow:
+                middle, radius = ball(rows[which])
+                near = in_reach(differences(middle, centres)[0] - radii, ends[which].max() + radius)
+                gaps = differences(rows[which], centres[near])
+            else:
+                near, gaps = np.arange(len(used)), distances(rows[which], centres)
+            row, cell = np.nonzero((gaps - radii[None, near] <= ends[which, None]) & (near[None, :] != first[which, None]))
+            found.append((which[row], used[near[cell]]))
+        row, cell = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        order = np.lexsort((cell, row))
+        return row[order], cell[order]
+
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As many rows at a time as are compared with the cells: the more narrow ones, the nearer they lie to each other."""
+        return gathered(batches) if self.centres.shape[1] <= NARROW else sliced(batches)
 
 
 @dataclass
@@ -127,9 +249,8 @@ class CellIndex:
         cells, groups = self.cells, self.cells.groups
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                bounds = np.asarray(batch.column(2)) if bounded else None
-                row, cell = np.nonzero(cells.needed(batch, bounds))
+            for batch in cells.batches(batches):
+                row, cell = cells.needed(batch, np.asarray(batch.column(2)) if bounded else None)
                 if not len(row):
                     continue
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (groups[cell[1:]] != groups[cell[:-1]])])
@@ -142,6 +263,8 @@ class CellIndex:
 
     def _met(self, visits: DataFrame, k: int, searcher, layout: T.StructType) -> DataFrame:
         """The k best of each query in each group it goes to. A group's queries are dealt to several tasks if they are many."""
+        if self.cells.metric == "l2":
+            searcher = narrow_searcher(k, searcher, SCORE_DIGITS)
         visits = written(visits, "visits")
         counts = visits.groupBy("group").agg(F.count("*").alias("n"))
         tasks = F.greatest(F.lit(1), F.ceil(F.col("n") / self.group_rows)).cast("int").alias("tasks")
@@ -205,9 +328,11 @@ class CellIndex:
         cells = self.cells
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                met = cells.needed(batch, None) | cells.needed(batch, np.asarray(batch.column(2)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((met * cells.sizes[None, :]).sum(axis=1).astype(np.int64))], layout.names)
+            for batch in cells.batches(batches):
+                met = np.zeros(batch.num_rows, np.int64)
+                for row, cell in (cells.needed(batch, None), cells.needed(batch, np.asarray(batch.column(2)))):
+                    met += np.bincount(row, cells.sizes[cell], batch.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(met)], layout.names)
 
         return bounded.mapInArrow(run, layout)
 
@@ -230,9 +355,9 @@ def fit_cells(store: DataFrame, n_store: int, metric: str, group_rows: int, cell
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, sizes = np.zeros(centres.shape), np.zeros(len(centres), np.int64)
-        for batch in sliced(batches):
+        for batch in gathered(batches) if centres.shape[1] <= NARROW else sliced(batches):
             rows = unit(unpacked(batch), metric)
-            cell = np.argmin(distances(rows, centres), axis=1)
+            cell, _ = nearest(rows, centres)
             np.add.at(sums, cell, rows)
             sizes += np.bincount(cell, minlength=len(centres))
         used = np.flatnonzero(sizes)
@@ -244,10 +369,9 @@ def fit_cells(store: DataFrame, n_store: int, metric: str, group_rows: int, cell
     centres = moved.column("x").to_numpy().reshape(-1, centres.shape[1])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            gaps = distances(unit(unpacked(batch), metric), centres)
-            cell = np.argmin(gaps, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(gaps[np.arange(len(cell)), cell])], ["s", "vec", "cell", "gap"])
+        for batch in gathered(batches) if centres.shape[1] <= NARROW else sliced(batches):
+            cell, gap = nearest(unit(unpacked(batch), metric), centres)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(gap)], ["s", "vec", "cell", "gap"])
 
     layout = T.StructType([store.schema["s"], store.schema["vec"], T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
     rows = written(store.select("s", "vec").mapInArrow(dealt, layout), "cells")
